@@ -41,9 +41,11 @@ def descendants(edges: DataFrame, seeds: DataFrame, graph: tuple = DAG) -> DataF
     """Each seed (column `root`) with itself and all it leads to, and the BFS depth."""
     graph = list(graph)
     pair = [*graph, "root", "node"]
-    step = edges.select(
-        *graph, F.col("upstream").alias("node"), F.col("downstream").alias("next")
-    ).distinct()
+    step = cut_lineage(
+        edges.select(
+            *graph, F.col("upstream").alias("node"), F.col("downstream").alias("next")
+        ).distinct()
+    )
     frontier = cut_lineage(
         seeds.select(*graph, "root").distinct().select(
             *graph, "root", F.col("root").alias("node"), F.lit(0).alias("depth")
@@ -79,8 +81,8 @@ def peel(
     """
     graph = list(graph)
     node_key = [*graph, "node"]
-    nodes = _nodes(edges, graph) if nodes is None else nodes.select(*node_key).distinct()
-    links = edges.select(*graph, "upstream", "downstream").distinct()
+    links = cut_lineage(edges.select(*graph, "upstream", "downstream").distinct())
+    nodes = _nodes(links, graph) if nodes is None else nodes.select(*node_key).distinct()
     open_links = links.groupBy(*graph, F.col("downstream").alias("node")).agg(
         F.count(F.lit(1)).alias("open")
     )

@@ -52,7 +52,7 @@ def reconcile_states(
     rows of the routing operators for tasks that succeeded. With `resume`,
     directives of tasks that were already final are not applied again.
     """
-    edges = G.adjacency(tasks)
+    edges = cut_lineage(G.adjacency(tasks))
     teardowns = G.teardown_pairs(tasks)
     nodes = tasks.select("dag_id", F.col("task_id").alias("node"))
     placed = cut_lineage(
@@ -73,9 +73,12 @@ def reconcile_states(
         .join(recorded, _KEY, "left")
         .withColumn("outcome", F.coalesce(outcome, F.lit("none")))
     )
-    orders = directives.filter("directive = 'skip'").select(
-        "dag_id", "run_id", F.col("task_id").alias("router"), F.col("target").alias("task_id")
-    ).distinct()
+    orders = cut_lineage(
+        directives.filter("directive = 'skip'").select(
+            "dag_id", "run_id", F.col("task_id").alias("router"),
+            F.col("target").alias("task_id"),
+        ).distinct()
+    )
 
     def skips_from(resolved: DataFrame) -> DataFrame:
         """Skips count only where the router itself was implied to succeed."""

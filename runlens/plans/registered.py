@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 
 from runlens.operators import graph, rules, sets, windows
-from runlens.plans import checks_joins, checks_states  # noqa: F401
+from runlens.plans import checks_joins, checks_schedule, checks_states  # noqa: F401
 from runlens.plans.checks import catalog
 from runlens.plans.views import History
 

@@ -1,6 +1,7 @@
 """Session defaults and lineage cutting."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,16 +20,25 @@ def local_session(app: str = "runlens", cores: str = "*") -> SparkSession:
     )
 
 
+def _scratch(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables, one per application."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if root is None:  # only where no cluster names one, as in tests
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="runlens-"))
+        root = context.getCheckpointDir()
+    return f"{root.rstrip('/')}/runlens/{context.applicationId}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and go on from the files.
+    """Write `df` as a table in the shared folder and go on from its files.
 
     Iterative operators call this once per step, so a lost executor re-reads
-    the last step instead of re-running all of them. The folder is the one the
-    cluster names; one is made here only where none is named (tests).
+    the last step instead of re-running all of them. A table rather than
+    `checkpoint()`, because a scan starts with fresh constraints and true
+    sizes: a checkpointed plan inherits the constraints of the plan before it,
+    and over a loop of joins they double at every step.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="runlens-"))
-    return df.checkpoint(eager=True)
+    path = f"{_scratch(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
