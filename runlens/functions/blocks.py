@@ -1,38 +1,37 @@
 """Ordered per-key computations that stay distributed when one key is huge.
 
 A plain window puts all rows of a key into one task. Here each key's rows are
-cut into blocks along the ordering column. A block is summarised with a
-map-side aggregate, the summaries (at most BLOCKS per key) are scanned in
-block order, and every row combines the carry of the earlier blocks with a
-window over (key, block) only. Results equal the plain window exactly.
-
-Block bounds come from min and max of the ordering column, so they are the
-same however often Spark evaluates them. Keys must not be null.
+cut into blocks along the ordering column: spans of time, or runs of a
+sequence number. A block is summarised with a map-side aggregate, the
+summaries (one row per key and block) are scanned in block order, and every
+row combines the carry of the earlier blocks with a window over (key, block)
+only. Results equal the plain window exactly.
+
+Block limits are constants, so a block is the same however often Spark
+evaluates it, and no pass over the data is needed to find them. Keys must not
+be null; nulls of the ordering column come first, in a block of their own.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCKS = 256
-
-
-def _position(df: DataFrame, column: str) -> Column:
-    kind = df.schema[column].dataType.typeName()
-    if kind.startswith("timestamp") or kind == "date":
-        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
-    return F.col(column).cast("double")
+# A block spans a day, or this many values of a sequence number. A unique
+# sequence therefore puts at most a million rows into one block.
+BLOCK_SECONDS = 86_400
+BLOCK_VALUES = 1 << 20
 
 
-def with_block(df: DataFrame, order_by: str, blocks: int = BLOCKS) -> DataFrame:
+def with_block(df: DataFrame, order_by: str, width: int | None = None) -> DataFrame:
     """Add `__block`, a number that never falls as `order_by` rises."""
-    position = _position(df, order_by)
-    bounds = df.agg(
-        F.struct(F.min(position).alias("lo"), F.max(position).alias("hi"))
-    ).scalar()
-    share = (position - bounds["lo"]) / F.nullif(bounds["hi"] - bounds["lo"], F.lit(0.0))
-    return df.withColumn(
-        "__block", F.coalesce(F.floor(share * blocks), F.lit(0)).cast("int")
-    )
+    kind = df.schema[order_by].dataType.typeName()
+    if kind.startswith("timestamp") or kind == "date":
+        position = F.unix_seconds(F.col(order_by).cast("timestamp"))
+        width = width or BLOCK_SECONDS
+    else:
+        position = F.col(order_by)
+        width = width or BLOCK_VALUES
+    block = F.floor(position / F.lit(width)).cast("long")
+    return df.withColumn("__block", F.coalesce(block, F.lit(-(1 << 62))))
 
 
 def _join_carry(

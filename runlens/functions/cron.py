@@ -1,4 +1,4 @@
-"""Five-field cron text as column expressions; no Python per row."""
+"""Five-field cron text as one SQL expression; no Python per row."""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,92 +16,88 @@ FIELDS = (
     ("months", 1, 12, 1, MONTH_NAMES),
     ("weekdays", 0, 7, 0, WEEKDAY_NAMES),
 )
-ITEM_PATTERN = r"^(\*|\?|[0-9]{1,2}(-[0-9]{1,2})?)(/[0-9]{1,3})?$"
-
-
-def _items(text: Column, first: int, names: tuple) -> Column:
-    for value, name in enumerate(names, first):
-        text = F.replace(text, F.lit(name), F.lit(str(value)))
-    return F.split(text, ",")
-
-
-def _bounds(item: Column, low: int, high: int) -> tuple[Column, Column, Column]:
-    base = F.substring_index(item, "/", 1)
-    step = F.when(
-        item.contains("/"), F.substring_index(item, "/", -1).try_cast("int")
-    ).otherwise(1)
-    every = base.isin("*", "?")
-    start = F.when(every, low).otherwise(F.substring_index(base, "-", 1).try_cast("int"))
-    end = (
-        F.when(every, high)
-        .when(base.contains("-"), F.substring_index(base, "-", -1).try_cast("int"))
-        .when(item.contains("/"), high)
-        .otherwise(start)
-    )
-    return start, end, step
+ITEM_PATTERN = "^([*]|[?]|[0-9a-z]+(-[0-9a-z]+)?)(/[0-9]+)?$"
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL that evaluates `value` once and uses it in `body` as `name`."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _number(text: str, first: int, names: tuple) -> str:
+    parsed = f"try_cast({text} AS INT)"
+    if not names:
+        return parsed
+    pairs = ", ".join(f"'{name}', {value}" for value, name in enumerate(names, first))
+    return f"coalesce({parsed}, try_element_at(map({pairs}), {text}))"
 
 
-def _expand(items: Column, low: int, high: int) -> Column:
-    def values(item: Column) -> Column:
-        start, end, step = _bounds(item, low, high)
-        usable = (start <= end) & (step >= 1)
-        return F.when(
-            usable,
-            F.sequence(start, F.greatest(start, end), F.greatest(step, F.lit(1))),
-        ).otherwise(F.array().cast("array<int>"))
+def _ranges(text: str, low: int, high: int, first: int, names: tuple) -> str:
+    """SQL for the field's items as array of (ok, low, high, step)."""
+    head = _number("substring_index(p.base, '-', 1)", first, names)
+    tail = _number("substring_index(p.base, '-', -1)", first, names)
+    split = (
+        "named_struct('base', substring_index(i, '/', 1), 'stepped', contains(i, '/'), 'step', "
+        "if(contains(i, '/'), try_cast(substring_index(i, '/', -1) AS INT), 1))"
+    )
+    bounds = (
+        f"named_struct('ok', i rlike '{ITEM_PATTERN}', "
+        f"'a', CASE WHEN p.base IN ('*', '?') THEN {low} ELSE {head} END, "
+        f"'b', CASE WHEN p.base IN ('*', '?') THEN {high} "
+        f"WHEN p.stepped AND NOT contains(p.base, '-') THEN {high} ELSE {tail} END, "
+        "'step', p.step)"
+    )
+    return f"transform(split({text}, ','), i -> {_let('p', split, bounds)})"
 
-    return F.flatten(F.transform(items, values))
 
+def _values(ranges: str, modulo: int | None) -> str:
+    spread = (
+        f"flatten(transform(filter({ranges}, r -> r.a <= r.b AND r.step >= 1), "
+        "r -> sequence(r.a, r.b, r.step)))"
+    )
+    if modulo:
+        spread = f"transform({spread}, v -> v % {modulo})"
+    return f"array_sort(array_distinct({spread}))"
 
-def _valid(items: Column, low: int, high: int) -> Column:
-    def fits(item: Column) -> Column:
-        start, end, step = _bounds(item, low, high)
-        return F.coalesce(
-            item.rlike(ITEM_PATTERN) & (start >= low) & (end <= high)
-            & (start <= end) & (step >= 1),
-            F.lit(False),
-        )
 
-    return F.forall(items, fits)
+def _sound(ranges: str, low: int, high: int) -> str:
+    return (
+        f"forall({ranges}, r -> coalesce(r.ok AND r.a >= {low} AND r.b <= {high} "
+        "AND r.a <= r.b AND r.step >= 1, false))"
+    )
 
 
-def parse(cron: Column) -> Column:
-    """Struct of the five value arrays, `day_or` and `status`.
+def parse(column: str) -> Column:
+    """Struct of the five value arrays, `day_or` and `status`, from cron text.
 
     `status` is ok, invalid or unsupported (six fields, @aliases, L, W, #).
     `day_or` is true where day of month and day of week are both restricted:
     then either may match.
     """
-    parts = F.split(F.lower(F.trim(cron)), r"\s+")
-    arrays, checks, odd = [], [], F.lit(False)
-    raw = {}
-    for index, (name, low, high, first, names) in enumerate(FIELDS):
-        text = F.coalesce(F.get(parts, F.lit(index)), F.lit(""))
-        items = _items(text, first, names)
-        raw[name] = text
-        values = _expand(items, low, high)
-        if name == "weekdays":
-            values = F.transform(values, lambda day: day % 7)
-            odd = odd | F.exists(items, lambda item: item.rlike("[lw#]"))
-        if name == "days":
-            odd = odd | text.rlike("[lw#]")
-        checks.append(_valid(items, low, high))
-        arrays.append(F.array_sort(F.array_distinct(values)).alias(name))
-    sound = checks[0]
-    for check in checks[1:]:
-        sound = sound & check
-    restricted = (
-        ~raw["days"].isin("*", "?") & ~raw["weekdays"].isin("*", "?")
+    texts = [f"coalesce(get(s, {i}), '')" for i in range(len(FIELDS))]
+    ranges = ", ".join(
+        f"'{name}', {_ranges(texts[i], low, high, first, names)}"
+        for i, (name, low, high, first, names) in enumerate(FIELDS)
+    )
+    values = ", ".join(
+        f"'{name}', {_values(f'f.{name}', 7 if name == 'weekdays' else None)}"
+        for name, *_ in FIELDS
     )
-    status = (
-        F.when(F.trim(cron).startswith("@") | F.size(parts).isin(6, 7) | odd, "unsupported")
-        .when((F.size(parts) == 5) & sound, "ok")
-        .otherwise("invalid")
+    sound = " AND ".join(_sound(f"f.{name}", low, high) for name, low, high, *_ in FIELDS)
+    days, weekdays = texts[2], texts[4]
+    odd = (
+        f"startswith(get(s, 0), '@') OR size(s) IN (6, 7) OR {days} rlike '[lw#]' "
+        f"OR {weekdays} rlike '#|(^|[,0-9])l'"
     )
-    return F.when(
-        cron.isNotNull(),
-        F.struct(*arrays, restricted.alias("day_or"), status.alias("status")),
+    fields = (
+        f"named_struct({values}, "
+        f"'day_or', {days} NOT IN ('*', '?') AND {weekdays} NOT IN ('*', '?'), "
+        f"'status', CASE WHEN {odd} THEN 'unsupported' WHEN size(s) = 5 AND {sound} THEN 'ok' "
+        "ELSE 'invalid' END)"
     )
+    parts = f"split(lower(trim({column})), '[ \\t]+')"
+    parsed = _let("s", parts, _let("f", f"named_struct({ranges})", fields))
+    return F.expr(f"if({column} IS NULL, NULL, {parsed})")
 
 
 def day_matches(day: Column, parsed: Column) -> Column:

@@ -10,7 +10,7 @@ _PARSED = ("minutes", "hours", "days", "months", "weekdays")
 
 def parse_cron(deployments: DataFrame) -> DataFrame:
     """Add the five value arrays and `cron_status`; null where there is no cron."""
-    parsed = deployments.withColumn("__cron", C.parse(F.col("cron")))
+    parsed = deployments.withColumn("__cron", C.parse("cron"))
     return parsed.select(
         *deployments.columns,
         *[F.col(f"__cron.{name}").alias(f"cron_{name}") for name in _PARSED],
@@ -34,7 +34,7 @@ def cron_ticks(
         deployments.filter(F.col("cron").isNotNull())
         .select(
             F.col("id").alias("deployment_id"), *keep,
-            start.alias("__start"), end.alias("__end"), C.parse(F.col("cron")).alias("__cron"),
+            start.alias("__start"), end.alias("__end"), C.parse("cron").alias("__cron"),
         )
         .filter((F.col("__cron.status") == "ok") & (F.col("__start") <= F.col("__end")))
         .select("*", F.explode(F.filter(
@@ -71,7 +71,7 @@ def catch_up_ticks(
     never = deployments.filter(
         F.coalesce("enabled", F.lit(True)) & F.col("catch_up")
         & F.col("last_scheduled_at").isNull() & F.col("start_date").isNotNull()
-        & (C.parse(F.col("cron"))["status"] == "ok")
+        & (C.parse("cron")["status"] == "ok")
     )
     start = F.col("start_date")
     last = F.least(now, F.col("end_date"))

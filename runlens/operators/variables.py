@@ -97,8 +97,9 @@ _RUNTIME = r"^runtime\.([A-Za-z_]+)$"
 
 
 def _json_text(text: Column) -> Column:
-    """Any text as JSON string literal."""
-    return F.regexp_extract(F.to_json(F.struct(text.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+    """Any text as JSON string literal; null stays null."""
+    literal = F.regexp_extract(F.to_json(F.struct(text.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+    return F.when(text.isNotNull(), literal)
 
 
 def _literal(text: Column) -> Column:

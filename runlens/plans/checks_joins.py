@@ -476,11 +476,11 @@ def _(h):
 
 
 @check("rc4_recoverable_runs", """
-    SELECT r.dag_id, r.run_id, string_agg(s.task_id, ',' ORDER BY s.task_id) AS open_tasks, r.dag_no % 10 <> 3 AS is_known
+    SELECT r.dag_id, r.run_id, string_agg(s.task_id, ',' ORDER BY s.task_id) AS open_tasks, r.dag_id IN (SELECT dag_id FROM {fx_runs} WHERE state = 'failed') AS is_known
     FROM {fx_runs} r JOIN {fx_task_states} s ON s.run_no = r.run_no
     WHERE r.state = 'running' AND s.state NOT IN ('success','failed','skipped','upstream_failed','removed') GROUP BY ALL""")
 def _(h):
-    loaded = h.fx_dags.filter("dag_no % 10 <> 3")
+    loaded = h.fx_runs.filter("state = 'failed'").select("dag_id")
     return recovery.recoverable_runs(h.fx_runs, h.fx_task_states, loaded).select(
         "dag_id", "run_id", F.array_join("non_terminal_tasks", ",").alias("open_tasks"), "is_known"
     )
@@ -507,15 +507,14 @@ def _(h):
 
 
 @check("rc6_upsert_deployments", """
-    WITH n AS (SELECT CASE WHEN dep_no % 5 = 1 THEN id || '-new' ELSE id END AS id, dag_id, 'v9' AS dag_version
-               FROM {fx_deployments} WHERE dep_no % 5 IN (1, 2))
+    WITH n AS (SELECT deployment_id AS id, 'v9' AS dag_version FROM {fx_triggers} GROUP BY ALL)
     SELECT coalesce(n.id, d.id) AS id, coalesce(n.dag_version, d.dag_version) AS dag_version, d.last_scheduled_at
     FROM {fx_deployments} d FULL JOIN n ON n.id = d.id""")
 def _(h):
     current = h.fx_deployments.select("id", "dag_id", "dag_version", "last_scheduled_at")
-    incoming = h.fx_deployments.filter("dep_no % 5 IN (1, 2)").selectExpr(
-        "CASE WHEN dep_no % 5 = 1 THEN concat(id, '-new') ELSE id END AS id", "dag_id",
-        "'v9' AS dag_version", "CAST(NULL AS TIMESTAMP_NTZ) AS last_scheduled_at",
+    incoming = h.fx_triggers.groupBy(F.col("deployment_id").alias("id")).agg(
+        F.lit("dag-new").alias("dag_id"), F.lit("v9").alias("dag_version"),
+        F.lit(None).cast("timestamp_ntz").alias("last_scheduled_at"),
     )
     return recovery.upsert_deployments(current, incoming).select("id", "dag_version", "last_scheduled_at")
 
@@ -530,9 +529,12 @@ def _(h):
 
 
 @check("rc8_set_enabled", """
-    SELECT id, CASE WHEN dep_no % 3 = 0 THEN dep_no % 2 = 0 ELSE enabled END AS enabled FROM {fx_deployments}""")
+    WITH q AS (SELECT deployment_id AS id, max(run_no) % 2 = 0 AS flag FROM {fx_runs} WHERE state = 'failed' GROUP BY ALL)
+    SELECT d.id, coalesce(q.flag, d.enabled) AS enabled FROM {fx_deployments} d LEFT JOIN q ON q.id = d.id""")
 def _(h):
-    requests = h.fx_deployments.filter("dep_no % 3 = 0").selectExpr("id", "dep_no % 2 = 0 AS flag")
+    requests = h.fx_runs.filter("state = 'failed'").groupBy(F.col("deployment_id").alias("id")).agg(
+        (F.max("run_no") % 2 == 0).alias("flag")
+    )
     return recovery.set_enabled(h.fx_deployments, requests).select("id", "enabled")
 
 

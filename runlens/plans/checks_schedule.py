@@ -110,7 +110,7 @@ def _(h):
 
     ticks = _ticks(h, ("dag_id",)).select("dag_id", "logical_date").distinct()
     # Runs of the morning exist for DAGs that were backfilled before.
-    before = h.fx_runs.filter("run_no % 4 = 1").select("dag_id").distinct()
+    before = h.fx_runs.filter("run_id LIKE 'backfill-%'").select("dag_id").distinct()
     runs = ticks.filter("hour(logical_date) < 12").join(before, "dag_id", "left_semi").select(
         "dag_id", make_run_id(F.lit("backfill"), F.col("dag_id"), F.col("logical_date")).alias("run_id")
     )
@@ -235,21 +235,21 @@ def _(h):
 
 
 @check("vr5_substitute", """
-    WITH vals AS (SELECT 'v' || CAST(n_nationkey AS VARCHAR) AS k, n_name AS v FROM {nation} WHERE n_nationkey < 4),
+    WITH vals AS (SELECT 'v' || CAST(r_regionkey AS VARCHAR) AS k, r_name AS v FROM {region}),
     i AS (SELECT p_partkey AS task_no, p_name, p_size, 'v' || CAST(p_size % 6 AS VARCHAR) AS k FROM {part})
     SELECT i.task_no, coalesce(v.v, '<unresolved>: vars(''' || i.k || ''')') || '/' || p_name
         || CASE WHEN i.task_no % 2 = 0 THEN '/none' ELSE '' END
         || CASE WHEN i.task_no % 3 = 0 THEN '/<unresolved: secrets(''KEY_' || p_size || ''')>' ELSE '' END AS text,
         'string' AS value_type FROM i LEFT JOIN vals v ON v.k = i.k""")
 def _(h):
-    # One map of all known variables on every row; here the nations' names.
+    # One map of all known variables on every row; here the regions' names.
     pairs = F.struct(
-        F.concat(F.lit("v"), F.col("n_nationkey")).alias("key"), F.to_json(F.struct("n_name")).alias("value")
+        F.concat(F.lit("v"), F.col("r_regionkey")).alias("key"), F.to_json(F.struct("r_name")).alias("value")
     )
-    known = h.nation.filter("n_nationkey < 4").agg(
+    known = h.region.agg(
         F.map_from_entries(F.transform(
             F.array_sort(F.collect_list(pairs)),
-            lambda e: F.struct(e["key"], F.regexp_extract(e["value"], r'^\{"n_name":(.*)\}$', 1)),
+            lambda e: F.struct(e["key"], F.regexp_extract(e["value"], r'^\{"r_name":(.*)\}$', 1)),
         )).alias("m")
     )
     empty = F.create_map().cast("map<string,string>")
@@ -355,7 +355,7 @@ def _(h):
     WITH n AS (SELECT task_key, beat_at AS last_beat, kind, lead(beat_at) OVER (PARTITION BY task_key ORDER BY beat_at, seq) AS next_beat
                FROM {fx_heartbeats})
     SELECT task_key, last_beat, next_beat FROM n WHERE kind <> 'terminal'
-        AND epoch_us(next_beat) - epoch_us(last_beat) > 3600 * 1000000""")
+        AND epoch_us(next_beat) - epoch_us(last_beat) > 3600000000""")
 def _(h):
     return zombies.silences(h.fx_heartbeats, 3600)
 

@@ -203,7 +203,7 @@ def _(h):
         "WHEN dep_no % 10 = 8 THEN TIMESTAMP_NTZ '2023-12-31' END AS end_date",
         "CASE dep_no % 12 WHEN 5 THEN '61 * * * *' WHEN 7 THEN '@daily' ELSE cron END AS cron",
     )
-    return filters.validate_deployments(deps, cron.parse(F.col("cron"))["status"])
+    return filters.validate_deployments(deps, cron.parse("cron")["status"])
 
 
 @check("fp19_split_lines", """

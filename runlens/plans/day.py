@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from runlens.functions.states import make_run_id
 from runlens.operators import schedule
 from runlens.operators.windows import admit_under_limit, dedup_scheduled_runs
+from runlens.session import cut_lineage
 
 _HELD = ("dag_id", "start_date", "end_date", "last_scheduled_at")
 
@@ -30,9 +31,13 @@ def schedule_day(
         & (F.col("last_scheduled_at").isNull() | (tick > F.col("last_scheduled_at")))
     )
     missed = schedule.catch_up_ticks(enabled, day_end, _HELD)
-    firings = ticks.unionByName(missed).select(
-        "deployment_id", "dag_id", "logical_date",
-        make_run_id(F.lit("scheduled"), F.col("dag_id"), tick).alias("run_id"),
+    # The firings feed the deduplication and the admission several times over;
+    # written once, they are expanded from cron once.
+    firings = cut_lineage(
+        ticks.unionByName(missed).select(
+            "deployment_id", "dag_id", "logical_date",
+            make_run_id(F.lit("scheduled"), F.col("dag_id"), tick).alias("run_id"),
+        )
     )
     decided = dedup_scheduled_runs(firings, ["deployment_id"])
     created = decided.filter("created").drop("created", "actual_run_id")
