@@ -69,7 +69,7 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """JSONL log lines of tasks and framework; identity comes from the lines."""
     logs = (
         spark.read.schema(schemas.LOGS).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.json*").json(path)
+        .option("pathGlobFilter", "*.{json,jsonl,txt}*").json(path)
     )
     return _with_log_time(logs)
 
