@@ -98,6 +98,29 @@ def neighbour(
     return joined.select(*df.columns, *[near[out].alias(out) for out in take])
 
 
+def with_first(
+    df: DataFrame, keys: list[str], order: list[str], take: dict[str, str], salts: int = 256
+) -> DataFrame:
+    """Add columns of the key's first row in `order` to all rows of the key.
+
+    `take` maps the new column's name to the column to fetch. Blocks are
+    salts of the order columns here, since rivals for one key tend to be close
+    in time: the firsts of a key's salts are compared, and each salt's rows
+    are joined to the winner on (key, salt).
+    """
+    salted = df.withColumn("__block", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    in_block = [*keys, "__block"]
+    candidate = F.struct(
+        *order, *[F.col(source).alias(f"__take_{out}") for out, source in take.items()]
+    )
+    firsts = (
+        salted.groupBy(*in_block).agg(F.min(candidate).alias("__first"))
+        .withColumn("__first", F.min("__first").over(Window.partitionBy(*keys)))
+    )
+    joined = salted.join(firsts, in_block)
+    return joined.select(*df.columns, *[F.col(f"__first.__take_{out}").alias(out) for out in take])
+
+
 def running_max_before(
     df: DataFrame, keys: list[str], order: list[str], value: str, out: str
 ) -> DataFrame:

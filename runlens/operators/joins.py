@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions.maps import json_object, json_to_map
+from runlens.functions.skew import spread_join
 from runlens.functions.states import is_terminal, make_run_id
 from runlens.functions.text import REMOTE_REF_PATTERN
 
@@ -74,7 +75,7 @@ def missing_plugins(tasks: DataFrame, registry: DataFrame) -> DataFrame:
     lost = F.concat(F.lit("Plugin "), _quoted("uses"), F.lit(" not found in registry."))
     name = F.expr("regexp_replace(uses, '@[^@]*$', '')")
     local = tasks.filter(~remote).withColumn("plugin_name", name)
-    known = registry.select("plugin_name").distinct()
+    known = registry.select("plugin_name")
     unknown = local.join(known, "plugin_name", "left_anti").join(
         known.withColumnRenamed("plugin_name", "uses"), "uses", "left_anti"
     )
@@ -86,7 +87,7 @@ def missing_plugins(tasks: DataFrame, registry: DataFrame) -> DataFrame:
 def bad_teardowns(tasks: DataFrame) -> DataFrame:
     """Teardowns of a task that does not exist, and teardowns of themselves."""
     marked = tasks.filter(F.coalesce("teardown", F.lit("")) != "")
-    known = tasks.select("dag_id", F.col("task_id").alias("teardown")).distinct()
+    known = tasks.select("dag_id", F.col("task_id").alias("teardown"))
     lost = F.concat(
         F.lit("Teardown references task "), _quoted("teardown"),
         F.lit(" which does not exist in DAG."),
@@ -181,21 +182,22 @@ def admit_triggers(
     invalid = validate_triggers(triggers, requirements).groupBy("trigger_id").agg(
         F.count(F.lit(1)).alias("missing")
     )
-    facts = (
-        triggers.join(
-            deployments.select(
-                F.col("id").alias("deployment_id"), "dag_id", "max_active_runs",
-                F.lit(True).alias("is_deployed"),
-            ),
-            "deployment_id", "left",
+    # All that is known per deployment comes together first; the triggers, of
+    # which one deployment may have very many, then meet it in one join.
+    known = (
+        deployments.select(
+            F.col("id").alias("deployment_id"), "dag_id", "max_active_runs",
+            F.lit(True).alias("is_deployed"),
         )
         .join(active, "deployment_id", "left")
-        .join(invalid, "trigger_id", "left")
         .join(
             dags.select("dag_id").distinct().withColumn("is_loaded", F.lit(True)),
             "dag_id", "left",
         )
     )
+    facts = spread_join(triggers, known, ["deployment_id"], "left").join(
+        invalid, "trigger_id", "left"
+    )
     full = F.coalesce("active_runs", F.lit(0)) >= F.col("max_active_runs")
     return facts.withColumn(
         "verdict",
@@ -275,13 +277,14 @@ def attempt_logs(logs: DataFrame, requests: DataFrame) -> DataFrame:
         "attempt", F.coalesce("attempt", F.lit(1)).cast("int")
     )
     # Narrow the lines first; the latest attempt is then a small aggregate.
+    # A noisy task may hold very many lines, so its lines are spread.
     asked = requests.select(*key, F.col("attempt").alias("wanted_attempt")).distinct()
-    wanted_lines = lines.join(asked.select(*key).distinct(), key, "left_semi")
+    wanted_lines = spread_join(lines, asked.select(*key).distinct(), key, "left_semi")
     latest = wanted_lines.groupBy(*key).agg(F.max("attempt").alias("latest_attempt"))
     chosen = asked.join(latest, key).select(
         *key, F.coalesce("wanted_attempt", "latest_attempt").cast("int").alias("attempt")
     ).distinct()
-    return wanted_lines.join(chosen, [*key, "attempt"], "left_semi")
+    return spread_join(lines, chosen, [*key, "attempt"], "left_semi")
 
 
 def resume_view(

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runlens.functions.skew import spread_join
 from runlens.operators.sets import branch_split
 
 
@@ -83,7 +84,9 @@ def _exploded(df: DataFrame, schedule: Column, skip: Column) -> DataFrame:
 def branch_directives(results: DataFrame, edges: DataFrame) -> DataFrame:
     """(dag_id, run_id, task_id, directive, target) for every branch that succeeded."""
     none = F.array().cast("array<string>")
-    routed = branch_outputs(results).join(_children(edges), ["dag_id", "task_id"], "left")
+    routed = spread_join(
+        branch_outputs(results), _children(edges), ["dag_id", "task_id"], "left"
+    )
     downstream = F.coalesce("downstream", none)
     scheduled, skipped = branch_split(
         F.col("branch"), F.col("success"), F.col("failure"), downstream
@@ -109,7 +112,7 @@ def gate_continues(results: DataFrame) -> DataFrame:
 
 def short_circuit_directives(results: DataFrame, edges: DataFrame) -> DataFrame:
     """A closed gate skips all its direct downstream tasks, an open one schedules them."""
-    routed = gate_continues(results).join(_children(edges), ["dag_id", "task_id"])
+    routed = spread_join(gate_continues(results), _children(edges), ["dag_id", "task_id"])
     none = F.array().cast("array<string>")
     return _exploded(
         routed,

@@ -88,7 +88,7 @@ def run_states(states: DataFrame, teardowns: DataFrame) -> DataFrame:
     """State of each run; outcomes of teardown tasks do not count."""
     marks = teardowns.select(
         "dag_id", F.col("teardown").alias("task_id"), F.lit(True).alias("is_teardown")
-    ).distinct()
+    )
     counts_against = F.col("is_teardown").isNull() & F.col("state").isin(
         "failed", "upstream_failed"
     )

@@ -1,14 +1,15 @@
 """Winners, numbering and neighbours.
 
-Winners are aggregates (`min_by`, `max_by`) joined back, not windows: the
-aggregate shrinks a hot key before the shuffle. Numbering and neighbours go
-through `functions.blocks`, which splits a hot key along its order.
+Winners are aggregates (`min_by`, `max_by`), not windows: the aggregate
+shrinks a hot key before the shuffle. Where every row needs an answer, it goes
+through `functions.blocks`, which splits a hot key into blocks.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions import blocks
+from runlens.functions.skew import spread_join
 from runlens.values import LEGAL_TRANSITIONS
 
 TASK_KEY = ["dag_id", "run_id", "task_id"]
@@ -44,19 +45,12 @@ def dedup_scheduled_runs(
     dated = candidates.withColumn("logical_second", F.date_trunc("second", "logical_date"))
     dated = dated.withColumn("logical_second", F.col("logical_second").cast("timestamp_ntz"))
     scheduled = dated.filter(F.col("logical_date").isNotNull())
-    winners = scheduled.groupBy(*keys).agg(
-        F.min_by(
-            F.struct(F.col("run_id").alias("winner"), *[F.col(c).alias(f"__{c}") for c in order]),
-            F.struct(*order),
-        ).alias("__first")
-    )
+    rivals = {"actual_run_id": "run_id"} | {f"__{column}": column for column in order}
+    known = blocks.with_first(scheduled, keys, order, rivals)
     same = F.lit(True)
     for column in order:
-        same = same & F.col(column).eqNullSafe(F.col(f"__first.__{column}"))
-    decided = scheduled.join(winners, keys).select(
-        *candidates.columns, same.alias("created"),
-        F.col("__first.winner").alias("actual_run_id"),
-    )
+        same = same & F.col(column).eqNullSafe(F.col(f"__{column}"))
+    decided = known.select(*candidates.columns, same.alias("created"), "actual_run_id")
     manual = candidates.filter(F.col("logical_date").isNull()).select(
         *candidates.columns, F.lit(True).alias("created"),
         F.col("run_id").alias("actual_run_id"),
@@ -108,7 +102,7 @@ def admit_under_limit(ticks: DataFrame, deployments: DataFrame, active: DataFram
         )
     )
     admitted = F.col("budget").isNull() | (F.col("queue_position") <= F.col("budget"))
-    return placed.join(limits, "deployment_id", "left").withColumn("admitted", admitted)
+    return spread_join(placed, limits, ["deployment_id"], "left").withColumn("admitted", admitted)
 
 
 def deferred_counts(admission: DataFrame) -> DataFrame:

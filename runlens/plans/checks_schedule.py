@@ -345,7 +345,7 @@ def _(h):
 
 
 @check("io14_bundle_fingerprint", """
-    SELECT bundle_no, substr(sha256(string_agg(rel || '|' || size_bytes || '|' || mtime_ns || chr(10), '' ORDER BY rel)), 1, 12) AS version
+    SELECT bundle_no, substr(sha256(string_agg(rel || '|' || size_bytes || '|' || mtime_ns || chr(10), '' ORDER BY string_split(rel, '/'))), 1, 12) AS version
     FROM {fx_manifest} WHERE rel NOT LIKE '%/.hidden' GROUP BY ALL""")
 def _(h):
     return documents.bundle_fingerprint(h.fx_manifest, "bundle_no")

@@ -4,6 +4,7 @@ Spark lists and reads the files and spreads them over tasks; Python only
 parses one document at a time.
 """
 
+import hashlib
 import json
 from collections.abc import Iterator
 
@@ -155,15 +156,29 @@ def list_manifest(spark: SparkSession, path: str) -> DataFrame:
 def bundle_fingerprint(manifest: DataFrame, bundle: str = "bundle") -> DataFrame:
     """Twelve hex digits per bundle from its sorted `path|size|mtime` lines.
 
-    The digest is defined over the whole list, so the list of one bundle comes
-    together: about a hundred bytes per file, never the files.
+    Paths sort by their parts, so a folder comes before a longer name. The digest runs over the lines in order. Spark sorts them (and spills);
+    the task only feeds them to the digest, so nothing is collected.
     """
     name = F.substring_index("rel", "/", -1)
-    line = F.concat_ws("|", "rel", "size_bytes", "mtime_ns")
-    lines = F.transform(
-        F.array_sort(F.collect_list(F.struct("rel", F.concat(line, F.lit("\n")).alias("line")))),
-        lambda entry: entry["line"],
-    )
-    return manifest.filter(~name.startswith(".")).groupBy(bundle).agg(
-        F.substring(F.sha2(F.array_join(lines, ""), 256), 1, 12).alias("version")
+    line = F.concat(F.concat_ws("|", "rel", "size_bytes", "mtime_ns"), F.lit("\n"))
+    kind = manifest.schema[bundle].dataType.simpleString()
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, running = None, None
+        for batch in batches:
+            for key, lines in batch.groupby("bundle", sort=False)["line"]:
+                if running is None or key != current:
+                    if running is not None:
+                        yield pd.DataFrame({bundle: [current], "version": [running.hexdigest()[:12]]})
+                    current, running = key, hashlib.sha256()
+                running.update("".join(lines).encode())
+        if running is not None:
+            yield pd.DataFrame({bundle: [current], "version": [running.hexdigest()[:12]]})
+
+    return (
+        manifest.filter(~name.startswith("."))
+        .select(F.col(bundle).alias("bundle"), F.split("rel", "/").alias("parts"), line.alias("line"))
+        .repartition("bundle").sortWithinPartitions("bundle", "parts")
+        .select("bundle", "line")
+        .mapInPandas(digest, f"`{bundle}` {kind}, version string")
     )
