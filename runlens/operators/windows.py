@@ -18,11 +18,16 @@ TASK_KEY = ["dag_id", "run_id", "task_id"]
 def current_states(
     events: DataFrame, order: list[str], keys: list[str] | None = None
 ) -> DataFrame:
-    """Last write per key of an append-only event log."""
+    """Last write per key of an append-only event log.
+
+    `order` ought to be a total order per key; equal ranks fall back on the
+    other columns, so the answer is the same on every run.
+    """
     keys = keys or TASK_KEY
     held = [name for name in events.columns if name not in keys]
-    newest = F.max_by(F.struct(*held), F.struct(*order))
-    return events.groupBy(*keys).agg(newest.alias("__row")).select(*keys, "__row.*")
+    ranked = [*order, *[name for name in held if name not in order]]
+    newest = F.max(F.struct(*ranked)).alias("__row")
+    return events.groupBy(*keys).agg(newest).select(*keys, *[f"__row.{name}" for name in held])
 
 
 def latest_attempts(attempts: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from runlens.operators import graph as G
 from runlens.operators import joins as J
-from runlens.operators.aggregates import duplicate_task_ids, template_references
+from runlens.operators.aggregates import duplicate_task_ids
 
 
 def catalog_issues(tasks: DataFrame, registry: DataFrame) -> DataFrame:
@@ -31,15 +31,15 @@ def catalog_issues(tasks: DataFrame, registry: DataFrame) -> DataFrame:
     )
 
 
-def unresolved_variables(inputs: DataFrame, provided: DataFrame) -> DataFrame:
-    """Variable uses without value and default, as plan warnings."""
-    uses = template_references(inputs).filter(F.col("default_text").isNull())
-    lost = uses.join(provided.select("dag_id", "var_key"), ["dag_id", "var_key"], "left_anti")
-    return lost.select(
+def render_issues(substituted: DataFrame) -> DataFrame:
+    """Warnings of inputs that could not be rendered, from `variables.substitute`."""
+    return substituted.filter(F.col("warning").isNotNull()).select(
         "dag_id", "task_id", F.lit("warning").alias("severity"),
         F.lit("render").alias("category"),
-        F.concat(F.lit("Variable '"), F.col("var_key"), F.lit("' is not set.")).alias("message"),
-    ).distinct()
+        F.concat(
+            F.lit("Failed to render '"), F.col("input_key"), F.lit("': "), F.col("warning")
+        ).alias("message"),
+    )
 
 
 def plan_catalog(tasks: DataFrame, registry: DataFrame) -> DataFrame:

@@ -344,6 +344,16 @@ def _(h):
     return sinks.route_logs(h.fx_logs).select("seq", "route")
 
 
+@check("io12_alert_records", """
+    SELECT 'failure' AS event, strftime(updated_at, '%Y%m%d_%H%M%S_%f') AS timestamp, dag_id, task_id, run_id, seq1
+    FROM {fx_task_events} WHERE state = 'failed'""")
+def _(h):
+    failures = tables.lifecycle_events(h.fx_task_events).filter("event = 'failure'")
+    return sinks.alert_records(failures, "updated_at").select(
+        "event", "timestamp", "dag_id", "task_id", "run_id", "seq1"
+    )
+
+
 @check("io14_bundle_fingerprint", """
     SELECT bundle_no, substr(sha256(string_agg(rel || '|' || size_bytes || '|' || mtime_ns || chr(10), '' ORDER BY string_split(rel, '/'))), 1, 12) AS version
     FROM {fx_manifest} WHERE rel NOT LIKE '%/.hidden' GROUP BY ALL""")

@@ -46,8 +46,19 @@ def write_logs(logs: DataFrame, path: str, parts_per_task: int = 8) -> None:
     )
 
 
+def alert_records(events: DataFrame, at: str) -> DataFrame:
+    """Lifecycle events as alert payloads: event and timestamp first, ids never null."""
+    ids = {
+        name: F.coalesce(name, F.lit("unknown")) if name in events.columns else F.lit("unknown")
+        for name in ("dag_id", "task_id")
+    }
+    stamp = F.date_format(F.col(at), "yyyyMMdd_HHmmss_SSSSSS").alias("timestamp")
+    rest = [name for name in events.columns if name not in ("event", "timestamp")]
+    return events.withColumns(ids).select("event", stamp, *dict.fromkeys([*ids, *rest]))
+
+
 def write_alerts(alerts: DataFrame, path: str) -> None:
-    """One JSON object per lifecycle event, with event and timestamp."""
+    """One JSON object per alert record."""
     alerts.write.mode("append").json(path)
 
 

@@ -93,10 +93,12 @@ def match_hooks(events: DataFrame, hooks: DataFrame) -> DataFrame:
     return events.join(hooks, keys)
 
 
-def stream_alerts(events: DataFrame, hooks: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write one JSON alert per matching event."""
+def stream_alerts(
+    events: DataFrame, hooks: DataFrame, path: str, checkpoint: str, at: str = "updated_at"
+) -> StreamingQuery:
+    """Write one JSON alert per matching event; `at` is the time of the event."""
     return (
-        match_hooks(lifecycle_events(events), hooks)
+        sinks.alert_records(match_hooks(lifecycle_events(events), hooks), at)
         .writeStream.format("json").option("path", path)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
