@@ -16,9 +16,8 @@ NO_CONTEXT = "CASE WHEN outputs LIKE '{{%' AND outputs <> '{{}}' THEN outputs EN
 
 def registry(h):
     """Plugins that are registered: one per brand, and `py`."""
-    return h.part.select(F.col("p_brand").alias("plugin_name")).distinct().unionByName(
-        h.region.filter("r_regionkey = 0").select(F.lit("py").alias("plugin_name"))
-    )
+    names = F.explode(F.array(F.col("p_brand"), F.lit("py"))).alias("plugin_name")
+    return h.part.select(names).distinct()
 
 
 @check("jn1_upstream_outputs", f"""

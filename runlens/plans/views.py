@@ -185,8 +185,8 @@ VIEWS = {
                o_orderdate AS created_at
         FROM {orders}""",
     "fx_variable_layers": """
-        SELECT 1 AS depth, 'dags' AS scope, k.var_key, 'bundle' AS var_value
-        FROM {region} @pick(k, var_key, 'v0', 'v1', 'v2', 'v3', 'v4') WHERE r_regionkey = 0
+        SELECT DISTINCT 1 AS depth, 'dags' AS scope, k.var_key, 'bundle' AS var_value
+        FROM {region} @pick(k, var_key, 'v0', 'v1', 'v2', 'v3', 'v4')
         UNION ALL
         SELECT 2, concat('dags/', r_name), k.var_key, concat('region:', r_name)
         FROM {region} @pick(k, var_key, 'v0', 'v1', 'v2')
