@@ -26,8 +26,11 @@ def current_states(
     keys = keys or TASK_KEY
     held = [name for name in events.columns if name not in keys]
     ranked = [*order, *[name for name in held if name not in order]]
-    newest = F.max(F.struct(*ranked)).alias("__row")
-    return events.groupBy(*keys).agg(newest).select(*keys, *[f"__row.{name}" for name in held])
+    row = F.struct(*ranked)
+    # Maps have no order; rows that hold one are picked by `order` alone.
+    sortable = "map<" not in events.select(*ranked).schema.simpleString()
+    newest = F.max(row) if sortable else F.max_by(row, F.struct(*order))
+    return events.groupBy(*keys).agg(newest.alias("__row")).select(*keys, *[f"__row.{name}" for name in held])
 
 
 def latest_attempts(attempts: DataFrame, keys: list[str]) -> DataFrame:

@@ -99,3 +99,10 @@ def test_transitions(spark):
     )
     bad = windows.audit_transitions(df, ["seq"]).filter("NOT is_legal")
     assert rows(bad, "from_state", "to_state") == [("queued", "success")]
+
+
+def test_rows_with_maps_are_compacted_too(spark):
+    df = spark.createDataFrame(
+        [("a", 1, {"x": "1"}), ("a", 2, {"x": "2"}), ("b", 1, None)], "id string, seq int, labels map<string,string>"
+    )
+    assert rows(windows.current_states(df, ["seq"], ["id"])) == [("a", 2, {"x": "2"}), ("b", 1, None)]
