@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import exact_dedup, simhash, token_files
+from runlens.llm import bpe, exact_dedup, simhash, token_files
 from runlens.llm.shared import documents
 
 
@@ -46,10 +46,17 @@ def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_spans(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"), 2)
 
 
+def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encode(
+        documents(spark, folder), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=True
+    )
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_simhash": op3_simhash,
     "op4_token_files": op4_token_files,
+    "op7_byte_bpe": op7_byte_bpe,
 }
 
 SQL = {"op1_exact_dedup": OP1_SQL}
