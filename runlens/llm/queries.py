@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import bpe, exact_dedup, simhash, token_files
+from runlens.llm import bpe, exact_dedup, language_id, simhash, token_files
 from runlens.llm.shared import documents
 
 
@@ -52,11 +52,19 @@ def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    held_out = id_crc(4) == 2
+    model = language_id.train(docs, ~held_out)
+    return language_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_simhash": op3_simhash,
     "op4_token_files": op4_token_files,
     "op7_byte_bpe": op7_byte_bpe,
+    "op10_language_id": op10_language_id,
 }
 
 SQL = {"op1_exact_dedup": OP1_SQL}
