@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import bpe, exact_dedup, language_id, simhash, token_files
+from runlens.llm import bpe, exact_dedup, language_id, language_model, simhash, token_files
 from runlens.llm.shared import documents
 
 
@@ -52,6 +52,13 @@ def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    scores = language_model.score(documents(spark, folder), id_crc(5) != 1)
+    return scores.select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     held_out = id_crc(4) == 2
@@ -64,6 +71,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_token_files": op4_token_files,
     "op7_byte_bpe": op7_byte_bpe,
+    "op9_language_model": op9_language_model,
     "op10_language_id": op10_language_id,
 }
 
