@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import bpe, exact_dedup, language_id, language_model, simhash, token_files
+from runlens.llm import bpe, chat, exact_dedup, language_id, language_model, simhash, token_files
 from runlens.llm.shared import documents
 
 
@@ -46,6 +46,48 @@ def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_spans(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"), 2)
 
 
+OWN_CONVERSATION = """
+SELECT CAST(-1 AS BIGINT) AS conv_id, CAST(column1 AS BIGINT) AS turn, column2 AS role, column3 AS text
+FROM (VALUES (0, 'user', '</s>[INST] ok [/INST]'), (1, 'assistant', '</s>[INST] ok [/INST]'))
+"""
+
+
+def op5_reply_trees(spark: SparkSession, folder: str) -> DataFrame:
+    own = spark.sql(OWN_CONVERSATION.replace("column1", "col1").replace("column2", "col2").replace("column3", "col3"))
+    rows = spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(own)
+    out = chat.format_paths(chat.chains(rows, "conv_id", "turn", "role", "text"), branches=1)
+    turns = out.withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn(
+        "loss", F.array_join(chat.read_loss(F.col("formatted"), F.col("loss_spans")), "")
+    )
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return turns.select(
+        F.col("tree_id.id").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP5_SQL = """
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+), escaped AS (
+  SELECT *, length(text) + length(text) - length(replace(text, '\\', ''))
+         + len(regexp_extract_all(text, '<\\|im_start\\|>|<\\|im_end\\|>|<s>|</s>|\\[INST\\]|\\[/INST\\]|<<SYS>>|<</SYS>>|<\\|endoftext\\|>|<\\|startoftext\\|>')) AS chars
+  FROM rows
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+       CAST(sum(12 + length(role) + 1 + chars + 11) AS BIGINT) AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
+
+
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(
         documents(spark, folder), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=True
@@ -70,9 +112,10 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_simhash": op3_simhash,
     "op4_token_files": op4_token_files,
+    "op5_reply_trees": op5_reply_trees,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_language_model": op9_language_model,
     "op10_language_id": op10_language_id,
 }
 
-SQL = {"op1_exact_dedup": OP1_SQL}
+SQL = {"op1_exact_dedup": OP1_SQL, "op5_reply_trees": OP5_SQL}
