@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import bpe, chat, exact_dedup, language_id, language_model, simhash, token_files
+from runlens.llm import bpe, chat, exact_dedup, language_id, language_model, simhash, token_files, vector_dedup
 from runlens.llm.shared import documents
 
 
@@ -36,6 +36,28 @@ WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
+def op2_vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_dedup.near_duplicates(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+#: All pairs of vectors, and the links' closure.
+OP2_SQL = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
+    ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+), roots AS (SELECT a, min(b) AS root FROM reach GROUP BY a)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE links.a = e.vec_id) AS n_links, root AS component_id, root = e.vec_id AS kept
+FROM embeddings e JOIN roots ON roots.a = e.vec_id
+"""
+
+
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, folder)).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
@@ -110,6 +132,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_vector_dedup": op2_vector_dedup,
     "op3_simhash": op3_simhash,
     "op4_token_files": op4_token_files,
     "op5_reply_trees": op5_reply_trees,
@@ -118,4 +141,4 @@ QUERIES = {
     "op10_language_id": op10_language_id,
 }
 
-SQL = {"op1_exact_dedup": OP1_SQL, "op5_reply_trees": OP5_SQL}
+SQL = {"op1_exact_dedup": OP1_SQL, "op2_vector_dedup": OP2_SQL, "op5_reply_trees": OP5_SQL}
