@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import bpe, chat, exact_dedup, language_id, language_model, simhash, token_files, vector_dedup
+from runlens.llm import bpe, chat, exact_dedup, language_id, language_model, packing, simhash, token_files, vector_dedup
 from runlens.llm.shared import documents
 
 
@@ -110,6 +114,26 @@ FROM escaped GROUP BY conv_id
 """
 
 
+def piece_digests(pieces: DataFrame) -> DataFrame:
+    """Packed pieces with the crc32 of their ids instead of the ids."""
+    names = ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")
+
+    def summed(batches):
+        for b in batches:
+            crcs = []
+            for ids, n in zip(b.column("ids").to_pylist(), b.column("length").to_pylist()):
+                crcs.append(zlib.crc32(np.frombuffer(ids, f"<u{len(ids) // n}").astype("<u4").tobytes()))
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(n) for n in names), pa.array(crcs, pa.int64())], names=[*names, "ids_crc32"]
+            )
+
+    return pieces.mapInArrow(summed, ", ".join(f"{n} long" for n in (*names, "ids_crc32")))
+
+
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return piece_digests(packing.pack(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"), 1))
+
+
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(
         documents(spark, folder), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=True
@@ -136,6 +160,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_token_files": op4_token_files,
     "op5_reply_trees": op5_reply_trees,
+    "op6_packing": op6_packing,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_language_model": op9_language_model,
     "op10_language_id": op10_language_id,
