@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyarrow.fs import FileType
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,8 +59,15 @@ class Dictionaries:
         self.folder, self.make, self.held = folder, make, (None, None)
 
     def __getitem__(self, chunk: int):
+        """The chunk's dictionary; a chunk without one is an error."""
+        if (found := self.get(chunk)) is None:
+            raise KeyError(f"no dictionary for chunk {chunk} in {self.folder}")
+        return found
+
+    def get(self, chunk: int, other=None):
         if self.held[0] != chunk:
-            self.held = (None, None)
+            self.held = (chunk, None)
             files, place = filesystem(f"{self.folder}/chunk={chunk}")
-            self.held = (chunk, self.make(pq.read_table(place, filesystem=files, partitioning=None)))
-        return self.held[1]
+            if files.get_file_info(place).type != FileType.NotFound:
+                self.held = (chunk, self.make(pq.read_table(place, filesystem=files, partitioning=None)))
+        return other if self.held[1] is None else self.held[1]

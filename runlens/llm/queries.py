@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import bpe, chat, exact_dedup, language_id, language_model, packing, simhash, token_files, vector_dedup
+from runlens.llm import bpe, chat, exact_dedup, language_id, language_model, packing, simhash, suffix_dedup, token_files, vector_dedup
 from runlens.llm.shared import documents
 
 
@@ -140,6 +140,10 @@ def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.remove_repeats(documents(spark, folder)))
+
+
 def op9_language_model(spark: SparkSession, folder: str) -> DataFrame:
     scores = language_model.score(documents(spark, folder), id_crc(5) != 1)
     return scores.select(
@@ -162,6 +166,7 @@ QUERIES = {
     "op5_reply_trees": op5_reply_trees,
     "op6_packing": op6_packing,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_language_model": op9_language_model,
     "op10_language_id": op10_language_id,
 }
