@@ -5,9 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from runlens.llm.shared import batch, worker_texts
 
@@ -167,9 +169,6 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def accept(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of `docs` whose text is not rejected, all columns as they are."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @pandas_udf("boolean")

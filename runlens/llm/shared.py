@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from runlens.session import cut_lineage
 
 __all__ = [
-    "cut_lineage", "documents", "filesystem", "keep_rows", "mix", "raw_hash", "shared_folder", "worker_texts",
+    "cut_lineage", "documents", "filesystem", "keep_rows", "mix", "raw_hash", "shared_folder", "slices", "worker_texts",
 ]
 
 
@@ -58,14 +58,13 @@ def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col
     A row is named by its id and the hash of its text, so rows that share an id
     but not a text are told apart; repeats of one row leave one.
     """
-    names = ("__keep_id", "__keep_hash")
-    rows = docs.withColumns({names[0]: F.col(id_col).cast("long"), names[1]: raw_hash(text_col)})
-    wanted = kept.select(F.col("doc_id").alias("k1"), F.col("text_hash").alias("k2"))
-    return (
-        rows.join(wanted, rows[names[0]].eqNullSafe(wanted["k1"]) & (rows[names[1]] == wanted["k2"]), "left_semi")
-        .dropDuplicates(list(names))
-        .drop(*names)
+    id_, text_hash = F.col(id_col).cast("long"), raw_hash(text_col)
+    names = ("__keep_id", "__keep_null", "__keep_hash")
+    rows = docs.withColumns(dict(zip(names, (F.coalesce(id_, F.lit(0)), id_.isNull(), text_hash))))
+    wanted = kept.select(
+        F.coalesce("doc_id", F.lit(0)).alias(names[0]), F.col("doc_id").isNull().alias(names[1]), F.col("text_hash").alias(names[2])
     )
+    return rows.join(wanted, list(names), "left_semi").dropDuplicates(list(names)).drop(*names)
 
 
 def mix(x):
@@ -77,6 +76,18 @@ def mix(x):
     return x ^ (x >> np.uint64(31))
 
 
+def slices(texts: list, size: int):
+    """Index ranges of `texts` that hold about `size` bytes each, so that what is made of them stays small."""
+    at = 0
+    while at < len(texts):
+        upto, total = at, 0
+        while upto < len(texts) and total < size:
+            total += len(texts[upto])
+            upto += 1
+        yield at, upto
+        at = upto
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm.components import components
-from runlens.llm.shared import batch, cut_lineage, worker_texts
+from runlens.llm.shared import batch, cut_lineage, raw_hash, worker_texts
 
 #: Words of a shingle, differing bits that still link, bits of a segment.
 SHINGLE_WORDS, MAX_BITS, SEGMENT_BITS = 3, 2, 4
 _SEED = 42
-_FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+_FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
 _CELLS = pa.schema([("fp", pa.int64()), ("cell", pa.int64()), ("own", pa.bool_()), ("home", pa.int64())])
 
 
@@ -44,14 +44,15 @@ def fingerprint(text: bytes, words_each: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): one row per document, null as empty; fp holds the 64 bits as a signed long."""
+    """(doc_id, text_hash, fp): one row per document, null as empty; fp holds the 64 bits as a signed long."""
 
     def shaped(batches):
         for b in batches:
             found = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield batch(_FINGERPRINTS, b.column("doc_id"), found)
+            yield batch(_FINGERPRINTS, b.column("doc_id"), b.column("text_hash"), found)
 
-    return worker_texts(docs, id_col, text_col).mapInArrow(shaped, "doc_id long, fp long")
+    rows = worker_texts(docs, id_col, text_col, raw_hash(text_col).alias("text_hash"))
+    return rows.mapInArrow(shaped, "doc_id long, text_hash long, fp long")
 
 
 def segment_cells(fps: np.ndarray, bits: int = SEGMENT_BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -109,19 +110,25 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, fp, component_id (smallest doc_id of those reachable by links).
-
-    Equal fingerprints count as linked, that of the empty text too. Rows without
-    an id take part; component_id is null only where a whole component has no
-    id. Repeated rows come out as often as they go in. An empty table gives no
-    rows; other columns are ignored, whatever their names.
+    """One row per document: doc_id, text_hash, fp, component_id (smallest doc_id reachable by links), kept.
+
+    Equal fingerprints count as linked, that of the empty text too. One row of each
+    component is kept: that of component_id (of rows that share this id, the one
+    with the least hash of its text; repeats of it all say so). Rows without an id
+    take part; component_id is null only where a whole component has no id.
+    Repeated rows come out as often as they go in. An empty table gives no rows;
+    other columns are ignored, whatever their names.
     """
     rows = cut_lineage(fingerprints(docs, id_col, text_col))
-    lowest = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    lowest = cut_lineage(rows.groupBy("fp").agg(F.min(place).alias("low")))
     roots = cut_lineage(components(links(rows), "a", "b"))
     rooted = lowest.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root")
     )
-    best = cut_lineage(rooted.groupBy("root").agg(F.min("low").alias("component_id")))
-    named = cut_lineage(rooted.join(best, "root").select("fp", "component_id"))
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    best = cut_lineage(rooted.groupBy("root").agg(F.min("low").alias("best")))
+    named = cut_lineage(rooted.join(best, "root").select("fp", "best"))
+    return rows.join(named, "fp").select(
+        "doc_id", "text_hash", "fp", F.col("best.doc_id").alias("component_id"),
+        (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))).alias("kept"),
+    )
