@@ -17,7 +17,7 @@ from runlens.llm.shared import batch, worker_texts
 SAMPLE_ROWS, REJECT_SHARE = 3000, 0.0005
 #: Bytes of the subwords, buckets of their hash, numbers of an embedding.
 ORDERS, BUCKETS, DIM = (1, 2, 3, 4), 1 << 15, 16
-EPOCHS, RATE, MINI_BATCH = 12, 2.0, 32
+STEPS, RATE, MINI_BATCH = 1000, 2.0, 32
 UNKNOWN = "und"
 _BLOCK = 1 << 16
 
@@ -97,8 +97,9 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     train = order[len(rows) // 5 :]
     table = rng.normal(0, 1 / np.sqrt(DIM), (BUCKETS, DIM)).astype(np.float32)
     weights, bias = np.zeros((DIM, len(langs)), np.float32), np.zeros(len(langs), np.float32)
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = -(-STEPS * MINI_BATCH // len(train))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         order = rng.permutation(train)
         for i in range(0, len(order), MINI_BATCH):
             docs = order[i : i + MINI_BATCH]

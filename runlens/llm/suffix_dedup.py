@@ -381,6 +381,8 @@ def shorten(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", cha
 
     A character of which a byte is removed goes whole, so that the text stays valid. Null texts stay null.
     """
+    if not docs.inputFiles():
+        docs = cut_lineage(docs)
     rows, folder = _prepared(docs, id_col, text_col)
     names, schema = docs.columns, docs.schema
     chunk = F.xxhash64(F.input_file_name(), F.input_file_block_start()).alias("__chunk")
