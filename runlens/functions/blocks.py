@@ -121,6 +121,22 @@ def with_first(
     return joined.select(*df.columns, *[F.col(f"__first.__take_{out}").alias(out) for out in take])
 
 
+def running_sum_before(
+    df: DataFrame, keys: list[str], order: list[str], value: str, out: str
+) -> DataFrame:
+    """Add the sum of `value` over all earlier rows of the same key (0 for the first)."""
+    before = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = _within(keys, order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = _join_carry(
+        with_block(df, order[0]), keys, order,
+        [F.sum(value).alias("__sum")],
+        F.coalesce(F.sum("__sum").over(before), F.lit(0)),
+        [("__near", F.coalesce(F.sum(value).over(earlier), F.lit(0)))],
+    )
+    total = F.col("__near") + F.coalesce("__carry", F.lit(0))
+    return joined.withColumn(out, total).drop("__near", "__carry", "__block")
+
+
 def running_max_before(
     df: DataFrame, keys: list[str], order: list[str], value: str, out: str
 ) -> DataFrame:

@@ -22,14 +22,14 @@ def make_run_id(trigger: Column, dag_id: Column, logical_date: Column) -> Column
     return F.concat(prefix, F.lit("-"), dag_id, F.lit("-"), stamp)
 
 
-def make_manual_run_id(dag_id: Column, seed: Column) -> Column:
-    """A manual run's id: eight hex digits after the DAG.
+def make_manual_run_id(dag_id: Column, seed: Column, digits: int = 24) -> Column:
+    """A manual run's id: `digits` hex digits after the DAG.
 
-    They come from a digest of the request, not from a random source, so a
+    24 of them hold 96 bits, so that ids of one DAG do not meet. They come from a digest of the request, not from a random source, so a
     recomputed task gives the same id again.
     """
     digest = F.sha2(F.concat_ws("|", dag_id, seed.cast("string")), 256)
-    return F.concat(F.lit("manual-"), dag_id, F.lit("-"), F.substring(digest, 1, 8))
+    return F.concat(F.lit("manual-"), dag_id, F.lit("-"), F.substring(digest, 1, digits))
 
 
 def has_retries_left(attempts_made: Column, retries: Column) -> Column:

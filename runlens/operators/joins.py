@@ -7,6 +7,7 @@ to be small; otherwise adaptive skew splitting deals with hot DAGs.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runlens.functions import blocks
 from runlens.functions.maps import json_object, json_to_map
 from runlens.functions.skew import spread_join
 from runlens.functions.states import is_terminal, make_run_id
@@ -15,10 +16,6 @@ from runlens.functions.text import REMOTE_REF_PATTERN
 _KEY = ["dag_id", "run_id", "task_id"]
 
 
-def _quoted(name: str):
-    return F.concat(F.lit("'"), F.col(name), F.lit("'"))
-
-
 def resolve_upstream_outputs(
     edges: DataFrame, contexts: DataFrame, teardowns: DataFrame | None = None
 ) -> DataFrame:
@@ -49,10 +46,11 @@ def resolve_upstream_outputs(
     )
 
 
-def _issue(df: DataFrame, severity: str, category: str, message) -> DataFrame:
+def issue_rows(df: DataFrame, severity: str, code: str, concerns=None) -> DataFrame:
+    """Issues as (dag_id, task_id, severity, code, concerns): what is wrong with a task, and with regard to what."""
+    concerns = F.lit(None).cast("string") if concerns is None else F.col(concerns)
     return df.select(
-        "dag_id", "task_id", F.lit(severity).alias("severity"),
-        F.lit(category).alias("category"), message.alias("message"),
+        "dag_id", "task_id", F.lit(severity).alias("severity"), F.lit(code).alias("code"), concerns.alias("concerns")
     )
 
 
@@ -61,26 +59,20 @@ def missing_upstreams(tasks: DataFrame) -> DataFrame:
     declared = tasks.select("dag_id", "task_id", F.explode("upstream").alias("upstream"))
     known = tasks.select("dag_id", F.col("task_id").alias("upstream"))
     missing = declared.join(known, ["dag_id", "upstream"], "left_anti")
-    text = F.concat(F.lit("Upstream "), _quoted("upstream"), F.lit(" does not exist in DAG."))
-    return _issue(missing, "error", "graph", text)
+    return issue_rows(missing, "error", "missing_upstream", "upstream")
 
 
 def missing_plugins(tasks: DataFrame, registry: DataFrame) -> DataFrame:
     """Plugins not in the registry (errors); remote references give warnings."""
     remote = F.col("uses").rlike(REMOTE_REF_PATTERN)
-    warn = F.concat(
-        F.lit("Remote plugin "), _quoted("uses"),
-        F.lit(" will be installed before this task runs."),
-    )
-    lost = F.concat(F.lit("Plugin "), _quoted("uses"), F.lit(" not found in registry."))
     name = F.expr("regexp_replace(uses, '@[^@]*$', '')")
     local = tasks.filter(~remote).withColumn("plugin_name", name)
     known = registry.select("plugin_name")
     unknown = local.join(known, "plugin_name", "left_anti").join(
         known.withColumnRenamed("plugin_name", "uses"), "uses", "left_anti"
     )
-    return _issue(unknown, "error", "plugin", lost).unionByName(
-        _issue(tasks.filter(remote), "warning", "plugin", warn)
+    return issue_rows(unknown, "error", "unknown_plugin", "uses").unionByName(
+        issue_rows(tasks.filter(remote), "warning", "remote_plugin", "uses")
     )
 
 
@@ -88,14 +80,10 @@ def bad_teardowns(tasks: DataFrame) -> DataFrame:
     """Teardowns of a task that does not exist, and teardowns of themselves."""
     marked = tasks.filter(F.coalesce("teardown", F.lit("")) != "")
     known = tasks.select("dag_id", F.col("task_id").alias("teardown"))
-    lost = F.concat(
-        F.lit("Teardown references task "), _quoted("teardown"),
-        F.lit(" which does not exist in DAG."),
+    lost = marked.join(known, ["dag_id", "teardown"], "left_anti")
+    return issue_rows(lost, "error", "missing_setup", "teardown").unionByName(
+        issue_rows(marked.filter("teardown = task_id"), "error", "own_teardown", "teardown")
     )
-    own = F.lit("A task cannot be a teardown for itself.")
-    return _issue(
-        marked.join(known, ["dag_id", "teardown"], "left_anti"), "error", "graph", lost
-    ).unionByName(_issue(marked.filter("teardown = task_id"), "error", "graph", own))
 
 
 def roll_deployments(deployments: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -168,17 +156,21 @@ def validate_triggers(triggers: DataFrame, requirements: DataFrame) -> DataFrame
     needed = requirements.filter(~F.col("has_default") & ~F.col("overridden"))
     given = F.map_contains_key(json_to_map(F.col("variables")), F.col("var_key"))
     return triggers.join(needed, "deployment_id").filter(~given).select(
-        "trigger_id", "deployment_id", "var_key",
-        F.concat(F.lit("Required variable "), _quoted("var_key"), F.lit(" not provided"))
-        .alias("error"),
+        "trigger_id", "deployment_id", "var_key", F.lit("missing_variable").alias("error")
     )
 
 
 def admit_triggers(
     triggers: DataFrame, deployments: DataFrame, dags: DataFrame,
     active: DataFrame, requirements: DataFrame,
+    order: tuple[str, ...] = ("created_at", "trigger_id"),
 ) -> DataFrame:
-    """Admission of every trigger, or the first reason against it."""
+    """Admission of every trigger, or the first reason against it.
+
+    The triggers of a deployment are taken in drain order (`order`, a total one).
+    Each that is fit takes one place under the limit, beside the runs that are
+    active already; behind a full limit every trigger waits, fit or not.
+    """
     invalid = validate_triggers(triggers, requirements).groupBy("trigger_id").agg(
         F.count(F.lit(1)).alias("missing")
     )
@@ -198,8 +190,13 @@ def admit_triggers(
     facts = spread_join(triggers, known, ["deployment_id"], "left").join(
         invalid, "trigger_id", "left"
     )
-    full = F.coalesce("active_runs", F.lit(0)) >= F.col("max_active_runs")
-    return facts.withColumn(
+    fit = F.col("missing").isNull() & F.col("is_loaded").isNotNull()
+    keyed = facts.withColumn("__fit", fit.cast("long")).withColumn(
+        "__deployment", F.coalesce("deployment_id", F.lit(""))
+    )
+    queued = blocks.running_sum_before(keyed, ["__deployment"], list(order), "__fit", "__taken")
+    full = F.coalesce("active_runs", F.lit(0)) + F.col("__taken") >= F.col("max_active_runs")
+    return queued.withColumn(
         "verdict",
         F.when(F.col("is_deployed").isNull(), "unknown_deployment")
         .when(full, "max_active_runs")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions.rules import blocked_state, rule_columns, rule_satisfied
 from runlens.functions.states import is_terminal
+from runlens.values import TRIGGER_RULES
 
 COUNTS = ("success", "failed", "skipped", "upstream_failed", "done", "total")
 _KEY = ["dag_id", "run_id", "task_id"]
@@ -84,22 +85,32 @@ def evaluate_all_rules(
     return table.unpivot(_KEY, list(outcomes), "rule", "satisfied")
 
 
-def run_states(states: DataFrame, teardowns: DataFrame) -> DataFrame:
-    """State of each run; outcomes of teardown tasks do not count."""
+def run_states(states: DataFrame, teardowns: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """State of each run: `running` until all its reported tasks are final.
+
+    Outcomes of teardown tasks do not count for or against a run. With `runs`
+    every run has a row; one that no task has reported for is running.
+    """
     marks = teardowns.select(
         "dag_id", F.col("teardown").alias("task_id"), F.lit(True).alias("is_teardown")
     )
     counts_against = F.col("is_teardown").isNull() & F.col("state").isin(
         "failed", "upstream_failed"
     )
-    return (
+    judged = (
         states.join(marks, ["dag_id", "task_id"], "left")
         .groupBy("dag_id", "run_id")
         .agg(
-            F.when(F.bool_or(counts_against), "failed").otherwise("success")
+            F.when(~F.bool_and(is_terminal(F.col("state"))), "running")
+            .when(F.bool_or(counts_against), "failed").otherwise("success")
             .alias("run_state")
         )
     )
+    if runs is None:
+        return judged
+    return runs.select("dag_id", "run_id").join(judged, ["dag_id", "run_id"], "left").select(
+        "dag_id", "run_id", F.coalesce("run_state", F.lit("running")).alias("run_state")
+    )
 
 
 def ready_tasks(
@@ -108,8 +119,8 @@ def ready_tasks(
     """What to do with every task still in state none.
 
     `decision` is `run` when all upstreams are final and the rule holds,
-    `upstream_failed` or `skipped` when it cannot hold any more, `wait`
-    otherwise. `states` must hold one row per recorded (run, task).
+    `upstream_failed` or `skipped` when it cannot hold any more, `unknown_rule`
+    where the rule's name is none, `wait` otherwise. `states` must hold one row per recorded (run, task).
     """
     counted = _with_counts(tasks, edges, states, runs)
     pending = counted.join(
@@ -118,7 +129,8 @@ def ready_tasks(
     settled = F.col("n_terminal") >= F.col("n_total")
     return pending.withColumn(
         "decision",
-        F.when(~settled, "wait")
+        F.when(~F.coalesce(F.col("trigger_rule").isin(*TRIGGER_RULES), F.lit(False)), "unknown_rule")
+        .when(~settled, "wait")
         .when(rule_satisfied(F.col("trigger_rule")), "run")
         .otherwise(blocked_state(F.col("n_broken"))),
     ).select(*_KEY, "trigger_rule", "decision")

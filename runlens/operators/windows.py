@@ -27,9 +27,17 @@ def current_states(
     held = [name for name in events.columns if name not in keys]
     ranked = [*order, *[name for name in held if name not in order]]
     row = F.struct(*ranked)
-    # Maps have no order; rows that hold one are picked by `order` alone.
-    sortable = "map<" not in events.select(*ranked).schema.simpleString()
-    newest = F.max(row) if sortable else F.max_by(row, F.struct(*order))
+    # Maps have no order; a column that holds one is ranked by its sorted entries, or its JSON text if it lies deeper.
+    kinds = {field.name: field.dataType.simpleString() for field in events.schema.fields}
+
+    def sortable(name: str):
+        if "map<" not in kinds[name]:
+            return F.col(name)
+        flat = kinds[name].startswith("map<") and kinds[name].count("map<") == 1
+        return F.array_sort(F.map_entries(name)) if flat else F.to_json(name)
+
+    mapped = any("map<" in kinds[name] for name in ranked)
+    newest = F.max_by(row, F.struct(*map(sortable, ranked))) if mapped else F.max(row)
     return events.groupBy(*keys).agg(newest.alias("__row")).select(*keys, *[f"__row.{name}" for name in held])
 
 
@@ -47,16 +55,19 @@ def dedup_scheduled_runs(
     """First creator per key wins; the others learn the winner's run id.
 
     The default key is (dag_id, logical date to the second). A candidate
-    without a logical date is always created.
+    without a logical date is always created. Candidates that `order` leaves
+    equal are told apart by their run id, and by all columns after that.
     """
     keys = keys or ["dag_id", "logical_second"]
     dated = candidates.withColumn("logical_second", F.date_trunc("second", "logical_date"))
     dated = dated.withColumn("logical_second", F.col("logical_second").cast("timestamp_ntz"))
     scheduled = dated.filter(F.col("logical_date").isNotNull())
-    rivals = {"actual_run_id": "run_id"} | {f"__{column}": column for column in order}
-    known = blocks.with_first(scheduled, keys, order, rivals)
+    plain = [f.name for f in scheduled.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    rank = list(dict.fromkeys([*order, "run_id", *plain]))
+    rivals = {"actual_run_id": "run_id"} | {f"__{column}": column for column in rank}
+    known = blocks.with_first(scheduled, keys, rank, rivals)
     same = F.lit(True)
-    for column in order:
+    for column in rank:
         same = same & F.col(column).eqNullSafe(F.col(f"__{column}"))
     decided = known.select(*candidates.columns, same.alias("created"), "actual_run_id")
     manual = candidates.filter(F.col("logical_date").isNull()).select(
@@ -67,8 +78,8 @@ def dedup_scheduled_runs(
 
 
 def claim_triggers(claims: DataFrame, order: list[str]) -> DataFrame:
-    """First claimer per trigger: (trigger_id, claimed_by, claimed_at)."""
-    first = F.min_by(F.struct("instance_id", "claimed_at"), F.struct(*order))
+    """First claimer per trigger: (trigger_id, claimed_by, claimed_at); ties go to the smaller instance id."""
+    first = F.min_by(F.struct("instance_id", "claimed_at"), F.struct(*order, "instance_id", "claimed_at"))
     return claims.groupBy("trigger_id").agg(first.alias("__c")).select(
         "trigger_id", F.col("__c.instance_id").alias("claimed_by"),
         F.col("__c.claimed_at").alias("claimed_at"),

@@ -6,40 +6,28 @@ from pyspark.sql import functions as F
 from runlens.operators import graph as G
 from runlens.operators import joins as J
 from runlens.operators.aggregates import duplicate_task_ids
+from runlens.values import TRIGGER_RULES
 
 
 def catalog_issues(tasks: DataFrame, registry: DataFrame) -> DataFrame:
-    """Errors and warnings of every DAG as (dag_id, task_id, severity, category, message).
+    """Errors and warnings of every DAG as (dag_id, task_id, severity, code, concerns).
 
     A DAG with a cycle gives one row per task on the cycle or behind it.
     """
-    duplicates = duplicate_task_ids(tasks).select(
-        "dag_id", "task_id", F.lit("error").alias("severity"),
-        F.lit("graph").alias("category"),
-        F.concat(F.lit("Duplicate task ID '"), F.col("task_id"), F.lit("'.")).alias("message"),
-    )
+    duplicates = J.issue_rows(duplicate_task_ids(tasks), "error", "repeated_task")
     nodes = tasks.select("dag_id", F.col("task_id").alias("node"))
-    cycles = G.find_cycles(G.adjacency(tasks), nodes).select(
-        "dag_id", F.col("node").alias("task_id"), F.lit("error").alias("severity"),
-        F.lit("graph").alias("category"), F.lit("On or behind a cycle.").alias("message"),
-    )
-    return (
+    cyclic = G.find_cycles(G.adjacency(tasks), nodes).withColumnRenamed("node", "task_id")
+    cycles = J.issue_rows(cyclic, "error", "cyclic")
+    issues = (
         duplicates.unionByName(J.missing_plugins(tasks, registry))
         .unionByName(J.missing_upstreams(tasks))
         .unionByName(J.bad_teardowns(tasks))
         .unionByName(cycles)
     )
-
-
-def render_issues(substituted: DataFrame) -> DataFrame:
-    """Warnings of inputs that could not be rendered, from `variables.substitute`."""
-    return substituted.filter(F.col("warning").isNotNull()).select(
-        "dag_id", "task_id", F.lit("warning").alias("severity"),
-        F.lit("render").alias("category"),
-        F.concat(
-            F.lit("Failed to render '"), F.col("input_key"), F.lit("': "), F.col("warning")
-        ).alias("message"),
-    )
+    if "trigger_rule" in tasks.columns:
+        known = F.coalesce(F.col("trigger_rule").isin(*TRIGGER_RULES), F.lit(False))
+        issues = issues.unionByName(J.issue_rows(tasks.filter(~known), "error", "unknown_rule", "trigger_rule"))
+    return issues
 
 
 def plan_catalog(tasks: DataFrame, registry: DataFrame) -> DataFrame:

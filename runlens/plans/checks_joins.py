@@ -37,20 +37,16 @@ def _(h):
     return found.withColumn("upstream_outputs", F.array_join(F.array_sort(entries), ";"))
 
 
-LOST = """SELECT t.dag_id, t.task_id, 'error' AS severity, 'graph' AS category,
-        'Upstream ''' || u.up || ''' does not exist in DAG.' AS message
+LOST = """SELECT t.dag_id, t.task_id, 'error' AS severity, 'missing_upstream' AS code, u.up AS concerns
     FROM {fx_plan_tasks} t, unnest(split(t.upstream_list, ',')) AS u(up)
     WHERE u.up <> '' AND NOT EXISTS (SELECT 1 FROM {fx_plan_tasks} k WHERE k.dag_id = t.dag_id AND k.task_id = u.up)"""
 PLUGINS = """SELECT dag_id, task_id, CASE WHEN uses LIKE '%@%' THEN 'warning' ELSE 'error' END AS severity,
-        'plugin' AS category,
-        CASE WHEN uses LIKE '%@%' THEN 'Remote plugin ''' || uses || ''' will be installed before this task runs.'
-             ELSE 'Plugin ''' || uses || ''' not found in registry.' END AS message
+        CASE WHEN uses LIKE '%@%' THEN 'remote_plugin' ELSE 'unknown_plugin' END AS code, uses AS concerns
     FROM {fx_plan_tasks} WHERE uses <> 'py'"""
-TEARDOWNS = """SELECT dag_id, task_id, 'error' AS severity, 'graph' AS category,
-        'Teardown references task ''' || teardown || ''' which does not exist in DAG.' AS message
+TEARDOWNS = """SELECT dag_id, task_id, 'error' AS severity, 'missing_setup' AS code, teardown AS concerns
     FROM {fx_plan_tasks} t WHERE teardown IS NOT NULL
         AND NOT EXISTS (SELECT 1 FROM {fx_plan_tasks} k WHERE k.dag_id = t.dag_id AND k.task_id = t.teardown)
-    UNION ALL SELECT dag_id, task_id, 'error', 'graph', 'A task cannot be a teardown for itself.'
+    UNION ALL SELECT dag_id, task_id, 'error', 'own_teardown', teardown
     FROM {fx_plan_tasks} WHERE teardown = task_id"""
 
 
@@ -110,7 +106,7 @@ def _(h):
 
 
 MISSING = """SELECT t.trigger_id, t.deployment_id, r.var_key,
-        'Required variable ''' || r.var_key || ''' not provided' AS error
+        'missing_variable' AS error
     FROM {fx_triggers} t JOIN {fx_requirements} r ON r.deployment_id = t.deployment_id
     WHERE NOT r.has_default AND NOT r.overridden AND t.variables NOT LIKE '%"' || r.var_key || '"%'"""
 
@@ -122,13 +118,18 @@ def _(h):
 
 @check("jn9_admit_triggers", f"""
     WITH bad AS (SELECT DISTINCT trigger_id FROM ({MISSING})),
-    act AS (SELECT deployment_id, count(*) AS n FROM {{fx_runs}} WHERE state = 'running' GROUP BY ALL)
-    SELECT t.trigger_id, d.dag_id, CASE WHEN d.id IS NULL THEN 'unknown_deployment'
-        WHEN coalesce(a.n, 0) >= d.max_active_runs THEN 'max_active_runs'
-        WHEN t.trigger_id IN (SELECT trigger_id FROM bad) THEN 'invalid_variables'
-        WHEN d.dag_id NOT IN (SELECT dag_id FROM {{fx_dags}}) THEN 'unknown_dag' ELSE 'admitted' END AS verdict
-    FROM {{fx_triggers}} t LEFT JOIN {{fx_deployments}} d ON d.id = t.deployment_id
-    LEFT JOIN act a ON a.deployment_id = t.deployment_id""")
+    act AS (SELECT deployment_id, count(*) AS n FROM {{fx_runs}} WHERE state = 'running' GROUP BY ALL),
+    facts AS (SELECT t.*, d.id, d.dag_id, d.max_active_runs, coalesce(a.n, 0) AS n,
+                     t.trigger_id IN (SELECT trigger_id FROM bad) AS wrong,
+                     coalesce(d.dag_id IN (SELECT dag_id FROM {{fx_dags}}), false) AS loaded
+              FROM {{fx_triggers}} t LEFT JOIN {{fx_deployments}} d ON d.id = t.deployment_id
+              LEFT JOIN act a ON a.deployment_id = t.deployment_id),
+    queued AS (SELECT *, coalesce(sum(CASE WHEN NOT wrong AND loaded THEN 1 ELSE 0 END) OVER (PARTITION BY deployment_id
+                   ORDER BY created_at, trigger_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM facts)
+    SELECT trigger_id, dag_id, CASE WHEN id IS NULL THEN 'unknown_deployment'
+        WHEN n + taken >= max_active_runs THEN 'max_active_runs'
+        WHEN wrong THEN 'invalid_variables' WHEN NOT loaded THEN 'unknown_dag' ELSE 'admitted' END AS verdict
+    FROM queued""")
 def _(h):
     from runlens.operators.aggregates import active_counts
 
@@ -188,10 +189,9 @@ def _(h):
 
 # In the faulty catalog t8 and t9 of a `loop` DAG wait for each other only if
 # t8 exists; t9 always waits for itself.
-CYCLES = """SELECT DISTINCT dag_id, task_id, 'error' AS severity, 'graph' AS category, 'On or behind a cycle.' AS message
+CYCLES = """SELECT DISTINCT dag_id, task_id, 'error' AS severity, 'cyclic' AS code, CAST(NULL AS VARCHAR) AS concerns
     FROM {fx_plan_tasks} WHERE task_id = 't9'"""
-REPEATS = """SELECT dag_id, task_id, 'error' AS severity, 'graph' AS category,
-        'Duplicate task ID ''' || task_id || '''.' AS message
+REPEATS = """SELECT dag_id, task_id, 'error' AS severity, 'repeated_task' AS code, CAST(NULL AS VARCHAR) AS concerns
     FROM {fx_plan_tasks} GROUP BY dag_id, task_id HAVING count(*) > 1"""
 ISSUES = f"{REPEATS} UNION ALL {LOST} UNION ALL {PLUGINS} UNION ALL {TEARDOWNS} UNION ALL {CYCLES}"
 

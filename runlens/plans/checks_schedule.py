@@ -411,12 +411,12 @@ def _(h):
 
 
 @check("ss5_first_runs", """
-    SELECT dag_id, logical_date, count(*) AS candidates, count(DISTINCT CASE WHEN logical_date IS NULL THEN NULL ELSE 1 END) AS created
-    FROM {fx_candidates} WHERE logical_date IS NOT NULL GROUP BY ALL""")
+    SELECT dag_id, logical_date, count(*) AS candidates, CASE WHEN logical_date IS NULL THEN count(*) ELSE 1 END AS created
+    FROM {fx_candidates} GROUP BY dag_id, logical_date""")
 def _(h):
     decided = windows.dedup_scheduled_runs(
         h.fx_candidates, ["created_at", "instance_no", "line_no", "part_no", "run_id"]
-    ).filter("logical_date IS NOT NULL")
+    )
     return decided.groupBy("dag_id", "logical_date").agg(
         F.count(F.lit(1)).alias("candidates"), F.count_if("created").alias("created")
     )

@@ -42,7 +42,7 @@ def _(h):
 
 @check("fp5_make_run_id", """
     SELECT run_no, CASE run_no % 4
-        WHEN 0 THEN 'manual-' || dag_id || '-' || substr(sha256(dag_id || '|' || CAST(run_no AS VARCHAR)), 1, 8)
+        WHEN 0 THEN 'manual-' || dag_id || '-' || substr(sha256(dag_id || '|' || CAST(run_no AS VARCHAR)), 1, 24)
         WHEN 1 THEN 'backfill-' || dag_id || '-' || strftime(logical_date, '%Y%m%dT%H%M%S')
         ELSE 'scheduled-' || dag_id || '-' || strftime(logical_date, '%Y%m%dT%H%M%S') END AS run_id
     FROM {fx_runs}""")
@@ -297,11 +297,14 @@ def _(h):
 
 
 @check("tr4_run_states", """
-    SELECT dag_id, run_id, CASE WHEN count(*) FILTER (task_id <> 't7' AND state IN ('failed', 'upstream_failed')) > 0
-                                THEN 'failed' ELSE 'success' END AS run_state
-    FROM {fx_task_states} GROUP BY ALL""")
-def _(h):
-    return rules.run_states(h.fx_task_states, G.teardown_pairs(h.fx_tasks))
+    SELECT r.dag_id, r.run_id, CASE
+        WHEN count(s.task_id) = 0 THEN 'running'
+        WHEN count(s.task_id) FILTER (s.state NOT IN ('success', 'failed', 'skipped', 'upstream_failed', 'removed')) > 0 THEN 'running'
+        WHEN count(s.task_id) FILTER (s.task_id <> 't7' AND s.state IN ('failed', 'upstream_failed')) > 0 THEN 'failed'
+        ELSE 'success' END AS run_state
+    FROM {fx_runs} r LEFT JOIN {fx_task_states} s ON s.dag_id = r.dag_id AND s.run_id = r.run_id GROUP BY ALL""")
+def _(h):
+    return rules.run_states(h.fx_task_states, G.teardown_pairs(h.fx_tasks), h.fx_runs)
 
 
 @check("tr5_ready_tasks", f"""

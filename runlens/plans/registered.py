@@ -18,5 +18,5 @@ def runnable_tasks(h: History) -> DataFrame:
     ready = rules.ready_tasks(
         sets.normal_tasks(tasks), graph.adjacency(tasks), states, h.fx_runs
     )
-    verdicts = rules.run_states(states, graph.teardown_pairs(tasks))
+    verdicts = rules.run_states(states, graph.teardown_pairs(tasks), h.fx_runs)
     return ready.join(verdicts, ["dag_id", "run_id"], "left")

@@ -21,10 +21,16 @@ def local_session(app: str = "runlens", cores: str = "*") -> SparkSession:
 
 
 def _scratch(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables, one per application."""
+    """The shared folder for intermediate tables, one per application.
+
+    A session on a cluster must name it; only a local one, as in tests, gets a
+    folder of its own.
+    """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if root is None:  # only where no cluster names one, as in tests
+    if root is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="runlens-"))
         root = context.getCheckpointDir()
     return f"{root.rstrip('/')}/runlens/{context.applicationId}"

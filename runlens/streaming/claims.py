@@ -15,10 +15,13 @@ def stream_claims(claims: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def stream_run_dedup(candidates: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """First scheduled run per (dag_id, logical date to the second)."""
+    """First scheduled run per (dag_id, logical date to the second); runs without a logical date all stay."""
+    timed = event_time(candidates, "created_at").withWatermark("created_at", delay)
+    # a run without a date has a key of its own
+    own = F.when(F.col("logical_date").isNull(), F.coalesce("run_id", F.xxhash64(*candidates.columns).cast("string")))
     return (
-        event_time(candidates, "created_at").withWatermark("created_at", delay)
-        .withColumn("logical_second", F.date_trunc("second", "logical_date"))
-        .dropDuplicatesWithinWatermark(["dag_id", "logical_second"])
-        .drop("logical_second")
+        timed.withColumn("logical_second", F.date_trunc("second", "logical_date"))
+        .withColumn("own_key", own)
+        .dropDuplicatesWithinWatermark(["dag_id", "logical_second", "own_key"])
+        .drop("logical_second", "own_key")
     )

@@ -221,10 +221,11 @@ def test_plan_checks(spark):
     ).unionByName(tasks_of(spark, "good", ("a", []), ("b", ["a"])))
     registry = spark.createDataFrame([("py",)], "plugin_name string")
     issues = catalog.catalog_issues(tasks, registry)
-    assert rows(issues, "dag_id", "task_id", "severity", "category") == sorted([
-        ("bad", "a", "error", "graph"), ("bad", "a", "error", "graph"), ("bad", "b", "error", "graph"),
-        ("bad", "c", "error", "graph"), ("bad", "d", "error", "graph"), ("bad", "e", "error", "plugin"),
-        ("bad", "f", "error", "graph"), ("bad", "f", "warning", "plugin"),
+    assert rows(issues, "dag_id", "task_id", "severity", "code", "concerns") == sorted([
+        ("bad", "a", "error", "repeated_task", None), ("bad", "a", "error", "missing_upstream", "ghost"),
+        ("bad", "b", "error", "own_teardown", "b"), ("bad", "c", "error", "cyclic", None), ("bad", "d", "error", "cyclic", None),
+        ("bad", "e", "error", "unknown_plugin", "nope"), ("bad", "f", "error", "missing_setup", "gone"),
+        ("bad", "f", "warning", "remote_plugin", "org/repo@1.0"),
     ], key=repr)
     assert rows(catalog.plan_catalog(tasks, registry), "dag_id", "is_valid") == [("bad", False), ("good", True)]
 

@@ -115,6 +115,28 @@ def test_run_state_ignores_teardowns(spark):
     ]
 
 
+def test_a_run_is_running_until_all_is_final(spark):
+    states = spark.createDataFrame(
+        [("d", "r1", "a", "failed"), ("d", "r1", "b", "running"), ("d", "r2", "a", "running")],
+        "dag_id string, run_id string, task_id string, state string",
+    )
+    teardowns = spark.createDataFrame([], "dag_id string, teardown string, setup string")
+    runs = spark.createDataFrame([("d", "r1"), ("d", "r2"), ("d", "r3")], "dag_id string, run_id string")
+    assert rows(rules.run_states(states, teardowns, runs), "run_id", "run_state") == [
+        ("r1", "running"), ("r2", "running"), ("r3", "running"),
+    ]
+
+
+def test_an_unknown_rule_is_named(spark):
+    tasks = spark.createDataFrame(
+        [("d", "a", "all_sucess", [])], "dag_id string, task_id string, trigger_rule string, upstream array<string>"
+    )
+    edges = spark.createDataFrame([], "dag_id string, upstream string, downstream string")
+    states = spark.createDataFrame([], "dag_id string, run_id string, task_id string, state string")
+    runs = spark.createDataFrame([("d", "r")], "dag_id string, run_id string")
+    assert rows(rules.ready_tasks(tasks, edges, states, runs), "task_id", "decision") == [("a", "unknown_rule")]
+
+
 def test_terminal_states(spark):
     df = spark.createDataFrame([(s,) for s in (*TASK_STATES, None)], "state string")
     got = {row["state"]: row["is_terminal"] for row in filters.with_terminal(df).collect()}

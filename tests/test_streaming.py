@@ -50,9 +50,13 @@ def test_first_claims(spark, history, tmp_path):
 
 
 def test_first_runs(spark, history, tmp_path):
-    dated = history.fx_candidates.filter("logical_date IS NOT NULL")
-    got = drain(claims.stream_run_dedup(staged(spark, dated, tmp_path / "in", 1), "9000 days"), "runs")
-    assert got.count() == dated.select("dag_id", "logical_date").distinct().count()
+    """One row per dated second, and every manual run."""
+    candidates = history.fx_candidates
+    got = drain(claims.stream_run_dedup(staged(spark, candidates, tmp_path / "in", 1), "9000 days"), "runs")
+    dated = candidates.filter("logical_date IS NOT NULL").select("dag_id", "logical_date").distinct()
+    assert rows(got.filter("logical_date IS NOT NULL"), "dag_id", "logical_date") == rows(dated)
+    manual = candidates.filter("logical_date IS NULL").select("dag_id", "run_id").distinct()
+    assert rows(got.filter("logical_date IS NULL"), "dag_id", "run_id") == rows(manual)
 
 
 def test_zombies_match_the_batch_form(spark, tmp_path):

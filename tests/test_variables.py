@@ -118,24 +118,29 @@ def test_text_helpers(spark):
 
 def test_triggers_need_their_variables(spark):
     triggers = spark.createDataFrame(
-        [("t1", "d", '{"a":"1"}'), ("t2", "d", "{}"), ("t3", "gone", "{}"), ("t4", "full", "{}"), ("t5", "nodag", "{}")],
+        [("t1", "d", '{"a":"1"}'), ("t2", "d", "{}"), ("t3", "gone", "{}"), ("t4", "full", "{}"), ("t5", "nodag", "{}")]
+        + [(f"u{i}", "two", "{}" if i == 1 else '{"a":"1"}') for i in range(6)],
         "trigger_id string, deployment_id string, variables string",
-    )
+    ).withColumn("created_at", F.lit("2026-01-01").cast("timestamp"))
     needs = spark.createDataFrame(
-        [("d", "a", False, False), ("d", "b", False, True), ("d", "c", True, False), ("full", "a", False, False)],
+        [("d", "a", False, False), ("d", "b", False, True), ("d", "c", True, False), ("full", "a", False, False),
+         ("two", "a", False, False)],
         "deployment_id string, var_key string, has_default boolean, overridden boolean",
     )
     deps = spark.createDataFrame(
-        [("d", "g", None), ("full", "g", 1), ("nodag", "zz", 3)], "id string, dag_id string, max_active_runs int"
+        [("d", "g", None), ("full", "g", 1), ("nodag", "zz", 3), ("two", "g", 3)], "id string, dag_id string, max_active_runs int"
     )
     dags = spark.createDataFrame([("g",)], "dag_id string")
-    active = spark.createDataFrame([("full", 1)], "deployment_id string, active_runs long")
+    active = spark.createDataFrame([("full", 1), ("two", 1)], "deployment_id string, active_runs long")
     got = joins.admit_triggers(triggers, deps, dags, active, needs)
     assert rows(got, "trigger_id", "verdict") == [
         ("t1", "admitted"), ("t2", "invalid_variables"), ("t3", "unknown_deployment"),
         ("t4", "max_active_runs"), ("t5", "unknown_dag"),
+        # one run is active and the limit is three: two more, an unfit one takes no place
+        ("u0", "admitted"), ("u1", "invalid_variables"), ("u2", "admitted"),
+        ("u3", "max_active_runs"), ("u4", "max_active_runs"), ("u5", "max_active_runs"),
     ]
-    assert joins.validate_triggers(triggers, needs).first()["error"] == "Required variable 'a' not provided"
+    assert joins.validate_triggers(triggers, needs).first()["error"] == "missing_variable"
 
 
 def test_sync_classes(spark):

@@ -72,6 +72,23 @@ def test_one_creator_wins_and_manual_runs_never_lose(spark):
     ]
 
 
+def test_a_tie_has_one_creator(spark):
+    at = dt.datetime(2026, 6, 6, 12)
+    df = spark.createDataFrame(
+        [("g", at, "b", 1), ("g", at, "a", 1), ("g", at, "c", 1)], "dag_id string, logical_date timestamp_ntz, run_id string, seq int"
+    )
+    got = windows.dedup_scheduled_runs(df, ["seq"])
+    assert rows(got, "run_id", "created", "actual_run_id") == [("a", True, "a"), ("b", False, "a"), ("c", False, "a")]
+
+
+def test_a_map_decides_a_tie(spark):
+    df = spark.createDataFrame(
+        [("d", "r", "t", 1, {"k": "1"}), ("d", "r", "t", 1, {"k": "2"})],
+        "dag_id string, run_id string, task_id string, seq int, outputs map<string,string>",
+    )
+    assert windows.current_states(df, ["seq"]).first()["outputs"] == {"k": "2"}
+
+
 def test_first_claimer_wins(spark):
     df = spark.createDataFrame(
         [("t", "b", 2), ("t", "a", 1), ("u", "b", 3)], "trigger_id string, instance_id string, claimed_at int"
