@@ -34,6 +34,6 @@ def odd_rows():
         (107, " ".join(rng.choices(words, k=20_000))), (108, "Ünïcode  tabs\tand\n\nlines é \x1c \x85 end "),
         (109, "<|endoftext|> </s>[INST] x [/INST]"), (110, "x" * 900), (111, "abcdefgh" * 200), (112, "ÀÉ" * 300),
         (113, prose[2] + " " + shared + " " + prose[3]), (114, prose[4] + shared + prose[5]), (115, "12345 !!! ..."),
-        (116, "don't it's we'll 3.14 ...hm,,, 'tis"), (117, "Σίσυφος ΟΔΟΣ ΣΑΣ"), (118, "日本語 テキスト 中文 "),
+        (116, "don't it's we'll 3.14 ...hm,,, 'tis"), (117, "Σίσυφος ΟΔΟΣ ΣΑΣ ABC Cafe\u0301"), (118, "日本語 テキスト 中文 "),
     ]
     return rows
