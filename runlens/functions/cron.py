@@ -16,6 +16,11 @@ FIELDS = (
     ("months", 1, 12, 1, MONTH_NAMES),
     ("weekdays", 0, 7, 0, WEEKDAY_NAMES),
 )
+# Names of whole schedules.
+ALIASES = {
+    "@yearly": "0 0 1 1 *", "@annually": "0 0 1 1 *", "@monthly": "0 0 1 * *", "@weekly": "0 0 * * 0",
+    "@daily": "0 0 * * *", "@midnight": "0 0 * * *", "@hourly": "0 * * * *",
+}
 ITEM_PATTERN = "^([*]|[?]|[0-9a-z]+(-[0-9a-z]+)?)(/[0-9]+)?$"
 
 
@@ -70,7 +75,7 @@ def _sound(ranges: str, low: int, high: int) -> str:
 def parse(column: str) -> Column:
     """Struct of the five value arrays, `day_or` and `status`, from cron text.
 
-    `status` is ok, invalid or unsupported (six fields, @aliases, L, W, #).
+    `status` is ok, invalid or unsupported (six fields, other @names, L, W, #).
     `day_or` is true where day of month and day of week are both restricted:
     then either may match.
     """
@@ -95,7 +100,9 @@ def parse(column: str) -> Column:
         f"'status', CASE WHEN {odd} THEN 'unsupported' WHEN size(s) = 5 AND {sound} THEN 'ok' "
         "ELSE 'invalid' END)"
     )
-    parts = f"split(lower(trim({column})), '[ \\t]+')"
+    named = " ".join(f"WHEN '{name}' THEN '{plain}'" for name, plain in ALIASES.items())
+    plain = f"CASE lower(trim({column})) {named} ELSE lower(trim({column})) END"
+    parts = f"split({plain}, '[ \\t]+')"
     parsed = _let("s", parts, _let("f", f"named_struct({ranges})", fields))
     return F.expr(f"if({column} IS NULL, NULL, {parsed})")
 

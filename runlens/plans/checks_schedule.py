@@ -365,9 +365,9 @@ def _(h):
     WITH n AS (SELECT task_key, beat_at AS last_beat, kind, lead(beat_at) OVER (PARTITION BY task_key ORDER BY beat_at, seq) AS next_beat
                FROM {fx_heartbeats})
     SELECT task_key, last_beat, next_beat FROM n WHERE kind <> 'terminal'
-        AND epoch_us(next_beat) - epoch_us(last_beat) > 3600000000""")
+        AND epoch_us(coalesce(next_beat, TIMESTAMP '2030-01-01')) - epoch_us(last_beat) > 3600000000""")
 def _(h):
-    return zombies.silences(h.fx_heartbeats, 3600)
+    return zombies.silences(h.fx_heartbeats, 3600, moment("2030-01-01 00:00:00"))
 
 
 @check("ss2_stream_state_table", """

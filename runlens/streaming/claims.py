@@ -2,15 +2,33 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from runlens.streaming.sources import event_time
+from runlens.streaming.tables import stream_winners
 
 
-def stream_claims(claims: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """First claim per trigger; a claim behind the watermark is dropped."""
-    return (
-        event_time(claims, "claimed_at").withWatermark("claimed_at", delay)
-        .dropDuplicatesWithinWatermark(["trigger_id"])
+def first_claims(claims: DataFrame, keys: list[str], order: tuple[str, ...]) -> DataFrame:
+    """The whole row of the first claim per key; ties go by the other columns."""
+    held = [name for name in claims.columns if name not in keys]
+    ranked = [*order, *[name for name in held if name not in order]]
+    return claims.groupBy(*keys).agg(F.min(F.struct(*ranked)).alias("__row")).select(
+        *keys, *[f"__row.{name}" for name in held]
+    )
+
+
+def stream_claims(
+    claims: DataFrame, table: str, checkpoint: str, order: tuple[str, ...] = ("claimed_at",),
+    buckets: int = 32, once: bool = False,
+) -> StreamingQuery:
+    """Keep the first claim per trigger in a table, by the time of the claim, not of its arrival.
+
+    A claim may come as late as it likes: it is compared with the one that the
+    table holds. Read the table with `tables.read_current_states`.
+    """
+    return stream_winners(
+        claims, table, checkpoint, ["trigger_id"],
+        lambda rows, keys: first_claims(rows, keys, order), buckets, once,
     )
 
 

@@ -2,7 +2,6 @@
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,40 +16,85 @@ def stream_current_states(
     events: DataFrame, table: str, checkpoint: str, keys: list[str],
     order: list[str], buckets: int = 32, once: bool = False,
 ) -> StreamingQuery:
-    """Keep the last write per key in a Parquet table.
+    """Keep the last write per key in a Parquet table; see `stream_winners`."""
+    return stream_winners(
+        events, table, checkpoint, keys, lambda rows, by: current_states(rows, order, by), buckets, once
+    )
+
+
+def stream_winners(
+    events: DataFrame, table: str, checkpoint: str, keys: list[str],
+    choose: Callable[[DataFrame, list[str]], DataFrame], buckets: int = 32, once: bool = False,
+) -> StreamingQuery:
+    """Keep one row per key in a Parquet table: `choose(rows, keys)` picks it from the old one and the new ones.
 
     The table is cut into hash buckets of the key. A batch rewrites only the
     buckets it touches, each from its own old rows and the new ones, into a
     folder named after the batch; readers take the newest folder per bucket
-    through `read_current_states`. A repeated batch writes the same folders.
+    through `read_current_states`. A repeated batch writes the same folders. A
+    query with a new checkpoint numbers its batches after those of the table.
     """
     spark = events.sparkSession
+    base = _first_version(spark, table, checkpoint)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets))
-        fresh = batch.withColumn("bucket", bucket.cast("int"))
-        hit = [row[0] for row in fresh.select("bucket").distinct().collect()]  # <= buckets
-        if not hit:
-            return
-        old = _versions(spark, table, before=batch_id)
-        if old is not None:
-            kept = old.filter(F.col("bucket").isin(hit)).drop("version")
-            fresh = kept.unionByName(fresh)
-        newest = current_states(fresh, order, [*keys, "bucket"])
-        newest.withColumn("version", F.lit(batch_id)).repartition("bucket").write.mode(
-            "overwrite"
-        ).option("partitionOverwriteMode", "dynamic").partitionBy("version", "bucket").parquet(table)
+        version = base + batch_id
+        batch.persist()
+        try:
+            bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets))
+            fresh = batch.withColumn("bucket", bucket.cast("int"))
+            hit = [row[0] for row in fresh.select("bucket").distinct().collect()]  # <= buckets
+            if not hit:
+                return
+            old = _versions(spark, table, before=version)
+            if old is not None:
+                kept = old.filter(F.col("bucket").isin(hit)).drop("version")
+                fresh = kept.unionByName(fresh)
+            newest = choose(fresh, [*keys, "bucket"])
+            newest.withColumn("version", F.lit(version)).repartition("bucket").write.mode(
+                "overwrite"
+            ).option("partitionOverwriteMode", "dynamic").partitionBy("version", "bucket").parquet(table)
+        finally:
+            batch.unpersist()
 
     writer = events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def _files(spark, path: str):
+    """The path and its file system, as Spark's own writers see them."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _written_versions(spark, table: str) -> list[int]:
+    path, files = _files(spark, table)
+    if not files.exists(path):
+        return []
+    names = [status.getPath().getName() for status in files.listStatus(path)]
+    return [int(name.removeprefix("version=")) for name in names if name.startswith("version=")]
+
+
+def _first_version(spark, table: str, checkpoint: str) -> int:
+    """Version of batch 0 of a checkpoint: noted beside it when it is first used."""
+    marks, files = _files(spark, f"{checkpoint}.first=*")
+    noted = files.globStatus(marks)
+    if noted:
+        return int(noted[0].getPath().getName().rpartition("=")[2])
+    known = files.exists(_files(spark, checkpoint)[0])
+    first = 0 if known else max(_written_versions(spark, table), default=-1) + 1
+    files.create(_files(spark, f"{checkpoint}.first={first}")[0]).close()
+    return first
+
+
 def _versions(spark, table: str, before: int | None = None) -> DataFrame | None:
-    """Rows of the newest version of every bucket, older than batch `before`."""
-    try:
-        rows = spark.read.parquet(table)
-    except AnalysisException:  # no batch was written yet
+    """Rows of the newest version of every bucket, older than `before`; None if there is no version yet.
+
+    Whatever else goes wrong with reading the table is an error.
+    """
+    if not any(before is None or version < before for version in _written_versions(spark, table)):
         return None
+    rows = spark.read.parquet(table)
     if before is not None:
         rows = rows.filter(F.col("version") < before)
     # One row per bucket; only the partition columns are read for it.

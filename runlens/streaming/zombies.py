@@ -3,7 +3,7 @@
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -14,10 +14,12 @@ SILENCES = "task_key string, last_beat timestamp, silent_since timestamp"
 
 
 class _Silence(StatefulProcessor):
-    """State is the time of the last beat of a task; a timer fires one threshold later.
+    """State is the time of the newest beat of a task and of its end; a timer fires one threshold after the beat.
 
     A batch may hold many beats of a task while a timer only sees the last,
-    so the beats of a batch are scanned in order as well.
+    so the beats of a batch are scanned in order as well. A beat that arrives
+    late moves nothing back: one older than the newest beat is passed over, and
+    so is one from before the task's end.
     """
 
     def __init__(self, threshold: float) -> None:
@@ -26,6 +28,7 @@ class _Silence(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "beat timestamp")
+        self.ended = handle.getValueState("ended", "at timestamp")
 
     def _clear_timers(self) -> None:
         for timer in self.handle.listTimers():
@@ -40,10 +43,17 @@ class _Silence(StatefulProcessor):
         frames = list(rows)
         beats = pd.concat(frames).sort_values(["beat_at", "seq"], kind="stable")
         last = pd.Timestamp(self.last.get()[0]) if self.last.exists() else None
+        ended = pd.Timestamp(self.ended.get()[0]) if self.ended.exists() else None
         for at, kind in zip(beats["beat_at"], beats["kind"]):
+            if (ended is not None and at <= ended) or (last is not None and at < last):
+                continue
             if last is not None and at - last > self.threshold:
                 yield self._row(key, last)
-            last = None if kind == "terminal" else at
+            if kind == "terminal":
+                last, ended = None, at
+                self.ended.update((at.to_pydatetime(),))
+            else:
+                last = at
         self._clear_timers()
         if last is None:
             self.last.clear()
@@ -79,13 +89,13 @@ def stream_zombies(heartbeats: DataFrame, threshold: float, delay: str = "1 minu
     )
 
 
-def silences(heartbeats: DataFrame, threshold: float) -> DataFrame:
-    """Batch form: beats followed by a longer pause. The last beat of a task, whose
-    pause has no end, is not in it."""
+def silences(heartbeats: DataFrame, threshold: float, now: Column) -> DataFrame:
+    """Batch form: beats followed by a longer pause. The pause after a task's last
+    beat lasts until `now`; its row has no next beat."""
     paired = blocks.neighbour(
         heartbeats, ["task_key"], ["beat_at", "seq"], {"next_beat": "beat_at"}, following=True
     )
-    pause = seconds_between(F.col("beat_at"), F.col("next_beat"))
+    pause = seconds_between(F.col("beat_at"), F.coalesce("next_beat", now))
     return paired.filter((F.col("kind") != "terminal") & (pause > threshold)).select(
         "task_key", F.col("beat_at").alias("last_beat"), "next_beat"
     )

@@ -73,7 +73,7 @@ STATUSES = [
     ("0 0 * * *", "ok"), ("60 * * * *", "invalid"), ("* 24 * * *", "invalid"), ("* * 0 * *", "invalid"),
     ("* * * 13 *", "invalid"), ("* * * * 8", "invalid"), ("*/0 * * * *", "invalid"), ("a * * * *", "invalid"),
     ("5-1 * * * *", "invalid"), ("1-2-3 * * * *", "invalid"), ("* * * *", "invalid"), ("", "invalid"),
-    ("0 0 * * wed", "ok"), ("@daily", "unsupported"), ("0 0 0 * * *", "unsupported"),
+    ("0 0 * * wed", "ok"), ("@daily", "ok"), (" @Hourly ", "ok"), ("@reboot", "unsupported"), ("0 0 0 * * *", "unsupported"),
     ("0 0 L * *", "unsupported"), ("0 0 * * 5L", "unsupported"), ("0 0 * * mon#2", "unsupported"),
     ("0 0 15W * *", "unsupported"), ("0 0 * jul *", "ok"), ("  0   0 * * * ", "ok"),
 ]

@@ -44,9 +44,39 @@ def test_state_table_follows_the_stream(spark, history, tmp_path):
 
 
 def test_first_claims(spark, history, tmp_path):
-    stream = staged(spark, history.fx_claims, tmp_path / "in", 1)
-    got = drain(claims.stream_claims(stream, "60 days"), "claims")
-    assert got.count() == got.select("trigger_id").distinct().count() == history.fx_claims.select("trigger_id").distinct().count()
+    """The winners are those of the batch operator, in whatever order the claims arrive."""
+    late_first = history.fx_claims.orderBy(F.desc("claimed_at"))
+    stream = staged(spark, late_first, tmp_path / "in", 3)
+    table = str(tmp_path / "claims")
+    query = claims.stream_claims(stream, table, str(tmp_path / "cp"), ("claimed_at", "seq"), buckets=3, once=True)
+    query.awaitTermination(240)
+    assert query.exception() is None
+    want = windows.claim_triggers(history.fx_claims, ["claimed_at", "seq"])
+    got = tables.read_current_states(spark, table)
+    assert rows(got, "trigger_id", "instance_id", "claimed_at") == rows(want, "trigger_id", "claimed_by", "claimed_at")
+
+
+def test_a_new_checkpoint_goes_on_with_the_table(spark, tmp_path):
+    table, order = str(tmp_path / "table"), ["at"]
+
+    def run(name, state, at):
+        df = spark.createDataFrame([("k", state, at)], "key string, state string, at int")
+        stream = staged(spark, df, tmp_path / f"in-{name}", 1)
+        tables.stream_current_states(stream, table, str(tmp_path / f"cp-{name}"), ["key"], order, 2, once=True).awaitTermination(240)
+        return [r.state for r in tables.read_current_states(spark, table).collect()]
+
+    assert run("a", "running", 1) == ["running"]
+    assert run("b", "success", 2) == ["success"]
+    assert run("c", "queued", 0) == ["success"]
+
+
+def test_a_table_that_cannot_be_read_is_an_error(spark, tmp_path):
+    broken = tmp_path / "table" / "version=0" / "bucket=0"
+    broken.mkdir(parents=True)
+    (broken / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception, match="(?i)parquet|schema"):
+        tables.read_current_states(spark, str(tmp_path / "table")).collect()
+    assert tables._versions(spark, str(tmp_path / "none")) is None
 
 
 def test_first_runs(spark, history, tmp_path):
@@ -83,7 +113,7 @@ def test_zombies_match_the_batch_form(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     want = rows(
-        zombies.silences(first, 300).select(F.col("task_key").cast("string").alias("task_key"), "last_beat")
+        zombies.silences(first, 300, F.lit(start)).select(F.col("task_key").cast("string").alias("task_key"), "last_beat")
     )
     # The stream also sees that every task stays silent after its last beat.
     last = [(str(t), start + dt.timedelta(minutes=30 + t)) for t in range(6)]
