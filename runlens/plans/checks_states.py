@@ -193,7 +193,7 @@ def _(h):
         CASE WHEN dep_no % 9 = 4 THEN '' ELSE dag_id END AS dag FROM {fx_deployments})
     SELECT id, 'dag_id is required' AS issue FROM d WHERE dag = ''
     UNION ALL SELECT id, 'end_date must be after start_date' FROM d WHERE end_date <= start_date
-    UNION ALL SELECT id, 'invalid cron expression' FROM d WHERE cron IN ('61 * * * *', '@daily')""")
+    UNION ALL SELECT id, 'invalid cron expression' FROM d WHERE cron = '61 * * * *'""")
 def _(h):
     from runlens.functions import cron
 
