@@ -9,16 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm.chunks import FLUSH_WORDS, Dictionaries, chunked, parts, write_dictionary
-from runlens.llm.shared import batch, cut_lineage, mix
+from runlens.llm.shared import batch, cut_lineage, mix, slices
 
 #: Bits of the filter per entry and probes per level; the base of the count levels is 2.
-BITS_EACH, PROBES = 10, 5
+BITS_EACH, PROBES = 7, 4
 #: Weight of a history seen c times: WEIGHT * c / (c + HALF).
 WEIGHT, HALF = 0.3, 2.0
 #: Bigrams of one shard of the filter on average, the fewest shards, and the bytes of the filter broadcast at once.
-SHARD_BIGRAMS, LEAST_SHARDS, BROADCAST_BYTES = 1 << 20, 256, 160 << 20
-#: Bigrams a task gathers before it sorts and hands them on.
-GATHER = 3_000_000
+SHARD_BIGRAMS, LEAST_SHARDS, BROADCAST_BYTES = 1 << 20, 256, 64 << 20
+#: Bigrams a task gathers before it sorts and hands them on, and bytes of text whose words it holds at once.
+GATHER, SLICE_BYTES = 2_000_000, 2 << 20
 
 _START, _END = np.uint64(0x51AB1E5EED), np.uint64(0x0E0D0F7E47)
 _COUNTS = pa.schema([("chunk", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
@@ -108,14 +108,14 @@ def bigram_blobs(rows: DataFrame, shards: int) -> DataFrame:
 
         for b in batches:
             texts = [t for t, train in zip(b.column("text").to_pylist(), b.column("more_0").to_pylist()) if train]
-            if texts:
+            for i, j in slices(texts, SLICE_BYTES):
                 known: dict[bytes, int] = {}
-                numbers, ends = _laid(texts, known)
+                numbers, ends = _laid(texts[i:j], known)
                 held.append(_pairs(_codes(known)[numbers], ends))
                 size += len(held[-1])
-            if size > GATHER:
-                yield flush()
-                size = 0
+                if size > GATHER:
+                    yield flush()
+                    size = 0
         if held:
             yield flush()
 
@@ -252,34 +252,39 @@ def score(
         def scored(batches):
             dictionaries = Dictionaries(folder, loaded)
             for b in batches:
-                for chunk, part in parts(b):
+                for chunk, whole in parts(b):
                     index, c, codes = dictionaries[chunk]
-                    lists = [words_of(t) for t in part.column("text").to_pylist()]
-                    of = index.__getitem__
-                    at = np.array([of(w) for words in lists for w in words], np.int64)
-                    ends_at = np.cumsum([len(words) for words in lists])
-                    count = np.insert(c[at], ends_at, ends)
-                    stops = ends_at + np.arange(1, len(ends_at) + 1)
-                    begins = np.concatenate(([0], stops[:-1]))
-                    unigram = (count + 0.5) / below
-                    keys = _pairs(codes[at], ends_at)
-                    history = np.empty_like(count)
-                    history[1:] = count[:-1]
-                    history[begins] = ends
-                    own = shared.value.held[(keys >> shared.value.shift).astype(np.int64)] if shared.value else None
-                    level = shared.value.levels(keys) if shared.value else np.zeros(len(keys), np.int64)
-                    # the middle of a level's counts, but no more than the history has
-                    seen = np.minimum(np.where(level > 0, np.where(level > 1, 1.4, 1.0) * 2.0 ** (level - 1), 0.0), history)
-                    weight = WEIGHT * history / (history + HALF)
-                    chance = weight * seen / np.maximum(history, 1) + (1 - weight) * unigram
-                    logs = np.log10(chance)
-                    if own is not None:
-                        logs = np.where(own, logs, 0.0)
-                    yield batch(
-                        _SCORES, part.column("doc_id"), part.column("more_1"), part.column("more_0"), stops - begins,
-                        np.add.reduceat(count > 0, begins, dtype=np.int64),
-                        np.add.reduceat(np.log10(unigram), begins), np.add.reduceat(logs, begins),
-                    )
+                    texts = whole.column("text").to_pylist()
+                    for i, j in slices(texts, SLICE_BYTES):
+                        yield judged(texts[i:j], whole.slice(i, j - i), index, c, codes)
+
+        def judged(texts, part, index, c, codes):
+            lists = [words_of(t) for t in texts]
+            of = index.__getitem__
+            at = np.array([of(w) for words in lists for w in words], np.int64)
+            ends_at = np.cumsum([len(words) for words in lists])
+            count = np.insert(c[at], ends_at, ends)
+            stops = ends_at + np.arange(1, len(ends_at) + 1)
+            begins = np.concatenate(([0], stops[:-1]))
+            unigram = (count + 0.5) / below
+            keys = _pairs(codes[at], ends_at)
+            history = np.empty_like(count)
+            history[1:] = count[:-1]
+            history[begins] = ends
+            own = shared.value.held[(keys >> shared.value.shift).astype(np.int64)] if shared.value else None
+            level = shared.value.levels(keys) if shared.value else np.zeros(len(keys), np.int64)
+            # the middle of a level's counts, but no more than the history has
+            seen = np.minimum(np.where(level > 0, np.where(level > 1, 1.4, 1.0) * 2.0 ** (level - 1), 0.0), history)
+            weight = WEIGHT * history / (history + HALF)
+            chance = weight * seen / np.maximum(history, 1) + (1 - weight) * unigram
+            logs = np.log10(chance)
+            if own is not None:
+                logs = np.where(own, logs, 0.0)
+            return batch(
+                _SCORES, part.column("doc_id"), part.column("more_1"), part.column("more_0"), stops - begins,
+                np.add.reduceat(count > 0, begins, dtype=np.int64),
+                np.add.reduceat(np.log10(unigram), begins), np.add.reduceat(logs, begins),
+            )
 
         return rows.mapInArrow(
             scored,

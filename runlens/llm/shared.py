@@ -39,8 +39,18 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+#: Spark's own limit on the bytes of a batch for Python workers, and the one used here unless the session sets another.
+_ARROW_BYTES, SPARK_DEFAULT, SMALL = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8388608b"
+
+
 def worker_texts(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
-    """Only the id and the text as UTF-8 bytes (null: empty), under fixed names."""
+    """Only the id and the text as UTF-8 bytes (null: empty), under fixed names.
+
+    Where the session has not set the size of Arrow batches, it is lowered: texts
+    are long, and what Python makes of a batch is several times its size.
+    """
+    if docs.sparkSession.conf.get(_ARROW_BYTES, SPARK_DEFAULT) == SPARK_DEFAULT:
+        docs.sparkSession.conf.set(_ARROW_BYTES, SMALL)
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"),
