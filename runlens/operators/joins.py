@@ -216,23 +216,27 @@ def runs_for_date(
     whole day, as does a run at midnight to the minute asked for the first
     minute of its day; any other date must match exactly.
     """
-    on_day = requests.withColumn("__day", F.to_date("wanted"))
-    dated = runs.select(
-        "dag_id", F.to_date("logical_date").alias("__day"),
-        F.col("logical_date").alias("__ld"), F.col("run_id"),
-        F.struct(*order).alias("__rank"),
-    )
-    ld, wanted = F.col("__ld"), F.col("wanted")
-    first_minute = (
-        (F.hour(ld) == 0) & (F.hour(wanted) == 0)
-        & (F.minute(ld) == 0) & (F.minute(wanted) == 0)
+    ld, wanted = F.col("logical_date"), F.col("wanted")
+
+    def in_first_minute(at):
+        return (F.hour(at) == 0) & (F.minute(at) == 0)
+
+    best = F.max(F.struct(*order, F.col("run_id").alias("__run"))).alias
+    rank = F.struct(*order, F.col("run_id").alias("__run"))
+    # Runs are summed up before they meet a request: no request meets more than two rows.
+    days = runs.groupBy("dag_id", F.to_date(ld).alias("__day")).agg(
+        best("__any"), F.max(F.when(in_first_minute(ld), rank)).alias("__early")
     )
-    midnight = (F.hour(wanted) == 0) & (F.minute(wanted) == 0) & (F.second(wanted) == 0)
-    matches = on_day.join(dated, ["dag_id", "__day"]).filter(
-        first_minute | midnight | (ld == wanted)
+    exact = runs.groupBy("dag_id", ld.alias("__at")).agg(best("__exact"))
+    found = requests.select("request_id", "dag_id", "wanted").withColumns(
+        {"__day": F.to_date("wanted"), "__at": wanted}
+    ).join(days, ["dag_id", "__day"], "left").join(exact, ["dag_id", "__at"], "left")
+    midnight = in_first_minute(wanted) & (F.second(wanted) == 0)
+    early = F.when(in_first_minute(wanted), F.col("__early"))
+    chosen = F.when(midnight, F.col("__any")).otherwise(F.greatest("__exact", early))
+    return requests.join(
+        found.select("request_id", chosen["__run"].alias("run_id")).distinct(), "request_id", "left"
     )
-    found = matches.groupBy("request_id").agg(F.max_by("run_id", "__rank").alias("run_id"))
-    return requests.join(found, "request_id", "left")
 
 
 def plan_backfill(ticks: DataFrame, runs: DataFrame, reset: bool = False) -> DataFrame:

@@ -8,10 +8,7 @@ from pyspark.sql import functions as F
 
 def normal_tasks(tasks: DataFrame) -> DataFrame:
     """Tasks that are no teardown."""
-    teardowns = tasks.filter(F.coalesce("teardown", F.lit("")) != "")
-    return tasks.join(
-        teardowns.select("dag_id", "task_id").distinct(), ["dag_id", "task_id"], "left_anti"
-    )
+    return tasks.filter(F.coalesce("teardown", F.lit("")) == "")
 
 
 def affected_teardowns(teardown_deps: DataFrame, touched: DataFrame) -> DataFrame:

@@ -84,7 +84,13 @@ DAY, NEXT_DAY = "2024-01-04 00:00:00", "2024-01-05 00:00:00"
                AND s.t >= TIMESTAMP '{DAY}' AND s.t < TIMESTAMP '{NEXT_DAY}' AND s.t >= start_date
                AND (end_date IS NULL OR s.t <= end_date) AND (last_scheduled_at IS NULL OR s.t > last_scheduled_at)
              UNION ALL {MISSED.replace("@UNTIL", NEXT_DAY)}),
-    won AS (SELECT *, row_number() OVER (PARTITION BY dag_id, logical_date ORDER BY deployment_id) = 1 AS created FROM fire),
+    there AS (SELECT DISTINCT dag_id, TIMESTAMP '{DAY}' + to_hours(CAST(run_no % 24 AS INTEGER)) AS logical_date
+              FROM {{fx_runs}} WHERE run_no % 3 = 0),
+    open AS (SELECT * FROM fire f WHERE NOT EXISTS
+             (SELECT 1 FROM there t WHERE t.dag_id = f.dag_id AND t.logical_date = f.logical_date)),
+    won AS (SELECT *, row_number() OVER (PARTITION BY dag_id, logical_date ORDER BY deployment_id) = 1 AS created FROM open
+            UNION ALL SELECT *, false FROM fire f WHERE EXISTS
+             (SELECT 1 FROM there t WHERE t.dag_id = f.dag_id AND t.logical_date = f.logical_date)),
     act AS (SELECT deployment_id, count(*) AS n FROM {{fx_runs}} WHERE state = 'running' GROUP BY ALL),
     placed AS (SELECT w.*, row_number() OVER (PARTITION BY w.deployment_id ORDER BY logical_date) AS pos,
                       d.max_active_runs - coalesce(a.n, 0) AS budget
@@ -96,7 +102,10 @@ DAY, NEXT_DAY = "2024-01-04 00:00:00", "2024-01-05 00:00:00"
            'already_created' FROM won WHERE NOT created""")
 def _(h):
     active = aggregates.active_counts(h.fx_runs)
-    return day.schedule_day(h.fx_deployments, moment(DAY), moment(NEXT_DAY), active)
+    there = h.fx_runs.filter("run_no % 3 = 0").select(
+        "dag_id", F.timestamp_add("HOUR", (F.col("run_no") % 24).cast("int"), moment(DAY)).alias("logical_date")
+    )
+    return day.schedule_day(h.fx_deployments, moment(DAY), moment(NEXT_DAY), active, there)
 
 
 @check("jn11_plan_backfill", f"""

@@ -12,13 +12,15 @@ _HELD = ("dag_id", "start_date", "end_date", "last_scheduled_at")
 
 
 def schedule_day(
-    deployments: DataFrame, day_start: Column, day_end: Column, active: DataFrame
+    deployments: DataFrame, day_start: Column, day_end: Column, active: DataFrame,
+    runs: DataFrame | None = None,
 ) -> DataFrame:
     """Firings of enabled deployments in [day_start, day_end).
 
     Deployments that catch up and were never scheduled bring all missed runs.
     Firings of one DAG for the same second are created once; what was created
-    is then admitted oldest first under each deployment's limit.
+    is then admitted oldest first under each deployment's limit. A firing whose
+    DAG has a run in `runs` for that second is created already.
     """
     enabled = deployments.filter(F.coalesce("enabled", F.lit(True)))
     catching = F.col("catch_up") & F.col("last_scheduled_at").isNull() & F.col("start_date").isNotNull()
@@ -39,6 +41,13 @@ def schedule_day(
             make_run_id(F.lit("scheduled"), F.col("dag_id"), tick).alias("run_id"),
         )
     )
+    lost_to_runs = None
+    if runs is not None:
+        second = F.date_trunc("second", "logical_date").cast("timestamp_ntz").alias("__second")
+        dated = cut_lineage(runs.filter(F.col("logical_date").isNotNull()).select("dag_id", second).distinct())
+        keyed = firings.select("*", second)
+        lost_to_runs = keyed.join(dated, ["dag_id", "__second"], "left_semi").select(*firings.columns)
+        firings = cut_lineage(keyed.join(dated, ["dag_id", "__second"], "left_anti").select(*firings.columns))
     decided = dedup_scheduled_runs(firings, ["deployment_id"])
     created = decided.filter("created").drop("created", "actual_run_id")
     admitted = admit_under_limit(created, deployments, active).select(
@@ -49,4 +58,8 @@ def schedule_day(
         "deployment_id", "dag_id", "logical_date", "run_id",
         F.lit("already_created").alias("verdict"),
     )
+    if lost_to_runs is not None:
+        lost = lost.unionByName(lost_to_runs.select(
+            "deployment_id", "dag_id", "logical_date", "run_id", F.lit("already_created").alias("verdict")
+        ))
     return admitted.unionByName(lost)

@@ -64,7 +64,7 @@ def reconcile_states(
             (F.coalesce("teardown", F.lit("")) != "").alias("is_teardown"),
         )
     )
-    deepest = placed.agg(F.max("level")).first()[0]
+    deepest = placed.agg(F.coalesce(F.max("level"), F.lit(0))).first()[0]
 
     recorded = recorded.select(*_KEY, F.col("state").alias("recorded_state"))
     outcome = F.when(F.col("recorded_state").isin(*_EXECUTED), F.col("recorded_state"))

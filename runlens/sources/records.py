@@ -17,14 +17,8 @@ def _read(spark: SparkSession, path: str, schema: T.StructType, **options) -> Da
     return reader.options(**options).json(path).select(*schema.fieldNames())
 
 
-def _mixed_json(schema: T.StructType, names: tuple[str, ...]) -> T.StructType:
-    """Nested objects are kept as JSON text: a string field takes them as they are."""
-    assert all(schema[name].dataType == T.StringType() for name in names)
-    return schema
-
-
 def read_dag_runs(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, _mixed_json(schemas.DAG_RUNS, ("variables",)))
+    return _read(spark, path, schemas.DAG_RUNS)
 
 
 def read_task_states(spark: SparkSession, path: str) -> DataFrame:
@@ -45,7 +39,7 @@ def read_deployments(spark: SparkSession, path: str) -> DataFrame:
     """Deployments with the scheduler's mark as a plain column, and `pinned`."""
     raw = _read(
         spark, path,
-        _mixed_json(schemas.DEPLOYMENTS, ("variable_overrides", "variable_requirements")),
+        schemas.DEPLOYMENTS,
     )
     return _with_defaults(raw)
 
