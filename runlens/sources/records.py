@@ -26,8 +26,7 @@ def read_task_states(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_task_contexts(spark: SparkSession, path: str) -> DataFrame:
-    objects = ("variables", "inputs", "outputs", "upstream_outputs")
-    return _read(spark, path, _mixed_json(schemas.TASK_CONTEXTS, objects))
+    return _read(spark, path, schemas.TASK_CONTEXTS)
 
 
 def explode_attempts(contexts: DataFrame) -> DataFrame:
@@ -37,10 +36,7 @@ def explode_attempts(contexts: DataFrame) -> DataFrame:
 
 def read_deployments(spark: SparkSession, path: str) -> DataFrame:
     """Deployments with the scheduler's mark as a plain column, and `pinned`."""
-    raw = _read(
-        spark, path,
-        schemas.DEPLOYMENTS,
-    )
+    raw = _read(spark, path, schemas.DEPLOYMENTS)
     return _with_defaults(raw)
 
 
