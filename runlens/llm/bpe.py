@@ -14,10 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.llm.chunks import FLUSH_WORDS, Dictionaries, chunked, parts, write_dictionary
-from runlens.llm.shared import batch, cut_lineage
+from runlens.llm.shared import batch, slices
 
 #: Buckets of the rank map, and bytes of a match beyond which its merges are made in a heap.
 BUCKETS, LONG_MATCH = 1 << 14, 64
+#: Words of a chunk whose ids a task keeps, and bytes of text it codes at once.
+KEPT_WORDS, SLICE_BYTES = 200_000, 4 << 20
 
 #: The characters with the Unicode property White_Space.
 WHITE_SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -25,7 +27,7 @@ _ODD = re.compile(f" [{WHITE_SPACE}]|[{WHITE_SPACE}] |\0")
 _WORD = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
 
 _MATCHES = pa.schema([("chunk", pa.int64()), ("match", pa.string())])
-_BYTES = pa.schema([("match", pa.string()), ("bytes", pa.list_(pa.string()))])
+_BYTES = pa.schema([("match", pa.string()), ("bytes", pa.list_(pa.string())), ("chunks", pa.list_(pa.int64()))])
 _ENCODED = pa.schema([
     ("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary()),
 ])
@@ -143,6 +145,13 @@ class WordIds(dict):
 
         self.ids_of, self.findall = ids_of, regex.compile(pattern).findall
 
+    @property
+    def of(self):
+        """The lookup; what is kept of earlier words is dropped once it is much."""
+        if len(self) > KEPT_WORDS:
+            self.clear()
+        return self.__getitem__
+
     def __missing__(self, word: str) -> bytes:
         self[word] = found = b"".join(map(self.ids_of.__getitem__, self.findall(word)))
         return found
@@ -168,8 +177,8 @@ def chunk_matches(docs: DataFrame, pattern: str) -> DataFrame:
         for b in batches:
             for chunk, rows in parts(b):
                 words = held.setdefault(chunk, set())
-                for t in rows.column("text").to_pylist():
-                    words.update(cut_words(t.decode()))
+                for t in rows.column("text"):
+                    words.update(cut_words(t.as_py().decode()))
             if sum(map(len, held.values())) > FLUSH_WORDS:
                 yield from flush()
         yield from flush()
@@ -178,20 +187,22 @@ def chunk_matches(docs: DataFrame, pattern: str) -> DataFrame:
 
 
 def match_ids(matches: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(match, ids) of a table of distinct matches."""
+    """(match, ids, chunks) of a table of distinct matches and their chunks; ids are three bytes each, the first the highest."""
     shared = matches.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary: its size is that of its file
 
     def cut(batches):
         single = [bytes([i]).hex() for i in range(256)]
         for b in batches:
-            texts = b.column("match").to_pylist()
+            texts = b.column("match")
             yield batch(_BYTES, texts, [
                 [single[i] for i in m] if len(m) <= LONG_MATCH else [p.hex() for p in merge_long(m, shared.value)]
-                for m in map(str.encode, texts)
-            ])
+                for m in map(str.encode, texts.to_pylist())
+            ], b.column("chunks"))
 
-    rows = matches.mapInArrow(cut, "match string, bytes array<string>")
-    return rows.select("match", merged(F.col("bytes"), rank_map(matches.sparkSession, ranks)).alias("ids"))
+    rows = matches.mapInArrow(cut, "match string, bytes array<string>, chunks array<long>")
+    ids = merged(F.col("bytes"), rank_map(matches.sparkSession, ranks))
+    packed = F.unhex(F.array_join(F.transform(ids, lambda i: F.lpad(F.hex(i), 6, "0")), ""))
+    return rows.select("match", packed.alias("ids"), "chunks")
 
 
 def encode(
@@ -209,17 +220,19 @@ def encode(
     """
     ranks = read_ranks(ranks_path)
     rows = chunked(docs, id_col, text_col)
-    matches = cut_lineage(chunk_matches(rows, pattern))
-    encoded = cut_lineage(match_ids(matches.select("match").distinct(), ranks))
-    folder = write_dictionary(matches.join(encoded, "match"), "bpe-matches")
+    # a match and the chunks that hold it, as many at most as there are splits, meet once: there it is encoded
+    matches = chunk_matches(rows, pattern).repartition("match").groupBy("match").agg(F.collect_list("chunk").alias("chunks"))
+    encoded = match_ids(matches, ranks).select("match", "ids", F.explode("chunks").alias("chunk"))
+    folder = write_dictionary(encoded, "bpe-matches")
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def loaded(table: pa.Table) -> WordIds:
         ids_of: dict[str, bytes] = {}
         for b in table.select(["match", "ids"]).to_batches():
-            ids = b.column("ids")
-            flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-            stops = (4 * np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))).tolist()
+            packed = b.column("ids").to_pylist()
+            flat = np.frombuffer(b"\0" + b"".join(packed), np.uint8)[1:].reshape(-1, 3).astype("<u4")
+            flat = (flat[:, 0] << 16 | flat[:, 1] << 8 | flat[:, 2]).astype("<u4").tobytes()
+            stops = (np.cumsum([len(x) for x in packed]) // 3 * 4).tolist()
             ids_of.update(zip(b.column("match").to_pylist(), (flat[i:j] for i, j in zip([0, *stops], stops))))
         return WordIds(ids_of, pattern)
 
@@ -230,15 +243,18 @@ def encode(
             pieces[number] = piece
         for b in batches:
             for chunk, some in parts(b):
-                of = dictionaries[chunk].__getitem__
-                texts = [t.decode() for t in some.column("text").to_pylist()]
-                ids = [b"".join(map(of, cut_words(t))) for t in texts]
-                back = [b"".join(map(pieces.__getitem__, np.frombuffer(i, "<u4").tolist())) for i in ids]
-                if digests:
-                    sums = [[hashlib.sha256(x).hexdigest() for x in xs] for xs in (ids, back)]
-                    yield batch(_DIGESTS, some.column("doc_id"), [len(i) // 4 for i in ids], *sums)
-                else:
-                    yield batch(_ENCODED, some.column("doc_id"), ids, back)
+                words = dictionaries[chunk]
+                texts = some.column("text").to_pylist()
+                for i, j in slices(texts, SLICE_BYTES):
+                    of = words.of
+                    ids = [b"".join(map(of, cut_words(t.decode()))) for t in texts[i:j]]
+                    back = [b"".join(map(pieces.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in ids]
+                    doc_ids = some.column("doc_id").slice(i, j - i)
+                    if digests:
+                        sums = [[hashlib.sha256(x).hexdigest() for x in xs] for xs in (ids, back)]
+                        yield batch(_DIGESTS, doc_ids, [len(x) // 4 for x in ids], *sums)
+                    else:
+                        yield batch(_ENCODED, doc_ids, ids, back)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else (
         "doc_id long, ids binary, decoded binary")
