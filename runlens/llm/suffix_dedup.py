@@ -17,7 +17,7 @@ from runlens.llm.shared import batch, cut_lineage, mix, raw_hash
 LENGTH, ANCHOR = 400, 64
 #: Bytes that the multikey quicksort looks at before blind tries take over.
 SHALLOW = 32
-#: Different surroundings of one anchor that are sorted in one place; those of commoner anchors are told apart window by window.
+#: Different surroundings of one anchor that are sorted in one place; those of commoner anchors are told apart by halving.
 CROWD = 512
 
 _BLOCK = 1 << 19
@@ -34,7 +34,11 @@ _CONTEXTS = pa.schema([
     ("k1", pa.int64()), ("k2", pa.int64()), ("lo", pa.int64()), ("span", pa.int32()), ("at", pa.int32()), ("bytes", pa.binary()),
 ])
 _SPANS = pa.schema([("chunk", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("begin", pa.int64()), ("stop", pa.int64())])
-_WINDOWS = pa.schema([*[(f.name, f.type) for f in _SPANS][:4], ("w1", pa.int64()), ("w2", pa.int64()), ("twice", pa.bool_())])
+_RANGES = pa.schema([
+    ("anchor", pa.int64()), ("twice", pa.bool_()), ("chunk", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()),
+    ("lo", pa.int64()), ("span", pa.int32()), ("at", pa.int32()), ("bytes", pa.binary()), ("j", pa.int32()),
+    ("whole", pa.bool_()), ("u1", pa.int64()), ("u2", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()),
+])
 _RESULT = pa.schema([
     ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()),
 ])
@@ -287,27 +291,65 @@ def _sorted_spans(contexts: DataFrame) -> DataFrame:
     return contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compared, _ddl(_SPANS))
 
 
-def _window_spans(contexts: DataFrame) -> DataFrame:
-    """Spans to remove, from contexts of crowded anchors: each window by its 128-bit hash, counted with a map-side part."""
+def _crowd_spans(contexts: DataFrame) -> DataFrame:
+    """Spans to remove, from contexts of crowded anchors, by halving ranges of windows.
 
-    def cut(batches):
-        for b in batches:
-            out = []
-            for _, _, twice, _, chunk, k1, k2, lo, span, _, data in zip(*(b.column(n).to_pylist() for n in _CONTEXTS.names)):
-                for i in range(span + 1):
-                    h = xxhash.xxh3_128_intdigest(data[i : i + LENGTH])
-                    out.append((chunk, k1, k2, lo + i, (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), twice))
-                if len(out) > 20_000:
-                    yield batch(_WINDOWS, *map(list, zip(*out)))
-                    out = []
-            if out:
-                yield batch(_WINDOWS, *map(list, zip(*out)))
-
-    windows = cut_lineage(contexts.mapInArrow(cut, _ddl(_WINDOWS)))
-    many = windows.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.max("twice").alias("any")).filter("n > 1 or any")
-    return windows.filter("not twice").join(cut_lineage(many.select("w1", "w2")), ["w1", "w2"]).select(
-        "chunk", "k1", "k2", "begin", (F.col("begin") + LENGTH).alias("stop")
-    )
+    A range holds the windows that begin j to j + size - 1 bytes before the anchor.
+    If all the bytes of a range's windows are seen twice, all its windows are
+    repeats; if the bytes that they have in common are seen once, none is. What is
+    left, and one of each that was found, is cut in two, down to single windows. Bytes are compared by
+    128-bit hashes, counted with a map-side part.
+    """
+    spans = None
+    size = 1 << (LENGTH - ANCHOR).bit_length() - 1
+    starts = F.array(*[F.lit(j) for j in range(0, LENGTH - ANCHOR + 1, size)])
+    state = contexts.withColumn("j", F.explode(starts))
+
+    def hashed(size):
+        def ranges(batches):
+            for b in batches:
+                out = []
+                for row in zip(*(b.column(n).to_pylist() for n in _RANGES.names[:10])):
+                    _, twice, _, _, _, _, span, at, data, j = row
+                    first, last = at - j - size + 1, at - j  # windows of the range, by their place in the bytes
+                    if last < 0 or first > span:
+                        continue
+                    whole = 0 <= first and last <= span
+                    out.append((
+                        *row, whole, *_halves(xxhash.xxh3_128_intdigest(data[first : last + LENGTH], j) if whole else 0),
+                        *_halves(xxhash.xxh3_128_intdigest(data[last : first + LENGTH], j)),
+                    ))
+                if out:
+                    yield batch(_RANGES, *map(list, zip(*out)))
+
+        return ranges
+
+    while True:
+        rows = cut_lineage(state.select(*_RANGES.names[:10]).mapInArrow(hashed(size), _ddl(_RANGES)))
+        groups = cut_lineage(rows.filter("whole").groupBy("u1", "u2").agg(
+            ((F.count("*") > 1) | F.max("twice")).alias("again")
+        ))
+        begin = F.col("lo") + F.col("at") - F.col("j") - size + 1
+        found = rows.filter("whole and not twice").join(groups.filter("again"), ["u1", "u2"], "left_semi").select(
+            "chunk", "k1", "k2", begin.alias("begin"), (begin + size - 1 + LENGTH).alias("stop")
+        )
+        spans = found if spans is None else spans.unionByName(found)
+        if size == 1:
+            return spans
+        # one row of each group goes on, as a partner for those that have only a part of its bytes
+        ones = rows.filter("whole").dropDuplicates(["u1", "u2"]).join(groups, ["u1", "u2"]).drop("twice")
+        left = cut_lineage(
+            ones.withColumnRenamed("again", "twice").select(*_RANGES.names).unionByName(rows.filter("not whole"))
+        )
+        core = cut_lineage(left.groupBy("c1", "c2").agg(F.count("*").alias("n")).filter("n > 1").select("c1", "c2"))
+        state = cut_lineage(left.join(core, ["c1", "c2"], "left_semi").withColumn(
+            "j", F.explode(F.array(F.col("j"), F.col("j") + size // 2))
+        ))
+        size //= 2
+
+
+def _halves(h: int) -> tuple[int, int]:
+    return (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
@@ -317,9 +359,11 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     bytes. Where all the bytes around an anchor are seen twice nothing is left to
     compare. Else one of each different surrounding meets the others of its
     anchor, which is sorted there; for anchors with more than CROWD surroundings
-    the single windows are counted instead, so that no task gets a whole crowd.
+    ranges of windows are counted instead, so that no task gets a whole crowd.
     """
     found = cut_lineage(_anchor_rows(rows))
+    common = cut_lineage(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"))
+    found = cut_lineage(found.join(common, "anchor", "left_semi"))
     place = F.struct("chunk", "k1", "k2", "lo", "span", "at")
     kinds = cut_lineage(found.groupBy("anchor", "around").agg(F.count("*").alias("n"), F.min(place).alias("one")))
     full = found.join(kinds.filter("n > 1").select("anchor", "around"), ["anchor", "around"]).select(
@@ -331,7 +375,8 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     )
     contexts = cut_lineage(_contexts(rows, contested))
     spans = full.unionByName(_sorted_spans(contexts.filter("not crowded")))
-    return spans.unionByName(_window_spans(contexts.filter("crowded")))
+    crowded = contexts.filter("crowded")
+    return spans if crowded.isEmpty() else spans.unionByName(_crowd_spans(crowded))
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
