@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 
-#: Words that a worker's cache holds before it starts anew.
-CACHE_WORDS = 700_000
+from runlens.llm.shared import slices
+
+#: Pieces of one generation of a worker's cache (it holds two), and bytes of text encoded at once.
+CACHE_PIECES, SLICE_BYTES = 400_000, 4 << 20
 _TAIL = ".,!?;:"
 
 
@@ -17,9 +21,15 @@ class WordCache:
     punctuation. So a text is cut at single spaces, and what the library gives
     for a piece is what it gives for that piece of the text. Where a space touches
     other white space the whole text goes through the library.
+
+    Pieces not seen before are encoded together: letters-only words are laid in
+    one line, and the line's ids are parted where a word begins or ends. Such a
+    line needs no search for words; it goes through the same model behind a
+    pre-tokenizer that only cuts at spaces.
     """
 
     def __init__(self, path: str, spaces: bool, lower: bool):
+        import json
         import os
         import re
 
@@ -28,47 +38,88 @@ class WordCache:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        with open(path, encoding="utf-8") as f:
+            plain = json.load(f) | {"normalizer": None, "post_processor": None, "added_tokens": []}
+        cut = {"type": "Split", "pattern": {"String": " "}, "behavior": "MergedWithNext" if spaces else "Removed", "invert": False}
+        as_bytes = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        plain["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [cut, as_bytes]}
+        self.plain = Tokenizer.from_str(json.dumps(plain))
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.spaces, self.lower = spaces, lower
         self.pieces: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
         self.odd = re.compile(r"\x20\s|\s\x20|\x00")
+        # ids that end a word (where white space is dropped) or begin one with its space
+        self.edge = np.zeros(self.library.get_vocab_size(), bool)
+        for token, i in self.library.get_vocab().items():
+            self.edge[i] = token.startswith("Ġ") if spaces else token.endswith("</w>")
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in found]
 
-    def _learn(self, new: set[str]) -> None:
-        parts = {}
+    def _words(self, words: list[str]) -> list[bytes]:
+        """ids of letters-only words, each taken with a space before it where spaces count."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 2000):
+            some = words[at : at + 2000]
+            line = (" " if self.spaces else "") + " ".join(some)
+            ids = np.array(self.plain.encode_batch_fast([line], add_special_tokens=False)[0].ids, np.int64)
+            edges = np.flatnonzero(self.edge[ids]) + (0 if self.spaces else 1)
+            cuts = [*edges.tolist(), len(ids)] if self.spaces else [0, *edges.tolist()]
+            data, w = ids.astype(self.kind).tobytes(), self.width
+            if len(cuts) == len(some) + 1:
+                out += [data[i * w : j * w] for i, j in zip(cuts, cuts[1:])]
+            else:  # a letter that the library does not take for one
+                out += self._raw([" " + x for x in some] if self.spaces else some)
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        plain, other, parts = {}, {}, {}
         for piece in new:
             core = piece.rstrip(_TAIL)
-            if not core or not core[-1].isalnum():
-                core = piece
-            tail = piece[len(core) :]
-            if self.lower and "Σ" not in core:  # the library lower-cases letter by letter
-                core = core.lower()
-            parts[piece] = (core, tail)
-        need = [x for x in {x for pair in parts.values() for x in pair} if x and x not in self.cores]
-        self.cores.update(zip(need, self._raw(need)))
-        for piece, (core, tail) in parts.items():
-            self.pieces[piece] = self.cores[core] + self.cores[tail]
+            word = core[1:] if self.spaces and core[:1] == " " else "" if self.spaces else core
+            if word.isalpha():
+                if self.lower:  # what the vocabulary's normalization does to a word, but for a Σ, see _cut
+                    if "Σ" in word:
+                        other[piece] = b""
+                        continue
+                    word = unicodedata.normalize("NFC", word.lower())
+                plain[word] = b""
+                parts[piece] = word, len(core)
+            else:
+                other[piece] = b""
+        for found, encode in ((plain, self._words), (other, self._raw)):
+            found.update(zip(found, encode(list(found))))
+        ends = {piece[n:] for piece, (_, n) in parts.items()}
+        ends = dict(zip(ends, self._raw(list(ends))))
+        self.pieces.update(other)
+        for piece, (word, n) in parts.items():
+            self.pieces[piece] = plain[word] + ends[piece[n:]] if n < len(piece) else plain[word]
 
     def _cut(self, text: str) -> list[str] | None:
         if not self.spaces:  # white space is dropped, wherever it stands
+            if self.lower and "Σ" not in text:  # the library lower-cases letter by letter
+                text = text.lower()
             return text.split(" ")
         return None if self.odd.search(text) else text.replace(" ", "\0 ").split("\0")
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        return [ids for i, j in slices(texts, SLICE_BYTES) for ids in self._slice(texts[i:j])]
+
+    def _slice(self, texts: list[str]) -> list[bytes]:
         lists = [self._cut(t) for t in texts]
-        new: set[str] = set()
+        wanted: set[str] = set()
         for pieces in lists:
             if pieces is not None:
-                new.update(pieces)
-        unseen = new.difference(self.pieces)
-        if len(self.pieces) + len(self.cores) + len(unseen) > CACHE_WORDS:
-            self.pieces, self.cores, unseen = {}, {"": b""}, new
-        self._learn(unseen)
+                wanted.update(pieces)
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces, self.older = {}, self.pieces
+        missing = wanted.difference(self.pieces)
+        back = missing.intersection(self.older)
+        self.pieces.update(zip(back, map(self.older.__getitem__, back)))
+        self._learn(list(missing - back))
         of = self.pieces.__getitem__
         out = [None if pieces is None else b"".join(map(of, pieces)) for pieces in lists]
         rest = [i for i, x in enumerate(out) if x is None]
