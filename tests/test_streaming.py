@@ -120,6 +120,31 @@ def test_zombies_match_the_batch_form(spark, tmp_path):
     assert pauses == sorted([*want, *last], key=repr)
 
 
+def test_late_beats_move_nothing_back(spark, tmp_path):
+    """A beat from before the newest one, or from before the end, neither opens a pause nor wakes the task."""
+    provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
+    start = dt.datetime(2026, 1, 1)
+    schema = "task_key string, beat_at timestamp, seq long, kind string"
+    files = (
+        [("a", 8, "beat"), ("b", 1, "beat"), ("b", 3, "terminal")],
+        [("a", 2, "beat"), ("b", 2, "beat")],
+        [("a", 12, "terminal")],
+        [("z", 600, "terminal")], [("z", 601, "terminal")],
+    )
+    path = str(tmp_path / "in")
+    for n, beats in enumerate(files):
+        made = [(k, start + dt.timedelta(minutes=m), n, kind) for k, m, kind in beats]
+        spark.createDataFrame(made, schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    try:
+        got = drain(zombies.stream_zombies(stream, 300, "1 hour"), "late_beats")
+        assert got.count() == 0
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
 def test_alerts_and_hooks(spark, history, tmp_path):
     events = history.fx_task_events.select("dag_id", "run_id", "task_id", "state", "updated_at")
     hooks = history.fx_dags.select("dag_id", F.lit("failure").alias("event"), F.lit("json-file").alias("hook"))
