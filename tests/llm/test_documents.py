@@ -12,6 +12,7 @@ import public_tokenizers as P
 import tiktoken
 import xxhash
 from odd_tables import odd_rows, table  # noqa: F401 - a fixture
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from runlens.llm import bpe, exact_dedup, language_id, language_model, packing, simhash, suffix_dedup, token_files
@@ -301,3 +302,51 @@ def test_empty_tables(spark):
     assert suffix_dedup.remove_repeats(docs).count() == 0
     assert language_model.score(docs, id_crc(5) != 1).count() == 0
     assert language_id.identify(docs, language_id.train(docs, id_crc(4) != 2)).count() == 0
+
+
+def test_language_model_against_exact_bigram_counts(spark):
+    """Few unseen bigrams get a count, few seen ones too high a level, and scores are close to those of exact counts."""
+    rng = np.random.default_rng(23)
+    words = np.array([f"w{i}" for i in range(3000)])
+    rows = [(i, " ".join(words[(3000 * rng.random(300) ** 2).astype(int)])) for i in range(600)]
+    training = [zlib.crc32(str(i).encode()) % 5 != 1 for i, _ in rows]
+    tokens = [["<s>", *t.split(), "</s>"] for _, t in rows]
+    learned = [x for own, t in zip(tokens, training) if t for x in zip(own, own[1:])]
+    seen, counts = collections.Counter(learned), collections.Counter(b for _, b in learned)
+    counts["<s>"] = sum(training)
+    n = len(learned)
+    below = n + 0.5 * (len(counts) - 1 + 1)  # all but the start mark, and one for what is new
+
+    def exact(own):
+        total = 0.0
+        for a, b in zip(own, own[1:]):
+            history, unigram = counts[a], (counts[b] + 0.5) / below
+            level = int(math.log2(seen[a, b])) + 1 if seen[a, b] else 0
+            count = min(2.0 ** (level - 1) * (1.4 if level > 1 else 1.0) if level else 0.0, history)
+            weight = language_model.WEIGHT * history / (history + language_model.HALF)
+            total += math.log10(weight * count / max(history, 1) + (1 - weight) * unigram)
+        return total
+
+    got = {r.doc_id: r.score for r in language_model.score(table(spark, rows), id_crc(5) != 1).collect()}
+    for kind in (True, False):
+        some = [(got[i], exact(own), len(own) - 1) for (i, _), own, t in zip(rows, tokens, training) if t == kind]
+        over = sum(g - w for g, w, _ in some) / sum(k for *_, k in some)
+        print("log10 a token over exact counts,", "training" if kind else "held out", over)
+        assert all(g > w - 1e-6 for g, w, _ in some) and over < (0.006 if kind else 0.015)
+
+    code = {w: language_model._codes([w.encode()])[0] for w in words.tolist()}
+    mixed = lambda a, b: language_model.mix(language_model.mix(np.array(a, np.uint64)) + np.array(b, np.uint64))
+    pairs = sorted(x for x in seen if x[0] != "<s>" and x[1] != "</s>")
+    draw = rng.integers(0, 3000, (60_000, 2))
+    unseen = [(a, b) for a, b in words[draw].tolist() if (a, b) not in seen]
+    docs = table(spark, rows).select("doc_id", F.col("text").cast("binary").alias("text"), (id_crc(5) != 1).alias("more_0"))
+    shards = language_model.LEAST_SHARDS
+    table_ = language_model.build_filter(language_model.bigram_blobs(docs, shards)).collect()
+    probe = language_model.Filter(shards, {r.shard: r.bits for r in table_})
+    found = probe.levels(mixed([code[a] for a, _ in unseen], [code[b] for _, b in unseen]))
+    print("unseen with a count", (found > 0).mean())
+    assert (found > 0).mean() < 0.013
+    found = probe.levels(mixed([code[a] for a, _ in pairs], [code[b] for _, b in pairs]))
+    level = language_model.levels(np.array([seen[x] for x in pairs]))
+    print("seen with too high a level", (found > level).mean())
+    assert (found >= level).all() and (found > level).mean() < 0.013
