@@ -11,13 +11,16 @@ from __future__ import annotations
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow.fs import FileType
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm.shared import cut_lineage, filesystem, shared_folder, worker_texts
 
 #: Distinct words a task gathers before it hands them on (a word may then come twice).
 FLUSH_WORDS = 600_000
+#: Rows next to each other in a file that `placed` gives one chunk.
+CHUNK_ROWS = 1 << 13
 
 
 def chunked(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
@@ -35,6 +38,22 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
     return worker_texts(docs, id_col, text_col, chunk, *more)
 
 
+def placed(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """`docs`, and a column that names the chunk of each row by its file and its place among the file's rows.
+
+    Unlike a split, which follows the cores alive when a scan is planned, such a
+    chunk is the same in every scan. Rows that do not lie in Parquet files are
+    written to some first.
+    """
+    try:
+        place = docs.metadataColumn("_metadata")
+        docs.select(place["row_index"])
+    except AnalysisException:
+        docs = cut_lineage(docs)
+        place = docs.metadataColumn("_metadata")
+    return docs, F.xxhash64(place["file_path"], F.floor(place["row_index"] / CHUNK_ROWS)).alias("chunk")
+
+
 def parts(b: pa.RecordBatch):
     """A batch cut where the chunk changes: (chunk, rows)."""
     names = b.column("chunk").to_pylist()

@@ -10,8 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.chunks import Dictionaries, chunked, parts, write_dictionary
-from runlens.llm.shared import batch, cut_lineage, mix, raw_hash
+from runlens.llm.chunks import Dictionaries, parts, placed, write_dictionary
+from runlens.llm.shared import batch, cut_lineage, mix, raw_hash, worker_texts
 
 #: Bytes of a string whose repeats are removed, and of an anchor in it.
 LENGTH, ANCHOR = 400, 64
@@ -78,11 +78,14 @@ def anchors(data: bytes):
 
 
 def _anchor_rows(rows: DataFrame) -> DataFrame:
-    """One row per run of windows with one anchor; `around` is the hash of all the bytes of these windows."""
+    """One row per run of windows with one anchor; `around` is the hash of all the bytes of these windows.
+
+    Every chunk also has rows with nothing but its name.
+    """
 
     def found(batches):
         for b in batches:
-            out = []
+            out = [(chunk, *[None] * 7) for chunk in b.column("chunk").unique().to_pylist()]
             for chunk, k1, k2, data in zip(*(b.column(n).to_pylist() for n in ("chunk", "more_0", "more_1", "text"))):
                 for code, lo, span, at in anchors(data):
                     around = xxhash.xxh64_intdigest(data[lo : lo + span + LENGTH], at) - (1 << 63)
@@ -236,20 +239,21 @@ def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _by_row(table: pa.Table, names: tuple[str, ...]) -> dict:
     rows: dict = {}
     for k1, k2, *rest in zip(*(table.column(n).to_pylist() for n in ("k1", "k2", *names))):
-        rows.setdefault((k1, k2), []).append(tuple(rest))
+        if k1 is not None:  # else a row that only says that the chunk is there
+            rows.setdefault((k1, k2), []).append(tuple(rest))
     return rows
 
 
-def _contexts(rows: DataFrame, contested: DataFrame) -> DataFrame:
+def _contexts(rows: DataFrame, contested: DataFrame, chunks: DataFrame) -> DataFrame:
     """The bytes of contested windows, read where the texts lie."""
     names = ("anchor", "around", "twice", "crowded", "lo", "span", "at")
-    folder = write_dictionary(contested, "suffix-contexts")
+    folder = write_dictionary(contested.unionByName(chunks, allowMissingColumns=True), "suffix-contexts")
 
     def read(batches):
         dictionaries = Dictionaries(folder, lambda t: _by_row(t, names))
         for b in batches:
             for chunk, part in parts(b):
-                wanted, out, size = dictionaries.get(chunk, {}), [], 0
+                wanted, out = dictionaries[chunk], []
                 for k1, k2, data in zip(*(part.column(n).to_pylist() for n in ("more_0", "more_1", "text"))):
                     for anchor, around, twice, crowded, lo, span, at in wanted.get((k1, k2), ()):
                         out.append((anchor, around, twice, crowded, chunk, k1, k2, lo, span, at, data[lo : lo + span + LENGTH]))
@@ -360,8 +364,11 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     compare. Else one of each different surrounding meets the others of its
     anchor, which is sorted there; for anchors with more than CROWD surroundings
     ranges of windows are counted instead, so that no task gets a whole crowd.
+    Every chunk also has a row without a range.
     """
     found = cut_lineage(_anchor_rows(rows))
+    chunks = cut_lineage(found.filter("anchor is null").select("chunk").distinct())
+    found = found.filter("anchor is not null")
     common = cut_lineage(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"))
     found = cut_lineage(found.join(common, "anchor", "left_semi"))
     place = F.struct("chunk", "k1", "k2", "lo", "span", "at")
@@ -373,14 +380,16 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     contested = kinds.join(crowds, "anchor").select(
         "anchor", "around", (F.col("n") > 1).alias("twice"), (F.col("kinds") > CROWD).alias("crowded"), "one.*"
     )
-    contexts = cut_lineage(_contexts(rows, contested))
-    spans = full.unionByName(_sorted_spans(contexts.filter("not crowded")))
+    contexts = cut_lineage(_contexts(rows, contested, chunks))
+    spans = full.unionByName(_sorted_spans(contexts.filter("not crowded"))).unionByName(chunks, allowMissingColumns=True)
     crowded = contexts.filter("crowded")
     return spans if crowded.isEmpty() else spans.unionByName(_crowd_spans(crowded))
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
-    rows = chunked(docs, id_col, text_col, F.xxhash64(F.col(id_col)), raw_hash(text_col))
+    docs, chunk = placed(docs.select(id_col, text_col))
+    keys = F.xxhash64(F.col(id_col)).alias("more_0"), raw_hash(text_col).alias("more_1")
+    rows = worker_texts(docs, id_col, text_col, chunk, *keys)
     return rows, write_dictionary(repeated_spans(rows), "suffix-spans")
 
 
@@ -400,7 +409,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anywhere else in the table, in the same document too. Null is empty; shorter
     texts lose nothing; of repeated rows each loses what the others hold. An
     empty table gives no rows; other columns are ignored, whatever their names.
-    See `chunks` for what `docs` may be.
+    Rows are best read from Parquet files (filters and projections aside); others
+    are written to some first.
     """
     rows, folder = _prepared(docs, id_col, text_col)
 
@@ -408,7 +418,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         dictionaries = Dictionaries(folder, lambda t: _by_row(t, ("begin", "stop")))
         for b in batches:
             for chunk, part in parts(b):
-                spans, out = dictionaries.get(chunk, {}), []
+                spans, out = dictionaries[chunk], []
                 for doc_id, k1, k2, data in zip(*(part.column(n).to_pylist() for n in ("doc_id", "more_0", "more_1", "text"))):
                     kept, own = _cut_out(data, spans.get((k1, k2), ()))
                     out.append((doc_id, len(data), len(data) - len(kept), len(own), kept))
@@ -426,12 +436,10 @@ def shorten(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", cha
 
     A character of which a byte is removed goes whole, so that the text stays valid. Null texts stay null.
     """
-    if not docs.inputFiles():
-        docs = cut_lineage(docs)
-    rows, folder = _prepared(docs, id_col, text_col)
+    docs, chunk = placed(docs)
+    _, folder = _prepared(docs, id_col, text_col)
     names, schema = docs.columns, docs.schema
-    chunk = F.xxhash64(F.input_file_name(), F.input_file_block_start()).alias("__chunk")
-    keyed = docs.select("*", chunk, F.xxhash64(F.col(id_col)).alias("__k1"), raw_hash(text_col).alias("__k2"))
+    keyed = docs.select("*", chunk.alias("__chunk"), F.xxhash64(F.col(id_col)).alias("__k1"), raw_hash(text_col).alias("__k2"))
 
     def cut(batches):
         dictionaries = Dictionaries(folder, lambda t: _by_row(t, ("begin", "stop")))
@@ -439,7 +447,7 @@ def shorten(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", cha
             texts = b.column(text_col).to_pylist()
             keys = zip(*(b.column(n).to_pylist() for n in ("__chunk", "__k1", "__k2")))
             for i, (chunk, k1, k2) in enumerate(keys):
-                if texts[i] and (spans := dictionaries.get(chunk, {}).get((k1, k2))):
+                if (spans := dictionaries[chunk].get((k1, k2))) and texts[i]:
                     texts[i] = _cut_out(texts[i].encode(), spans)[0].decode(errors="ignore")
             columns = {n: b.column(n) for n in names}
             columns[text_col] = pa.array(texts, pa.string())

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from runlens.llm import bpe, exact_dedup, language_id, language_model, packing, simhash, suffix_dedup, token_files
+from runlens.llm.chunks import Dictionaries
 from runlens.llm.queries import historical, id_crc, piece_digests
 from runlens.llm.shared import keep_rows, shared_folder
 
@@ -304,6 +305,38 @@ def test_empty_tables(spark):
     assert language_id.identify(docs, language_id.train(docs, id_crc(4) != 2)).count() == 0
 
 
+def test_suffix_dedup_when_splits_change_between_scans(spark, tmp_path):
+    """The texts are read once more when the result is; by then the cores, and so the splits, may be others."""
+    rng = np.random.default_rng(17)
+    text = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    passage = text(600)
+    rows = [(i, text(2000) + (passage if i % 5 == 0 else "")) for i in range(500)]
+    path = str(tmp_path / "documents.parquet")
+    writer = table(spark, rows).coalesce(1).write.option("parquet.block.size", 1 << 16).option("compression", "none")
+    writer.option("parquet.page.size.row.check.min", 10).option("parquet.block.size.row.check.min", 10).parquet(path)
+    want = sorted((i, *found) for (i, _), found in zip(rows, brute_cut([t.encode() for _, t in rows], suffix_dedup.LENGTH)))
+    size = "spark.sql.files.maxPartitionBytes"
+    try:
+        for first, then in (("64m", "128k"), ("128k", "64m")):
+            spark.conf.set(size, first)
+            docs = spark.read.parquet(path)
+            got, short = suffix_dedup.remove_repeats(docs), suffix_dedup.shorten(docs)
+            spark.conf.set(size, then)
+            assert sorted((r.doc_id, r.n_removed, r.n_spans, bytes(r.kept)) for r in got.collect()) == want
+            assert tuples(short, "doc_id", "text") == sorted(((w[0], w[3].decode()) for w in want), key=repr)
+    finally:
+        spark.conf.unset(size)
+
+
+def test_suffix_dedup_has_a_dictionary_for_every_chunk(spark, tmp_path):
+    path = str(tmp_path / "documents.parquet")
+    table(spark, [(1, "short"), (2, None)]).repartition(2).write.parquet(path)
+    rows, folder = suffix_dedup._prepared(spark.read.parquet(path), "doc_id", "text")
+    chunks = {r.chunk for r in rows.select("chunk").collect()}
+    found = Dictionaries(folder, lambda t: suffix_dedup._by_row(t, ("begin", "stop")))
+    assert len(chunks) == 2 and all(found[c] == {} for c in chunks)
+
+
 def test_language_model_against_exact_bigram_counts(spark):
     """Few unseen bigrams get a count, few seen ones too high a level, and scores are close to those of exact counts."""
     rng = np.random.default_rng(23)
