@@ -13,8 +13,10 @@ from pyspark.sql.functions import pandas_udf
 
 from runlens.llm.shared import batch, worker_texts
 
-#: Rows that training may take at most, a fifth of them for calibration; share of these that may lie under twice the limit.
-SAMPLE_ROWS, REJECT_SHARE = 3000, 0.0005
+#: Rows that training may take at most, a fifth of them for calibration; share of these that may lie under twice the limit
+#: (six of 600: less, and the limits would hang on the one oddest row); how much more of its subwords than all but that
+#: share of the rows a text may have that no training row holds.
+SAMPLE_ROWS, REJECT_SHARE, UNKNOWN_TIMES = 3000, 0.01, 20
 #: Bytes of the subwords, buckets of their hash, numbers of an embedding.
 ORDERS, BUCKETS, DIM = (1, 2, 3, 4), 1 << 15, 16
 STEPS, RATE, MINI_BATCH = 1000, 2.0, 32
@@ -48,13 +50,18 @@ def _counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """`table`: each bucket's share in the logits (embedding times weights); temperature and limit are calibrated."""
+    """`table`: each bucket's share in the logits (embedding times weights); temperature and limits are calibrated.
+
+    `known` marks the buckets that training rows fill; `unknown` is the share of a text's subwords that may lie outside.
+    """
 
     langs: list[str]
     table: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
     limit: float = 0.0
+    known: np.ndarray | None = None
+    unknown: float = 1.0
 
     def chances(self, logits: np.ndarray) -> np.ndarray:
         z = (logits + self.bias) / self.temperature
@@ -70,13 +77,25 @@ class Model:
             n += len(at)
         return total / max(1, n)
 
+    def strange(self, text: str) -> float:
+        """Share of the subwords that no training row holds."""
+        if self.known is None:
+            return 0.0
+        data, missed, n = text.lower().encode(), 0, 0
+        for begin in range(0, len(data), _BLOCK):
+            at = subwords(data, begin)
+            missed += int(np.count_nonzero(~self.known[at]))
+            n += len(at)
+        return missed / max(1, n)
+
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        """Language, its chance, and whether the text is rejected: no letter, or a chance under the limit."""
+        """Language, its chance, and whether the text is rejected: no letter, a chance under the limit, or too many unknown subwords."""
         if not self.langs or not text or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, True
         chance = self.chances(self.logits(text))
         best = int(chance.argmax())
-        return self.langs[best], float(min(1.0, chance[best])), bool(chance[best] < self.limit)
+        odd = chance[best] < self.limit or self.strange(text) > self.unknown
+        return self.langs[best], float(min(1.0, chance[best])), bool(odd)
 
 
 def fit(rows: list[tuple[str, str]]) -> Model:
@@ -84,6 +103,7 @@ def fit(rows: list[tuple[str, str]]) -> Model:
 
     Every fifth row is held back: a temperature is chosen by its likelihood, and
     the limit is half the chance that all but a share REJECT_SHARE of its rows reach.
+    The share of unknown subwords allowed is UNKNOWN_TIMES what all but that share stay under.
     """
     rows = [(t, g) for t, g in rows if any(map(str.isalpha, t))]
     langs = sorted({g for _, g in rows})
@@ -119,7 +139,10 @@ def fit(rows: list[tuple[str, str]]) -> Model:
             step = np.repeat(back, lengths, axis=0) * (share * rate * 8)[:, None]
             for d in range(DIM):
                 table[:, d] -= np.bincount(at, weights=step[:, d], minlength=BUCKETS).astype(np.float32)
-    model = Model(langs, (table @ weights).astype(np.float32), bias.astype(np.float64))
+    known = np.zeros(BUCKETS, bool)
+    for d in train:
+        known[features[d][0]] = True
+    model = Model(langs, (table @ weights).astype(np.float32), bias.astype(np.float64), known=known)
     if len(held):
         logits = np.array([model.logits(rows[d][0]) for d in held])
 
@@ -129,6 +152,8 @@ def fit(rows: list[tuple[str, str]]) -> Model:
 
         model.temperature = min((0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 1.0, 1.5, 2.0, 3.0), key=loss)
         model.limit = 0.5 * float(np.quantile(model.chances(logits).max(axis=1), REJECT_SHARE, method="lower"))
+        strange = [model.strange(rows[d][0]) for d in held]
+        model.unknown = UNKNOWN_TIMES * float(np.quantile(strange, 1 - REJECT_SHARE, method="higher"))
     return model
 
 
@@ -153,7 +178,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     A text that is null or has no letter is `und` with score 0 and rejected, and
     so is every text if the model has learned no language. `rejected` also holds
-    where the score is under the calibrated limit. Repeated rows and null ids come
+    where the score is under the calibrated limit or too many subwords are unknown. Repeated rows and null ids come
     out as they go in; an empty table gives no rows; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets times languages

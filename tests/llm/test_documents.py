@@ -383,3 +383,24 @@ def test_language_model_against_exact_bigram_counts(spark):
     level = language_model.levels(np.array([seen[x] for x in pairs]))
     print("seen with too high a level", (found > level).mean())
     assert (found >= level).all() and (found > level).mean() < 0.013
+
+
+def test_language_id_rejects_what_it_has_not_learned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = language_id.train(docs, id_crc(4) != 2)
+    held_out = [r.text for r in docs.filter(id_crc(4) == 2).select("text").collect() if r.text and any(map(str.isalpha, r.text))]
+    rng = np.random.default_rng(29)
+
+    def rejected(texts):
+        return sum(model.predict(t)[2] for t in texts) / len(texts)
+
+    def made(letters):
+        return ["".join(rng.choice(list(letters + "  "), n)) for n in (30, 100, 400) for _ in range(40)]
+
+    greek, cyrillic = "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщъыьэюя"
+    cjk, junk = "".join(map(chr, range(0x4E00, 0x5E00))), "#$%&*@!{}[]();=+-/<>ax"
+    kinds = {"greek": greek, "cyrillic": cyrillic, "cjk": cjk, "junk": junk, "hex": "0123456789abcdef", "a-z": "abcdefghijklmnopqrstuvwxyz"}
+    shares = {k: rejected(made(v)) for k, v in kinds.items()}
+    print("limit", model.limit, getattr(model, "unknown", None), "held out", len(held_out), rejected(held_out), shares)
+    assert rejected(held_out) <= 0.002 and len(held_out) > 2000
+    assert all(shares[k] >= 0.9 for k in ("greek", "cyrillic", "cjk", "junk")), shares
