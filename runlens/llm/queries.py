@@ -1,4 +1,4 @@
-"""The ten operators over the given tables, as registered queries."""
+"""The operators over the given tables, as registered queries."""
 
 from __future__ import annotations
 
@@ -10,7 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import bpe, chat, exact_dedup, language_id, language_model, packing, simhash, suffix_dedup, token_files, vector_dedup
+from runlens.llm import (
+    alignment, bpe, chat, exact_dedup, language_id, language_model, packing, ranking, simhash, suffix_dedup, token_files, toxicity,
+    vector_dedup,
+)
 from runlens.llm.shared import documents
 
 
@@ -158,6 +161,48 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(
+        documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    )
+
+
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranking.rank(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+#: Every document's terms are counted, then met with the items' terms.
+OP12_SQL = r"""
+WITH docs AS MATERIALIZED (
+  SELECT doc_id, uid, regexp_extract_all(lowered, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM (
+    SELECT doc_id, row_number() OVER () AS uid, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered
+    FROM documents WHERE text IS NOT NULL)
+), sizes AS (SELECT count(*) AS docs, sum(len(terms))::BIGINT AS terms FROM docs WHERE len(terms) > 0
+), item_terms AS MATERIALIZED (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), tf AS MATERIALIZED (
+  SELECT doc_id, uid, n, term, count(*) AS tf FROM (SELECT doc_id, uid, len(terms) AS n, unnest(terms) AS term FROM docs)
+  WHERE term IN (SELECT term FROM item_terms) GROUP BY ALL
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, sizes GROUP BY term, docs
+), scores AS (
+  SELECT item_id, doc_id, uid,
+         sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * sizes.docs) // sizes.terms))))::BIGINT AS score
+  FROM tf JOIN weights USING (term) JOIN item_terms USING (term), sizes GROUP BY item_id, doc_id, uid
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
+def op13_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, held_out = documents(spark, folder), id_crc(3) == 1
+    model = toxicity.train(docs, spark.read.parquet(f"{folder}/labels.parquet"), ~held_out)
+    return toxicity.judge(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_vector_dedup": op2_vector_dedup,
@@ -169,6 +214,9 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_language_model": op9_language_model,
     "op10_language_id": op10_language_id,
+    "op11_alignment": op11_alignment,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_toxicity": op13_toxicity,
 }
 
-SQL = {"op1_exact_dedup": OP1_SQL, "op2_vector_dedup": OP2_SQL, "op5_reply_trees": OP5_SQL}
+SQL = {"op1_exact_dedup": OP1_SQL, "op2_vector_dedup": OP2_SQL, "op5_reply_trees": OP5_SQL, "op12_lexical_search": OP12_SQL}
