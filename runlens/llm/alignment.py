@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm.chunks import Dictionaries, parts, placed, write_dictionary
-from runlens.llm.shared import batch, cut_lineage, shared_folder, slices, worker_texts
+from runlens.llm.shared import batch, cut_lineage, no_collection, shared_folder, slices, worker_texts
+from runlens.llm.word_cache import WordCache
 
-#: Pieces a worker keeps, bytes of the longest one kept, bytes of text encoded at once.
-CACHE_PIECES, CACHE_LONGEST, SLICE_BYTES = 250_000, 48, 2 << 20
+#: Bytes of one generation of the pieces a worker keeps (there are two), what one takes beside eight a letter, letters of
+#: the longest kept, and bytes of text encoded at once.
+CACHE_BYTES, PIECE_BYTES, CACHE_LONGEST, SLICE_BYTES = 128 << 20, 330, 48, 2 << 20
 #: Matrix entries that one block of a product makes at most (one row may make more).
 PRODUCT_BLOCK = 1 << 20
 #: Links a task counts at once; a pair of ids may leave it once for each such lot.
@@ -109,53 +112,73 @@ class Tokenizers:
     """
 
     def __init__(self, a_path: str, b_path: str):
-        import os
         import re
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(a_path)
+        self.words = WordCache(a_path, spaces=True, lower=False)
+        self.a = self.words.library
         self.a.encode_special_tokens = True  # their strings in a text are ordinary text
         self.b = SentencePieceProcessor(model_file=b_path)
         shown = _byte_alphabet()
         names = {i: token for token, i in self.a.get_vocab().items()}
         self.n_a, self.n_b = max(names, default=0) + 1, self.b.get_piece_size()
         self.a_bytes = [bytes(shown[c] for c in names[i]) if i in names and all(c in shown for c in names[i]) else b"" for i in range(self.n_a)]
-        pieces = [self.b.id_to_piece(i) for i in range(self.n_b)]
+        entries = [self.b.id_to_piece(i) for i in range(self.n_b)]
         self.b_bytes = [
-            bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
+            bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(entries)
         ]
         self.a_lengths = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_lengths = np.array([len(x) for x in self.b_bytes], np.int64)
-        self.cuttable = not any("▁" in p.lstrip("▁") for p in pieces)
+        self.cuttable = not any("▁" in p.lstrip("▁") for p in entries)
         self.crowded, self.cut = re.compile(r"\x20\s|\s\x20|^\x20|\x20$"), re.compile(r"(?<=\S)\x20(?=\S)")
         self.kind = "<u4" if self.n_a * self.n_b <= 1 << 32 else "<u8"
         self.known: dict[str, tuple | None] = {}
+        self.older: dict[str, tuple | None] = {}
+        self.size = 0
 
     def pieces(self, text: str) -> list[str]:
         if not self.cuttable:
             return [text]
         return self.cut.split(text) if self.crowded.search(text) else text.split(" ")
 
-    def encoded(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
-        """Ids of both for each text read after a space, and whether both say just that."""
-        spaced = [" " + t for t in texts]
-        a = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
-        b = self.b.encode(texts, num_threads=1)
-        of_a, of_b = self.a_bytes.__getitem__, self.b_bytes.__getitem__
-        same = [b"".join(map(of_a, x)) == (raw := s.encode()) == b"".join(map(of_b, y)) for s, x, y in zip(spaced, a, b)]
-        return a, b, same
-
-    def aligned(self, texts: list[str]) -> list[tuple | None]:
-        """For each text (counts, pairs, groups), or None where its tokens do not give its bytes back."""
-        found: list[tuple | None] = [None] * len(texts)
-        a, b, same = self.encoded(texts)
+    def _a_ids(self, spaced: list[str]) -> list[np.ndarray]:
+        rare = self.words.rare.search
+        plain = [s[:1] == " " and s[1:].isalpha() and (s.isascii() or not rare(s)) for s in spaced]
+        fast = iter(self.words._words([s[1:] for s, p in zip(spaced, plain) if p]))
+        slow = iter(self.words._raw([s for s, p in zip(spaced, plain) if not p]))
+        return [np.frombuffer(next(fast if p else slow), self.words.kind) for p in plain]
+
+    def encoded(self, spaced: list[str]) -> tuple[list, list, list[bool]]:
+        """Ids of both for each text, which begins with the space that B puts there itself, and whether both say just that."""
+        a = self._a_ids(spaced)
+        b = self.b.encode([s[1:] for s in spaced], num_threads=1)
+        raw = [s.encode() for s in spaced]
+        of_a, of_b, whole = self.a_bytes.__getitem__, self.b_bytes.__getitem__, b"".join(raw)
+        sizes = [len(x) for x in raw]
+        flat_a = np.concatenate(a).tolist() if a else []
+        flat_b = chain.from_iterable(b)
+        if b"".join(map(of_a, flat_a)) == whole == b"".join(map(of_b, flat_b)) and self._ends(a, self.a_lengths) == sizes == self._ends(b, self.b_lengths):
+            return a, b, [True] * len(a)
+        return a, b, [b"".join(map(of_a, x.tolist())) == r == b"".join(map(of_b, y)) for r, x, y in zip(raw, a, b)]
+
+    @staticmethod
+    def _ends(ids: list, lengths: np.ndarray) -> list[int]:
+        """Bytes of each text's tokens."""
+        at = np.concatenate([[0], np.cumsum(list(map(len, ids)))]).astype(np.int64)
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, at[-1])
+        upto = np.concatenate([[0], np.cumsum(lengths[flat])])
+        return np.diff(upto[at]).tolist()
+
+    def aligned(self, spaced: list[str]) -> list[tuple | None]:
+        """For each text (pairs, groups), or None where its tokens do not give its bytes back."""
+        found: list[tuple | None] = [None] * len(spaced)
+        a, b, same = self.encoded(spaced)
         use = [i for i, ok in enumerate(same) if ok]
         if not use:
             return found
-        a_ids, b_ids = (np.fromiter((t for i in use for t in x[i]), np.int64) for x in (a, b))
+        a_ids = np.concatenate([a[i] for i in use]).astype(np.int64)
+        b_ids = np.fromiter(chain.from_iterable(map(b.__getitem__, use)), np.int64)
         a_lengths, b_lengths = self.a_lengths[a_ids], self.b_lengths[b_ids]
         a_ends, b_ends = np.cumsum(a_lengths), np.cumsum(b_lengths)
         cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
@@ -163,50 +186,64 @@ class Tokenizers:
         rows, columns = (np.concatenate([x[k] for x in overlaps]) for k in (0, 1))
         pairs = (a_ids[rows] * self.n_b + b_ids[columns]).astype(self.kind).tobytes()
         width = int(self.kind[2:])
-        n_a, n_b = (np.array([len(x[i]) for i in use]) for x in (a, b))
-        a_upto = np.cumsum(n_a)
-        byte_upto = a_ends[a_upto - 1]
-        links_upto = np.searchsorted(rows, a_upto).tolist()
-        groups_upto = np.searchsorted(cuts, byte_upto, "right")
-        counts = np.stack([n_a, n_b, np.diff(groups_upto, prepend=0)], 1).astype("<i8")
-        a_cut, b_cut = np.searchsorted(a_ends, cuts, "right").tolist(), np.searchsorted(b_ends, cuts, "right").tolist()
-        a_text, b_text = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
-        groups = [
-            ",".join(a_text[i:j]) + "|" + ",".join(b_text[k:m])
-            for i, j, k, m in zip([0, *a_cut], a_cut, [0, *b_cut], b_cut)
-        ]
+        a_upto = np.cumsum(list(map(len, map(a.__getitem__, use))))
+        links_upto = np.searchsorted(rows, a_upto)
+        groups_upto = np.searchsorted(cuts, a_ends[a_upto - 1], "right")
+        groups = self._groups(a_ids, b_ids, np.searchsorted(a_ends, cuts, "right"), np.searchsorted(b_ends, cuts, "right"))
         link_at = group_at = 0
-        for at, i in enumerate(use):
-            link_to, group_to = links_upto[at], int(groups_upto[at])
-            found[i] = (
-                counts[at].tobytes(), pairs[link_at * width : link_to * width], ";".join(groups[group_at:group_to]).encode(),
-            )
+        for i, link_to, group_to in zip(use, (links_upto * width).tolist(), groups_upto.tolist()):
+            found[i] = pairs[link_at:link_to], ";".join(groups[group_at:group_to]).encode()
             link_at, group_at = link_to, group_to
         return found
 
+    @staticmethod
+    def _groups(a_ids: np.ndarray, b_ids: np.ndarray, a_cut: np.ndarray, b_cut: np.ndarray) -> list[str]:
+        """The text of each group, `a1,a2|b1`; the cuts are one past each group's last token."""
+        a_text, b_text = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
+        starts = [0, *a_cut.tolist()], [0, *b_cut.tolist()]
+        lone = (np.diff(a_cut, prepend=0) == 1) & (np.diff(b_cut, prepend=0) == 1)
+        return [
+            a_text[i] + "|" + b_text[k] if one else ",".join(a_text[i:j]) + "|" + ",".join(b_text[k:m])
+            for one, i, j, k, m in zip(lone.tolist(), starts[0], starts[0][1:], starts[1], starts[1][1:])
+        ]
+
     def documents(self, texts: list[str]) -> list[tuple | None]:
-        """(counts, pairs, groups) of whole texts, or None for those without tokens."""
+        """For each whole text its pairs and groups, or None for those without tokens."""
         lists = [self.pieces(t) for t in texts]
-        wanted = {p for pieces in lists for p in pieces}
-        if len(self.known) > CACHE_PIECES:
-            self.known = {}
-        new = [p for p in wanted if p not in self.known]
-        here = dict(zip(new, self.aligned(new)))
-        self.known.update((p, x) for p, x in here.items() if len(p) <= CACHE_LONGEST)
-        here.update((p, self.known[p]) for p in wanted if p not in here)
-        out = []
+        new = set(chain.from_iterable(lists)).difference(self.known)
+        if self.size > CACHE_BYTES:
+            self.known, self.older, self.size = {}, self.known, 0
+            new = set(chain.from_iterable(lists))
+        back = new.intersection(self.older)
+        fresh = list(new - back)
+        self.known.update(zip(back, map(self.older.__getitem__, back)))
+        self.known.update(zip(fresh, self.aligned([" " + p for p in fresh])))
+        self.size += PIECE_BYTES * len(new) + 8 * sum(map(len, new))
+        of, out = self.known.__getitem__, []
         for text, pieces in zip(texts, lists):
-            one = [here[p] for p in pieces]
+            one = list(map(of, pieces))
             if not text:
                 out.append(None)
             elif None in one:  # a piece is read otherwise: the whole text decides
-                out.append(self.aligned([text])[0])
+                out.append(self.aligned([" " + text])[0])
             else:
-                counts = np.frombuffer(b"".join([x[0] for x in one]), "<i8").reshape(-1, 3).sum(0).tobytes()
-                out.append((counts, b"".join([x[1] for x in one]), b";".join([x[2] for x in one])))
+                out.append((b"".join([x[0] for x in one]), b";".join([x[1] for x in one])))
+        for piece in [p for p in fresh if len(p) > CACHE_LONGEST]:
+            del self.known[piece]
         return out
 
 
+def _counts(groups: bytes) -> tuple[int, int, int]:
+    """Tokens of A, of B, and groups of a text, from the text of its groups."""
+    signs = np.frombuffer(groups, np.uint8)
+    signs = signs[(signs == 0x2C) | (signs >= 0x3B)]  # , ; |
+    n_groups = int(np.count_nonzero(signs == 0x7C))
+    in_b = np.cumsum(np.where(signs == 0x7C, 1, np.where(signs == 0x3B, -1, 0)))
+    commas = signs == 0x2C
+    behind = int(np.count_nonzero(commas & (in_b == 1)))
+    return n_groups + int(np.count_nonzero(commas)) - behind, n_groups + behind, n_groups
+
+
 def _byte_alphabet() -> dict[str, int]:
     """The characters that stand for bytes in a byte-level vocabulary: printable bytes themselves, the others from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -243,13 +280,14 @@ def _align(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col: str
             texts, ids = b.column("text").to_pylist(), b.column("doc_id")
             for i, j in slices(texts, SLICE_BYTES):
                 out = []
-                for x in both.documents([t.decode() for t in texts[i:j]]):
+                with no_collection():
+                    found = both.documents([t.decode() for t in texts[i:j]])
+                for x in found:
                     if x is None:
                         out.append((0, 0, 0, 0, "", b""))
                     else:
-                        pairs = np.frombuffer(x[1], both.kind)
-                        counts = np.frombuffer(x[0], "<i8").tolist()
-                        out.append((*counts, len(pairs), hashlib.sha256(x[2]).hexdigest(), _planes(pairs)))
+                        pairs = np.frombuffer(x[0], both.kind)
+                        out.append((*_counts(x[1]), len(pairs), hashlib.sha256(x[1]).hexdigest(), _planes(pairs)))
                 yield batch(_ALIGNED, ids[i:j], *zip(*out))
 
     return worker_texts(docs, id_col, text_col).mapInArrow(
@@ -270,10 +308,12 @@ def links(docs: DataFrame, a_path: str, b_path: str, shared_groups: bool = False
         both = _tokenizers(a_path, b_path)
         for b in batches:
             for doc, raw in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                (a_ids,), (b_ids,), (same,) = both.encoded([raw.decode()])
+                if not raw:
+                    continue
+                (a_ids,), (b_ids,), (same,) = both.encoded([" " + raw.decode()])
                 if not same:
                     continue
-                a_ids, b_ids = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
+                a_ids, b_ids = a_ids.astype(np.int64), np.array(b_ids, np.int64)
                 if shared_groups:
                     a_ends, b_ends = np.cumsum(both.a_lengths[a_ids]), np.cumsum(both.b_lengths[b_ids])
                     cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)

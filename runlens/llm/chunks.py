@@ -1,9 +1,9 @@
 """Dictionaries per chunk of the input: facts about words brought to the rows without moving the texts.
 
-A chunk is one split of an input file. Its distinct words leave it, are joined
+A chunk is a run of rows that lie next to each other in an input file. Its distinct words leave it, are joined
 with what is known of them, and come back as a file for that chunk, which the
-task that reads the split again loads. Neither texts nor word occurrences are
-shuffled, and nothing is broadcast; a dictionary is bounded by the split's size.
+task that reads the rows again loads. Neither texts nor word occurrences are
+shuffled, and nothing is broadcast; a dictionary is bounded by its chunk.
 """
 
 from __future__ import annotations
@@ -23,26 +23,10 @@ FLUSH_WORDS = 600_000
 CHUNK_ROWS = 1 << 13
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
-    """doc_id, text, chunk (and `more`) of every row. Rows that lie in no file are written to one first.
-
-    A chunk is named by a hash of its file and place there; should two names meet,
-    the two share a dictionary. Rows must come straight from a scan, filters and
-    projections aside: after a shuffle all rows would be one chunk.
-    """
-    more = [m.alias(f"more_{i}") for i, m in enumerate(more)]
-    if not docs.inputFiles():
-        docs = cut_lineage(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *more))
-        id_col, text_col, more = "doc_id", "text", [F.col(f"more_{i}") for i in range(len(more))]
-    chunk = F.xxhash64(F.input_file_name(), F.input_file_block_start()).alias("chunk")
-    return worker_texts(docs, id_col, text_col, chunk, *more)
-
+def _place(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """`docs`, and where each row lies: the Parquet file and the number of the row in it.
 
-def placed(docs: DataFrame) -> tuple[DataFrame, Column]:
-    """`docs`, and a column that names the chunk of each row by its file and its place among the file's rows.
-
-    Unlike a split, which follows the cores alive when a scan is planned, such a
-    chunk is the same in every scan. Rows that do not lie in Parquet files are
+    Rows that do not lie in Parquet files, or are behind a join or an aggregate, are
     written to some first.
     """
     try:
@@ -51,9 +35,32 @@ def placed(docs: DataFrame) -> tuple[DataFrame, Column]:
     except AnalysisException:
         docs = cut_lineage(docs)
         place = docs.metadataColumn("_metadata")
+    return docs, place
+
+
+def placed(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """`docs`, and a column that names the chunk of each row by its file and its place among the file's rows.
+
+    Unlike a split, which follows the cores alive when a scan is planned, such a
+    chunk is the same in every scan.
+    """
+    docs, place = _place(docs)
     return docs, F.xxhash64(place["file_path"], F.floor(place["row_index"] / CHUNK_ROWS)).alias("chunk")
 
 
+def chunked(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
+    """doc_id, text, chunk, row (and `more`) of every row; chunk as `placed` has it.
+
+    `row` is a hash of the row's place, the same in every scan; a chunk is named by a
+    hash as well, and should two names meet, the two share a dictionary.
+    """
+    more = [m.alias(f"more_{i}") for i, m in enumerate(more)]
+    docs, place = _place(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *more))
+    chunk = F.xxhash64(place["file_path"], F.floor(place["row_index"] / CHUNK_ROWS)).alias("chunk")
+    row = F.xxhash64(place["file_path"], place["row_index"]).alias("row")
+    return worker_texts(docs, "doc_id", "text", chunk, row, *[F.col(f"more_{i}") for i in range(len(more))])
+
+
 def parts(b: pa.RecordBatch):
     """A batch cut where the chunk changes: (chunk, rows)."""
     names = b.column("chunk").to_pylist()

@@ -136,6 +136,12 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(counts)).astype(np.int64) + 1
 
 
+def least_counts(level: np.ndarray) -> np.ndarray:
+    """The least count of each level (0: not entered). Taken for the counts of a history's successors they come to the
+    count of the history at most."""
+    return np.where(level > 0, 2.0 ** (level - 1), 0.0)
+
+
 def build_filter(blobs: DataFrame) -> DataFrame:
     """(shard, bits): the segments of the log-frequency Bloom filter. A bigram of level q is entered as (bigram, 1) to (bigram, q)."""
 
@@ -214,7 +220,9 @@ def score(
     Tokens are words and one end. Returns doc_id, train, n_tokens, n_known (tokens
     that the training rows hold), train_tokens, base_score (smoothed unigrams) and
     score, log10 of the chance that the model gives the text: for each token a
-    mixture of its share after the token before it and the unigram chance. With
+    mixture of its share after the token before it and the unigram chance. Shares are
+    taken from the least count of a bigram's level, so those of a history's successors
+    come to one at most, but for what the filter's false entries add. With
     nothing to learn from both scores are those of add-half smoothing over no
     tokens. Repeated rows and null ids come out as they go in; an empty table
     gives no rows; other columns are ignored. See `chunks` for what `docs` may be.
@@ -225,7 +233,7 @@ def score(
     time as `budget` bytes hold: a larger filter takes more passes, not more memory.
     """
     spark = docs.sparkSession
-    rows = chunked(docs, id_col, text_col, F.coalesce(training, F.lit(False)), F.monotonically_increasing_id())
+    rows = chunked(docs, id_col, text_col, F.coalesce(training, F.lit(False)))
     counts = cut_lineage(chunk_counts(rows))
     totals = cut_lineage(counts.filter("word is not null").groupBy("word").agg(F.sum("n").alias("c")))
     ends = counts.filter("word is null").agg(F.sum("n")).first()[0] or 0
@@ -273,15 +281,14 @@ def score(
             history[begins] = ends
             own = shared.value.held[(keys >> shared.value.shift).astype(np.int64)] if shared.value else None
             level = shared.value.levels(keys) if shared.value else np.zeros(len(keys), np.int64)
-            # the middle of a level's counts, but no more than the history has
-            seen = np.minimum(np.where(level > 0, np.where(level > 1, 1.4, 1.0) * 2.0 ** (level - 1), 0.0), history)
+            seen = np.minimum(least_counts(level), history)
             weight = WEIGHT * history / (history + HALF)
             chance = weight * seen / np.maximum(history, 1) + (1 - weight) * unigram
             logs = np.log10(chance)
             if own is not None:
                 logs = np.where(own, logs, 0.0)
             return batch(
-                _SCORES, part.column("doc_id"), part.column("more_1"), part.column("more_0"), stops - begins,
+                _SCORES, part.column("doc_id"), part.column("row"), part.column("more_0"), stops - begins,
                 np.add.reduceat(count > 0, begins, dtype=np.int64),
                 np.add.reduceat(np.log10(unigram), begins), np.add.reduceat(logs, begins),
             )

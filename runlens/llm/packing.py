@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.llm.shared import batch, cut_lineage, worker_texts
+from runlens.llm.shared import batch, cut_lineage, release_memory, worker_texts
 from runlens.llm.word_cache import word_cache
 
 #: Tokens of a sequence, and the unit in which lengths are binned (rounded up).
@@ -63,6 +63,7 @@ def items(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
                     idx += 1
             if rows:
                 yield batch(_ITEMS, *map(list, zip(*rows)))
+        release_memory()
 
     return worker_texts(docs, id_col, text_col).mapInArrow(cut, _ddl(_ITEMS))
 

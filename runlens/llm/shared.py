@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from runlens.session import cut_lineage
 
 __all__ = [
-    "cut_lineage", "documents", "filesystem", "keep_rows", "mix", "raw_hash", "shared_folder", "slices", "worker_texts",
+    "cut_lineage", "documents", "filesystem", "keep_rows", "mix", "no_collection", "raw_hash", "release_memory", "shared_folder", "slices", "worker_texts",
 ]
 
 
@@ -98,6 +99,33 @@ def slices(texts: list, size: int):
         at = upto
 
 
+@contextmanager
+def no_collection():
+    """Without searches for cycles: they would go through all of a large cache whenever some small objects are made."""
+    import gc
+
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
+def release_memory() -> None:
+    """Gives back to the system what a worker process holds of earlier tasks without using it."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema

@@ -27,8 +27,8 @@ _SPANS = pa.schema([
 class SequenceWriter:
     """Writes a stream of ids as an Arrow file whose rows are `ids` and `mask`, lists of fixed size.
 
-    All rows have the same length, so row i of the file lies at a computed place
-    and can be used without a copy. Only the last row may hold padding, which its
+    All rows have the same length and all batches but the last BATCH_SEQUENCES rows, so
+    row i of the file lies at a computed place and can be used without a copy. Only the last row may hold padding, which its
     mask marks. A second file lists the documents and where they start.
     """
 
@@ -49,7 +49,7 @@ class SequenceWriter:
         self.waiting.append(ids)
         self.held, self.total, self.docs = self.held + n, self.total + n, self.docs + 1
         if self.held >= SEQUENCE * BATCH_SEQUENCES:
-            self._flush(self.held // SEQUENCE)
+            self._flush(self.held // (SEQUENCE * BATCH_SEQUENCES) * BATCH_SEQUENCES)
 
     def _flush(self, sequences: int) -> None:
         flat = np.frombuffer(b"".join(self.waiting), self.kind)
@@ -92,10 +92,8 @@ class SequenceFile:
         return self._held[1]
 
     def sequence(self, i: int) -> tuple[np.ndarray, pa.Array]:
-        """Ids (a view, no copy) and mask of one sequence. All batches but the last two are full."""
-        k = 0
-        while i >= (n := self._batch(k).num_rows):
-            i, k = i - n, k + 1
+        """Ids (a view, no copy) and mask of one sequence, from the batch and place that its number gives."""
+        k, i = divmod(i, BATCH_SEQUENCES)
         b = self._batch(k)
         at = slice(i * SEQUENCE, (i + 1) * SEQUENCE)
         return b.column(0).values.to_numpy()[at], b.column(1).values[at]

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 import numpy as np
 
-from runlens.llm.shared import slices
+from runlens.llm.shared import no_collection, release_memory, slices
 
-#: Pieces of one generation of a worker's cache (it holds two), and bytes of text encoded at once.
-CACHE_PIECES, SLICE_BYTES = 400_000, 4 << 20
-_TAIL = ".,!?;:"
+#: Bytes of one generation of a worker's cache (it holds two), what a piece takes there beside its letters, and bytes of
+#: text encoded at once.
+CACHE_BYTES, PIECE_BYTES, SLICE_BYTES = 64 << 20, 230, 4 << 20
+#: Signs that end a word wherever they follow a letter; an apostrophe does not. Words of a line.
+_TAIL, LINE_WORDS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", 250
+#: Characters that normalization maps one by one, whatever stands beside them: none of them composes with another.
+_SIMPLE = "\\x00-\\u017f"
 
 
 class WordCache:
@@ -20,7 +22,13 @@ class WordCache:
     space that follows it, and between a letter or digit and a run of
     punctuation. So a text is cut at single spaces, and what the library gives
     for a piece is what it gives for that piece of the text. Where a space touches
-    other white space the whole text goes through the library.
+    other white space the whole text goes through the library, and so does a text
+    that holds the string of an added token.
+
+    Where the vocabulary normalizes, a text is normalized once, as a whole and by the
+    library, before it is cut; pieces are then encoded by a copy of it that does not
+    normalize (doing so twice is not the same). Texts of simple characters alone are
+    lower-cased here, which is all that is done to them.
 
     Pieces not seen before are encoded together: letters-only words are laid in
     one line, and the line's ids are parted where a word begins or ends. Such a
@@ -37,9 +45,10 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
-            plain = json.load(f) | {"normalizer": None, "post_processor": None, "added_tokens": []}
+            given = json.load(f)
+        plain = given | {"normalizer": None, "post_processor": None, "added_tokens": []}
+        self.pieced = Tokenizer.from_str(json.dumps(plain)) if given["normalizer"] else self.library
         cut = {"type": "Split", "pattern": {"String": " "}, "behavior": "MergedWithNext" if spaces else "Removed", "invert": False}
         as_bytes = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
         plain["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [cut, as_bytes]}
@@ -49,21 +58,30 @@ class WordCache:
         self.spaces, self.lower = spaces, lower
         self.pieces: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.size = 0
         self.odd = re.compile(r"\x20\s|\s\x20|\x00")
+        self.rare = re.compile(f"[^{_SIMPLE}]")
+        self.added = [t["content"].lower() for t in given["added_tokens"]]
         # ids that end a word (where white space is dropped) or begin one with its space
         self.edge = np.zeros(self.library.get_vocab_size(), bool)
         for token, i in self.library.get_vocab().items():
             self.edge[i] = token.startswith("Ġ") if spaces else token.endswith("</w>")
 
     def _raw(self, texts: list[str]) -> list[bytes]:
+        """ids of normalized pieces, by the library's own search for words."""
+        found = self.pieced.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, self.kind).tobytes() for e in found]
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        """ids of texts as they were given."""
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in found]
 
     def _words(self, words: list[str]) -> list[bytes]:
         """ids of letters-only words, each taken with a space before it where spaces count."""
         out: list[bytes] = []
-        for at in range(0, len(words), 2000):
-            some = words[at : at + 2000]
+        for at in range(0, len(words), LINE_WORDS):
+            some = words[at : at + LINE_WORDS]
             line = (" " if self.spaces else "") + " ".join(some)
             ids = np.array(self.plain.encode_batch_fast([line], add_special_tokens=False)[0].ids, np.int64)
             edges = np.flatnonzero(self.edge[ids]) + (0 if self.spaces else 1)
@@ -80,12 +98,7 @@ class WordCache:
         for piece in new:
             core = piece.rstrip(_TAIL)
             word = core[1:] if self.spaces and core[:1] == " " else "" if self.spaces else core
-            if word.isalpha():
-                if self.lower:  # what the vocabulary's normalization does to a word, but for a Σ, see _cut
-                    if "Σ" in word:
-                        other[piece] = b""
-                        continue
-                    word = unicodedata.normalize("NFC", word.lower())
+            if word.isalpha() and (word.isascii() or not self.rare.search(word)):
                 plain[word] = b""
                 parts[piece] = word, len(core)
             else:
@@ -99,14 +112,18 @@ class WordCache:
             self.pieces[piece] = plain[word] + ends[piece[n:]] if n < len(piece) else plain[word]
 
     def _cut(self, text: str) -> list[str] | None:
+        """Normalized pieces, or None where the whole text goes through the library."""
+        if "<" in text and any(token in text.lower() for token in self.added):
+            return None
+        if self.lower:
+            text = self.library.normalizer.normalize_str(text) if self.rare.search(text) else text.lower()
         if not self.spaces:  # white space is dropped, wherever it stands
-            if self.lower and "Σ" not in text:  # the library lower-cases letter by letter
-                text = text.lower()
-            return text.split(" ")
+            return text.replace("\n", " ").split(" ")
         return None if self.odd.search(text) else text.replace(" ", "\0 ").split("\0")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [ids for i, j in slices(texts, SLICE_BYTES) for ids in self._slice(texts[i:j])]
+        with no_collection():
+            return [ids for i, j in slices(texts, SLICE_BYTES) for ids in self._slice(texts[i:j])]
 
     def _slice(self, texts: list[str]) -> list[bytes]:
         lists = [self._cut(t) for t in texts]
@@ -114,16 +131,17 @@ class WordCache:
         for pieces in lists:
             if pieces is not None:
                 wanted.update(pieces)
-        if len(self.pieces) > CACHE_PIECES:
-            self.pieces, self.older = {}, self.pieces
+        if self.size > CACHE_BYTES:
+            self.pieces, self.older, self.size = {}, self.pieces, 0
         missing = wanted.difference(self.pieces)
         back = missing.intersection(self.older)
         self.pieces.update(zip(back, map(self.older.__getitem__, back)))
         self._learn(list(missing - back))
+        self.size += PIECE_BYTES * len(missing) + sum(map(len, missing))
         of = self.pieces.__getitem__
         out = [None if pieces is None else b"".join(map(of, pieces)) for pieces in lists]
         rest = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(rest, self._raw([texts[i] for i in rest])):
+        for i, ids in zip(rest, self._whole([texts[i] for i in rest])):
             out[i] = ids
         return out
 
@@ -132,8 +150,10 @@ _caches: dict[tuple, WordCache] = {}
 
 
 def word_cache(path: str, spaces: bool, lower: bool) -> WordCache:
-    """One cache per worker process and vocabulary; it lives as long as the worker."""
+    """The cache of a worker process; it lives as long as the worker, or until another vocabulary is asked for."""
     key = (path, spaces, lower)
     if key not in _caches:
+        _caches.clear()
+        release_memory()
         _caches[key] = WordCache(path, spaces, lower)
     return _caches[key]

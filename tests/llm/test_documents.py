@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -19,6 +20,7 @@ from runlens.llm import bpe, exact_dedup, language_id, language_model, packing,
 from runlens.llm.chunks import Dictionaries
 from runlens.llm.queries import historical, id_crc, piece_digests
 from runlens.llm.shared import keep_rows, shared_folder
+from runlens.llm.word_cache import WordCache
 
 
 def tuples(df, *columns):
@@ -103,7 +105,6 @@ def test_simhash_links_against_all_pairs(spark):
 def test_token_files(spark, odd_rows):
     path = P.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     folder = shared_folder(spark, "tokens")
     manifest = token_files.write_tokens(table(spark, odd_rows), path, 2, folder)
     got = token_files.read_spans(manifest).collect()
@@ -135,7 +136,6 @@ def test_token_files(spark, odd_rows):
 def test_packing(spark, odd_rows):
     path = P.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     pieces = packing.pack(table(spark, odd_rows), path, 1).collect()
     want = collections.Counter((i, tuple(library.encode(t or "", add_special_tokens=False).ids + [1])) for i, t in odd_rows)
     sequences = collections.defaultdict(list)
@@ -265,12 +265,24 @@ def test_language_model(spark, odd_rows):
     assert np.allclose([s[2] for s in scores], [s[2] for s in first])
 
 
-def test_filter_never_forgets():
+def test_filter_never_forgets(spark):
     keys = np.arange(1, 4000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     counts = np.arange(1, 4000) % 9 + 1
-    blobs = language_model._blob(keys, counts)
     assert language_model.levels(np.array([1, 2, 3, 4, 7, 8])).tolist() == [1, 2, 2, 3, 3, 4]
-    assert len(blobs) == 8 + 12 * len(keys)
+    shards = language_model.LEAST_SHARDS
+    shard = (keys >> np.uint64(64 - (shards.bit_length() - 1))).astype(int)
+    blobs = [(int(s), language_model._blob(keys[shard == s], counts[shard == s])) for s in np.unique(shard)]
+    table_ = language_model.build_filter(spark.createDataFrame(blobs, "shard int, blob binary")).collect()
+    probe = language_model.Filter(shards, {r.shard: r.bits for r in table_})
+    assert (probe.levels(keys) >= language_model.levels(counts)).all()
+
+
+def test_successors_of_a_history_share_one_at_most():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        counts = rng.integers(1, 40, rng.integers(1, 60))
+        assert language_model.least_counts(language_model.levels(counts)).sum() <= counts.sum()
+    assert language_model.least_counts(np.array([0, 1, 2, 3])).tolist() == [0, 1, 2, 4]
 
 
 def test_language_id_of_odd_texts(spark, odd_rows):
@@ -328,6 +340,78 @@ def test_suffix_dedup_when_splits_change_between_scans(spark, tmp_path):
         spark.conf.unset(size)
 
 
+def test_dictionaries_when_splits_change_between_scans(spark, tmp_path, monkeypatch):
+    """What was learned by one scan serves the next, whatever its splits."""
+    monkeypatch.setattr("runlens.llm.chunks.CHUNK_ROWS", 50)
+    rng = np.random.default_rng(19)
+    words = np.array([f"w{i}" for i in range(900)])
+    rows = [(i, " ".join(words[rng.integers(0, 900, 300)])) for i in range(400)]
+    path = str(tmp_path / "documents.parquet")
+    writer = table(spark, rows).coalesce(1).write.option("parquet.block.size", 1 << 16).option("compression", "none")
+    writer.option("parquet.page.size.row.check.min", 10).option("parquet.block.size.row.check.min", 10).parquet(path)
+    size, ranks = "spark.sql.files.maxPartitionBytes", P.path("byte_bpe_50k.tiktoken")
+    found = []
+    try:
+        for first, then in (("64m", "128k"), ("128k", "64m")):
+            spark.conf.set(size, first)
+            docs = spark.read.parquet(path)
+            ids = bpe.encode(docs, ranks, P.PATTERN, digests=True)
+            scores = language_model.score(docs, id_crc(5) != 1, budget=100_000)  # several passes
+            spark.conf.set(size, then)
+            found.append((tuples(ids, "doc_id", "ids_sha256"), [(r.doc_id, r.n_tokens, round(r.score, 6)) for r in scores.orderBy("doc_id").collect()]))
+    finally:
+        spark.conf.unset(size)
+    assert found[0] == found[1] and len(found[0][0]) == len(found[0][1]) == 400
+
+
+def test_rows_behind_an_aggregate_are_dealt_to_chunks(spark, tmp_path):
+    path = str(tmp_path / "documents.parquet")
+    table(spark, [(i, f"text {i}") for i in range(40)]).repartition(4).write.parquet(path)
+    docs = spark.read.parquet(path).groupBy("doc_id").agg(F.max("text").alias("text"))
+    got = language_model.score(docs, id_crc(5) != 1)
+    assert got.count() == 40 and {r.n_tokens for r in got.collect()} == {3}
+
+
+def test_words_are_read_as_by_the_library():
+    """Random strings over alphabets that normalization, lower case and word patterns treat in ways of their own."""
+    rng = random.Random(8)
+    alphabets = [
+        "abcdefgHTWYJzIİıſŉ", "éÉüÜßñçÀ", "\u095c\u0921\u093c\u0915\u0916\u093e\u094d", "\ufb2a\u05e9\u05c1\u05d0", "Σσςαάϊ\u03aa",
+        "\u0327\u0301\u030c\u0307\u0308", "0129²½", " .,!?;:'-_\"<>|", "\n\t  \u0085\u001c\u00a0\u200b", "日本語ガ", "\U0001d4b3😀", "<|endoftext|>",
+    ]
+
+    def text():
+        some = rng.sample(alphabets, rng.randint(1, 4)) + [" abc"]
+        return "".join(
+            rng.choice(rng.choice(some)) if rng.random() < 0.97 else rng.choice(["<|endoftext|>", "'s", "'LL", " the ", "<|STARTOFTEXT|>"])
+            for _ in range(rng.randint(1, 24))
+        )
+
+    for name, spaces, lower in (("word_bpe_49k.json", False, True), ("byte_bpe_50k.json", True, False)):
+        library, cache = Tokenizer.from_file(P.path(name)), WordCache(P.path(name), spaces, lower)
+        texts = ["सड़क".replace("\u0921\u093c", "\u095c"), "J\u030c", "a <|endoftext|> b", *(text() for _ in range(20_000))]
+        for at in range(0, len(texts), 500):
+            some = texts[at : at + 500]
+            want = [e.ids for e in library.encode_batch_fast(some, add_special_tokens=False)]
+            assert [np.frombuffer(x, cache.kind).tolist() for x in cache.encode(some)] == want
+
+
+def test_sequences_lie_at_computed_places(spark):
+    writer_folder = shared_folder(spark, "sequences")
+    rows = [(i, " ".join(f"w{(i * 31 + k) % 977}" for k in range(3000))) for i in range(150)]
+    path = P.path("word_bpe_49k.json")
+    manifest = token_files.write_tokens(table(spark, rows).coalesce(1), path, 2, writer_folder)
+    for r in manifest.collect():
+        file = token_files.SequenceFile(r.path)
+        sizes = [file.file.get_batch(k).num_rows for k in range(file.file.num_record_batches)]
+        assert all(n == token_files.BATCH_SEQUENCES for n in sizes[:-1])
+        flat = np.concatenate([ids for _, _, ids in file.documents()])
+        for i in (0, 1, sum(sizes) // 2, sum(sizes) - 1):
+            part = flat[i * token_files.SEQUENCE : (i + 1) * token_files.SEQUENCE]
+            assert (file.sequence(i)[0][: len(part)] == part).all()
+    assert sum(r.n_tokens for r in manifest.collect()) > token_files.SEQUENCE * token_files.BATCH_SEQUENCES
+
+
 def test_suffix_dedup_has_a_dictionary_for_every_chunk(spark, tmp_path):
     path = str(tmp_path / "documents.parquet")
     table(spark, [(1, "short"), (2, None)]).repartition(2).write.parquet(path)
@@ -355,7 +439,7 @@ def test_language_model_against_exact_bigram_counts(spark):
         for a, b in zip(own, own[1:]):
             history, unigram = counts[a], (counts[b] + 0.5) / below
             level = int(math.log2(seen[a, b])) + 1 if seen[a, b] else 0
-            count = min(2.0 ** (level - 1) * (1.4 if level > 1 else 1.0) if level else 0.0, history)
+            count = min(2.0 ** (level - 1) if level else 0.0, history)
             weight = language_model.WEIGHT * history / (history + language_model.HALF)
             total += math.log10(weight * count / max(history, 1) + (1 - weight) * unigram)
         return total
