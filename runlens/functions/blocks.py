@@ -15,6 +15,8 @@ be null; nulls of the ordering column come first, in a block of their own.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runlens.session import cut_lineage
+
 # A block spans a day, or this many values of a sequence number. A unique
 # sequence therefore puts at most a million rows into one block.
 BLOCK_SECONDS = 86_400
@@ -72,6 +74,23 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], out: str) -> Data
     ).drop("__rn", "__carry", "__block")
 
 
+def ranked(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """`numbered` for an order whose first column takes few values, or values far from even.
+
+    Rows are sorted over all tasks by key and order and written once; a key that spans
+    several tasks gets each part's number of rows before it added.
+    """
+    sorted_ = df.repartitionByRange(*keys, *order) if keys or order else df
+    held = cut_lineage(sorted_.withColumn("__part", F.spark_partition_id()))
+    parts = held.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"))  # a row per key and task
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(*keys, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*order))
+    return held.withColumn(out, place).join(offsets, [*keys, "__part"]).withColumn(
+        out, (F.col(out) + F.col("__before")).cast("long")
+    ).drop("__part", "__before")
+
+
 def neighbour(
     df: DataFrame, keys: list[str], order: list[str], take: dict[str, str],
     following: bool = False,

@@ -138,16 +138,15 @@ def final_state(contexts: DataFrame) -> DataFrame:
 
 
 def validate_deployments(deployments: DataFrame, cron_status: Column) -> DataFrame:
-    """One row per problem: missing ids, an end that is not after the start, bad cron."""
+    """One row per problem, as a code: missing ids, an end that is not after the start, a cron that is
+    invalid, or one that is sound but not supported here."""
     problems = F.array(
-        F.when(F.coalesce(F.col("id"), F.lit("")) == "", "id is required"),
-        F.when(F.coalesce(F.col("dag_id"), F.lit("")) == "", "dag_id is required"),
+        F.when(F.coalesce(F.col("id"), F.lit("")) == "", "missing_id"),
+        F.when(F.coalesce(F.col("dag_id"), F.lit("")) == "", "missing_dag_id"),
         F.when(
-            F.col("end_date") <= F.col("start_date"), "end_date must be after start_date"
-        ),
-        F.when(
-            F.col("cron").isNotNull() & (cron_status != "ok"), "invalid cron expression"
+            F.col("end_date") <= F.col("start_date"), "end_not_after_start"
         ),
+        F.when(F.col("cron").isNotNull() & cron_status.isin("invalid", "unsupported"), F.concat(cron_status, F.lit("_cron"))),
     )
     return deployments.select(
         "id", F.explode(F.filter(problems, lambda p: p.isNotNull())).alias("issue")

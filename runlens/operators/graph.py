@@ -6,6 +6,7 @@ join against the edges and ends in a checkpoint, so plans stay short and a
 lost executor costs one step.
 """
 
+import uuid
 from functools import reduce
 
 import pandas as pd
@@ -14,9 +15,11 @@ from pyspark.sql import functions as F
 
 from runlens.functions import blocks
 from runlens.operators.sets import affected_teardowns
-from runlens.session import cut_lineage
+from runlens.session import cut_lineage, scratch
 
 DAG = ("dag_id",)
+# Levels of nodes on a cycle or behind one, and of seeds without an edge.
+_CYCLIC, _ALONE = -1, -2
 
 
 def adjacency(tasks: DataFrame) -> DataFrame:
@@ -38,31 +41,58 @@ def teardown_pairs(tasks: DataFrame) -> DataFrame:
 
 
 def descendants(edges: DataFrame, seeds: DataFrame, graph: tuple = DAG) -> DataFrame:
-    """Each seed (column `root`) with itself and all it leads to, and the BFS depth."""
+    """Each seed (column `root`) with itself and all it leads to, and the BFS depth.
+
+    Nodes are taken in the order of their level (`peel`), so all ways to a node have
+    arrived when its turn comes: it is expanded once, and what it passes on is filed
+    under the levels of the nodes behind it. Each level reads its own file and no
+    other, and shuffles once. Nodes on a cycle or behind one have no level; what
+    reaches them goes round in a loop of its own, until nothing gets nearer.
+    """
     graph = list(graph)
-    pair = [*graph, "root", "node"]
+    spark = edges.sparkSession
+    pair, at = [*graph, "root", "node"], [*graph, "node"]
+    links = cut_lineage(edges.select(*graph, "upstream", "downstream").distinct())
+    levels, rest = peel(links, graph=tuple(graph))
+    place = cut_lineage(levels.unionByName(rest.withColumn("level", F.lit(_CYCLIC))))
     step = cut_lineage(
-        edges.select(
-            *graph, F.col("upstream").alias("node"), F.col("downstream").alias("next")
-        ).distinct()
-    )
-    frontier = cut_lineage(
-        seeds.select(*graph, "root").distinct().select(
-            *graph, "root", F.col("root").alias("node"), F.lit(0).alias("depth")
+        links.withColumnRenamed("downstream", "node").join(place, at).select(
+            *graph, F.col("upstream").alias("node"), F.col("node").alias("next"), F.col("level").alias("next_level")
         )
     )
-    layers = [frontier]
-    while True:
-        seen = reduce(DataFrame.unionByName, layers).select(*pair)
-        reached = frontier.join(step, [*graph, "node"]).select(
-            *graph, "root", F.col("next").alias("node")
-        ).distinct()
-        frontier = cut_lineage(
-            reached.join(seen, pair, "left_anti").withColumn("depth", F.lit(len(layers)))
+    start = seeds.select(*graph, "root").distinct().select(*graph, "root", F.col("root").alias("node"), F.lit(0).alias("depth"))
+    mail = f"{scratch(spark)}/mail-{uuid.uuid4().hex}"
+    filed = start.join(place, at, "left").select(*pair, "depth", F.coalesce("level", F.lit(_ALONE)).alias("level"))
+    filed.write.partitionBy("level").parquet(mail)
+
+    def arrived(level: int) -> DataFrame | None:
+        """The nearest way from every seed to the nodes of a level; None if there is no way."""
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{mail}/level={level}")
+        if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            return None
+        return spark.read.schema(start.schema).parquet(f"{mail}/level={level}").groupBy(*pair).agg(F.min("depth").alias("depth"))
+
+    def passed_on(rows: DataFrame) -> DataFrame:
+        return rows.join(step, at).select(
+            *graph, "root", F.col("next").alias("node"), (F.col("depth") + 1).alias("depth"), F.col("next_level").alias("level")
         )
-        if frontier.isEmpty():
-            return reduce(DataFrame.unionByName, layers)
-        layers.append(frontier)
+
+    for level in range((place.agg(F.max("level")).first()[0] or 0) + 1):
+        rows = arrived(level)
+        if rows is not None:
+            passed_on(rows).write.mode("append").partitionBy("level").parquet(mail)
+    known = arrived(_CYCLIC)
+    if known is not None:
+        known = frontier = cut_lineage(known)
+        while not frontier.isEmpty():
+            found = passed_on(frontier).groupBy(*pair).agg(F.min("depth").alias("depth"))
+            nearest = known.withColumnRenamed("depth", "__known")
+            frontier = cut_lineage(
+                found.join(nearest, pair, "left").filter(F.col("__known").isNull() | (F.col("depth") < F.col("__known"))).drop("__known")
+            )
+            known = cut_lineage(known.unionByName(frontier).groupBy(*pair).agg(F.min("depth").alias("depth")))
+    out = spark.read.schema(filed.schema).parquet(mail).filter(F.col("level") != _CYCLIC).groupBy(*pair).agg(F.min("depth").alias("depth"))
+    return out if known is None else out.unionByName(known)
 
 
 def _nodes(edges: DataFrame, graph: list[str]) -> DataFrame:
@@ -124,7 +154,7 @@ def topo_levels(
 ) -> DataFrame:
     """Longest-path level of each node and its place in the (level, id) order."""
     levels = peel(edges, nodes, graph)[0]
-    return blocks.numbered(levels, list(graph), ["level", "node"], "topo_order")
+    return blocks.ranked(levels, list(graph), ["level", "node"], "topo_order")
 
 
 def execution_order(tasks: DataFrame, edges: DataFrame) -> DataFrame:

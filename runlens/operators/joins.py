@@ -12,6 +12,8 @@ from runlens.functions.maps import json_object, json_to_map
 from runlens.functions.skew import spread_join
 from runlens.functions.states import is_terminal, make_run_id
 from runlens.functions.text import REMOTE_REF_PATTERN
+from runlens.operators import schedule
+from runlens.session import cut_lineage
 
 _KEY = ["dag_id", "run_id", "task_id"]
 
@@ -191,9 +193,10 @@ def admit_triggers(
         invalid, "trigger_id", "left"
     )
     fit = F.col("missing").isNull() & F.col("is_loaded").isNotNull()
-    keyed = facts.withColumn("__fit", fit.cast("long")).withColumn(
+    # The running sum reads its input twice; the joins under it are done once.
+    keyed = cut_lineage(facts.withColumn("__fit", fit.cast("long")).withColumn(
         "__deployment", F.coalesce("deployment_id", F.lit(""))
-    )
+    ))
     queued = blocks.running_sum_before(keyed, ["__deployment"], list(order), "__fit", "__taken")
     full = F.coalesce("active_runs", F.lit(0)) + F.col("__taken") >= F.col("max_active_runs")
     return queued.withColumn(
@@ -271,6 +274,22 @@ def due_ticks(deployments: DataFrame, ticks: DataFrame, now) -> DataFrame:
     )
 
 
+def due_now(deployments: DataFrame, now) -> DataFrame:
+    """`due_ticks` from the crons alone: the tick before `now` is searched for, no ticks are made.
+
+    Deployments without a sound cron have none; `schedule.unscheduled` names them.
+    """
+    live = deployments.filter(F.coalesce("enabled", F.lit(True)) & F.col("cron").isNotNull()).withColumnRenamed("id", "deployment_id")
+    found = schedule.neighbour_ticks(live, now, False, "due_at")
+    due, last = F.col("due_at"), F.col("last_scheduled_at")
+    return (
+        found.filter(due.isNotNull())
+        .filter(F.col("start_date").isNull() | (due >= F.col("start_date")))
+        .filter(F.col("end_date").isNull() | (due <= F.col("end_date")))
+        .filter(last.isNull() | (due > last))
+    )
+
+
 def attempt_logs(logs: DataFrame, requests: DataFrame) -> DataFrame:
     """Lines of the requested attempt, or of the latest one where none is named."""
     key = ["dag_id", "run_id", "task_id"]

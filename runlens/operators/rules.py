@@ -7,18 +7,21 @@ state), `runs` (dag_id, run_id).
 Counting is one aggregate per (run, task) with a map-side part, so a DAG that
 holds a third of all runs spreads over all reducers. Edges and tasks are the
 catalog; Spark broadcasts them when they are measured to be small and
-otherwise joins by shuffle with skew splitting.
+otherwise joins by shuffle, the history salted against copies of the catalog.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions.rules import blocked_state, rule_columns, rule_satisfied
+from runlens.functions.skew import spread_join
 from runlens.functions.states import is_terminal
 from runlens.values import TRIGGER_RULES
 
 COUNTS = ("success", "failed", "skipped", "upstream_failed", "done", "total")
 _KEY = ["dag_id", "run_id", "task_id"]
+# Copies of the catalog's rows, and so tasks that share the history of one DAG's task.
+EDGE_COPIES = 16
 
 
 def upstream_counts(edges: DataFrame, states: DataFrame) -> DataFrame:
@@ -27,9 +30,10 @@ def upstream_counts(edges: DataFrame, states: DataFrame) -> DataFrame:
     `n_total` is the number of upstreams that reported; use
     `evaluate_trigger_rules` for the declared number.
     """
-    seen = edges.join(
-        states.select("dag_id", "run_id", F.col("task_id").alias("upstream"), "state"),
-        ["dag_id", "upstream"],
+    # One task of one DAG may hold much of the history: its states are salted against copies of its edges.
+    seen = spread_join(
+        states.select("dag_id", "run_id", F.col("task_id").alias("upstream"), "state"), edges,
+        ["dag_id", "upstream"], copies=EDGE_COPIES,
     )
     state = F.col("state")
     named = state.isin("success", "failed", "skipped")
@@ -50,12 +54,8 @@ def _with_counts(
 ) -> DataFrame:
     """Every (run, task of its DAG) with counts; tasks without reports get zeros."""
     counts = upstream_counts(edges, states).drop("n_total")
-    base = runs.select("dag_id", "run_id").join(
-        tasks.select(
-            "dag_id", "task_id", "trigger_rule", F.size("upstream").cast("long").alias("n_total")
-        ),
-        "dag_id",
-    )
+    declared = tasks.select("dag_id", "task_id", "trigger_rule", F.size("upstream").cast("long").alias("n_total"))
+    base = spread_join(runs.select("dag_id", "run_id"), declared, ["dag_id"], copies=EDGE_COPIES)
     numbers = [name for name in counts.columns if name.startswith("n_")]
     return base.join(counts, _KEY, "left").select(
         *_KEY, "trigger_rule", "n_total",

@@ -4,12 +4,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions import cron as C
+from runlens.functions.skew import spread_join
+from runlens.session import cut_lineage
 
-_PARSED = ("minutes", "hours", "days", "months", "weekdays")
+_PARSED = ("minutes", "hours", "days", "months", "weekdays", "seconds", "last_day", "workdays", "nth_weekdays")
 
 
 def parse_cron(deployments: DataFrame) -> DataFrame:
-    """Add the five value arrays and `cron_status`; null where there is no cron."""
+    """Add the value arrays, the calendar's rules and `cron_status`; null where there is no cron."""
     parsed = deployments.withColumn("__cron", C.parse("cron"))
     return parsed.select(
         *deployments.columns,
@@ -24,6 +26,7 @@ def cron_ticks(
 ) -> DataFrame:
     """Ticks of each deployment in [start, end], as (deployment_id, .., logical_date).
 
+    Deployments whose cron is not sound have none; `unscheduled` names them.
     Days are filtered before hours and minutes are spread out. The matching
     days are redistributed first: the deployment table is small in bytes and
     would otherwise expand to all its ticks inside a few tasks.
@@ -31,10 +34,10 @@ def cron_ticks(
     spark = deployments.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     days = (
-        deployments.filter(F.col("cron").isNotNull())
+        with_parsed(deployments.filter(F.col("cron").isNotNull()))
         .select(
             F.col("id").alias("deployment_id"), *keep,
-            start.alias("__start"), end.alias("__end"), C.parse("cron").alias("__cron"),
+            start.alias("__start"), end.alias("__end"), "__cron",
         )
         .filter((F.col("__cron.status") == "ok") & (F.col("__start") <= F.col("__end")))
         .select("*", F.explode(F.filter(
@@ -44,22 +47,55 @@ def cron_ticks(
         .select(
             "deployment_id", *keep, "__start", "__end", "__day",
             F.col("__cron.hours").alias("__hours"), F.col("__cron.minutes").alias("__minutes"),
+            F.col("__cron.seconds").alias("__seconds"),
         )
         .repartition(parts, "deployment_id", "__day")
     )
     tick = F.make_timestamp_ntz(
         F.year("__day"), F.month("__day"), F.dayofmonth("__day"),
-        F.col("__hour"), F.col("__minute"), F.lit(0),
+        F.col("__hour"), F.col("__minute"), F.col("__second"),
     )
     return (
         days.withColumn("__hour", F.explode("__hours"))
         .withColumn("__minute", F.explode("__minutes"))
+        .withColumn("__second", F.explode("__seconds"))
         .withColumn("logical_date", tick)
         .filter(F.col("logical_date").between(F.col("__start"), F.col("__end")))
         .select("deployment_id", *keep, "logical_date")
     )
 
 
+def unscheduled(deployments: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Deployments whose cron gives no ticks, as (deployment_id, .., cron, cron_status): invalid or unsupported."""
+    return with_parsed(deployments).filter(F.col("__cron.status") != "ok").select(
+        F.col("id").alias("deployment_id"), *keep, "cron", F.col("__cron.status").alias("cron_status")
+    )
+
+
+def with_parsed(rows: DataFrame, out: str = "__cron") -> DataFrame:
+    """Add the parsed cron to rows that repeat few cron texts: each text is parsed once.
+
+    One text may stand in most rows, so the texts are joined by salted copies.
+    """
+    texts = rows.select("cron").filter(F.col("cron").isNotNull()).distinct().withColumn(out, C.parse("cron"))
+    return spread_join(rows, texts, ["cron"], "left")
+
+
+def neighbour_ticks(rows: DataFrame, at: Column, ahead: bool, out: str) -> DataFrame:
+    """Add the cron's first tick after (or last tick before) a time of each row; null without a sound cron.
+
+    The neighbour is searched for in the parsed fields: nothing is expanded, and a
+    row needs no other row. A cron and a time that many rows share are searched once.
+    Runs jobs when called.
+    """
+    timed = rows.withColumn("__at", at)
+    # Both are written: the optimizer would push a filter on the tick through all steps of the search, or fold a
+    # constant time into them, and undo their sharing.
+    asked = cut_lineage(timed.select("cron", "__at").filter(F.col("cron").isNotNull() & F.col("__at").isNotNull()).distinct())
+    found = cut_lineage(C.add_neighbour(with_parsed(asked), "__at", "__cron", ahead, out).drop("__cron"))
+    return spread_join(timed, found, ["cron", "__at"], "left", copies=8).select(*rows.columns, out)
+
+
 def catch_up_ticks(
     deployments: DataFrame, now: Column, keep: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -68,11 +104,11 @@ def catch_up_ticks(
     The start date itself comes first, tick or not; then every tick after it
     before `now` and not after the end date.
     """
-    never = deployments.filter(
+    waiting = deployments.filter(
         F.coalesce("enabled", F.lit(True)) & F.col("catch_up")
         & F.col("last_scheduled_at").isNull() & F.col("start_date").isNotNull()
-        & (C.parse("cron")["status"] == "ok")
     )
+    never = with_parsed(waiting).filter(F.col("__cron.status") == "ok").drop("__cron")
     start = F.col("start_date")
     last = F.least(now, F.col("end_date"))
     held = tuple(dict.fromkeys([*keep, "start_date", "end_date"]))

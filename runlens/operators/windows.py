@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions import blocks
 from runlens.functions.skew import spread_join
+from runlens.operators import schedule
 from runlens.values import LEGAL_TRANSITIONS
 
 TASK_KEY = ["dag_id", "run_id", "task_id"]
@@ -148,17 +149,15 @@ def audit_transitions(
 
 
 def data_intervals(ticks: DataFrame) -> DataFrame:
-    """Interval of every tick: from the tick to the next tick of its deployment.
+    """Interval of every tick: from the tick to the next tick of its cron.
 
-    Without a cron both ends are the logical date. Columns `interval_start`
-    and `interval_end`, where present and not null, win. The frame must hold
-    one tick beyond the last one wanted; the last tick's end is null.
+    The next tick is searched for in the cron, so the last one has an end as well and
+    no row needs another. Without a cron both ends are the logical date; with one
+    that is invalid or unsupported the end is null. Columns `interval_start`
+    and `interval_end`, where present and not null, win.
     """
-    following = blocks.neighbour(
-        ticks, ["deployment_id"], ["logical_date"], {"next_date": "logical_date"},
-        following=True,
-    )
-    end = F.when(F.col("cron").isNull(), F.col("logical_date")).otherwise(F.col("next_date"))
+    following = schedule.neighbour_ticks(ticks, F.col("logical_date"), True, "__next")
+    end = F.when(F.col("cron").isNull(), F.col("logical_date")).otherwise(F.col("__next"))
     start = F.col("logical_date")
     if "interval_start" in ticks.columns:
         start = F.coalesce("interval_start", start)

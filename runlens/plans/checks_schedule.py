@@ -28,7 +28,7 @@ def _series(name: str, start: str, end: str) -> str:
 
 
 TICKS = _series("series", FROM, UNTIL) + f""",
-    ticks AS (SELECT d.id AS deployment_id, d.dag_id, s.t AS logical_date
+    ticks AS (SELECT d.id AS deployment_id, d.dag_id, s.t AS logical_date, s.kind
               FROM {{fx_deployments}} d JOIN series s ON s.kind = d.{KIND})"""
 
 
@@ -73,6 +73,105 @@ def _(h):
     return schedule.catch_up_ticks(h.fx_deployments, moment(UNTIL), ("dag_id",))
 
 
+# The calendar's crons spelled out over days, and the seconds of a day they fire at.
+BEGIN, FINISH = "2024-01-01 00:00:00", "2024-03-31 23:59:59"
+FAR = "2033-01-01 00:00:00"
+CALENDAR = """
+    shifted AS (SELECT DATE '1999-01-01' + CAST(n AS INTEGER) AS d FROM (SELECT unnest(range(0, 13000)) AS n)),
+    dated AS (SELECT d, day(d) AS dom, isodow(d) AS dow, last_day(d) AS last,
+        date_trunc('month', d)::DATE AS first, make_date(year(d), month(d), 15) AS mid FROM shifted),
+    worked AS (SELECT *, last - CASE isodow(last) WHEN 6 THEN 1 WHEN 7 THEN 2 ELSE 0 END AS last_work,
+        first + CASE isodow(first) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END AS first_work,
+        mid + CASE isodow(mid) WHEN 6 THEN -1 WHEN 7 THEN 1 ELSE 0 END AS mid_work FROM dated),
+    days AS (SELECT d, kind FROM worked, (SELECT unnest(range(0, 13)) AS kind) WHERE CASE kind
+        WHEN 0 THEN true WHEN 1 THEN d = last WHEN 2 THEN dow = 5 AND dom BETWEEN 15 AND 21
+        WHEN 3 THEN dow = 5 AND d > last - 7 WHEN 4 THEN d = mid_work WHEN 5 THEN d = last_work WHEN 6 THEN d = first_work
+        WHEN 7 THEN (dow = 1 AND dom <= 7) OR (dow = 3 AND dom BETWEEN 8 AND 14) WHEN 8 THEN dow = 1 WHEN 9 THEN dow = 7
+        WHEN 10 THEN d = last OR (dow = 5 AND dom BETWEEN 8 AND 14) WHEN 11 THEN dom = 31 WHEN 12 THEN month(d) = 2 AND dom = 29 END),
+    clock AS (SELECT kind, unnest(CASE kind WHEN 2 THEN [23400] WHEN 3 THEN [43200] WHEN 4 THEN [32400] WHEN 5 THEN [32400]
+        WHEN 7 THEN [29700] WHEN 8 THEN [21610, 21640, 22810, 22840, 24010, 24040] WHEN 11 THEN [86340] ELSE [0] END) AS s
+        FROM (SELECT unnest(range(0, 13)) AS kind)),
+    calendar AS (SELECT kind, d::TIMESTAMP + to_seconds(s) AS t FROM days JOIN clock USING (kind))"""
+UNSOUND = "CASE kind WHEN 15 THEN 'invalid' ELSE 'unsupported' END"
+
+
+@check("sc1_calendar_crons", f"""
+    SELECT kind, cron, count(*) AS deployments, CASE WHEN kind < 13 THEN 'ok' ELSE {UNSOUND} END AS cron_status,
+           CASE kind WHEN 8 THEN '10,40' ELSE '0' END AS seconds, kind IN (1, 10) AS last_day,
+           CASE kind WHEN 4 THEN '15' WHEN 5 THEN '32' WHEN 6 THEN '1' ELSE '' END AS workdays,
+           CASE kind WHEN 2 THEN '53' WHEN 3 THEN '50' WHEN 7 THEN '11,32' WHEN 10 THEN '52' WHEN 14 THEN '53' ELSE '' END AS nth_weekdays
+    FROM {{fx_calendar}} WHERE kind NOT IN (13, 15) GROUP BY kind, cron
+    UNION ALL SELECT kind, cron, count(*), {UNSOUND}, '0', false, '', '' FROM {{fx_calendar}} WHERE kind IN (13, 15) GROUP BY kind, cron""")
+def _(h):
+    texts = h.fx_calendar.groupBy("kind", "cron").agg(F.count(F.lit(1)).alias("deployments"))
+    return schedule.parse_cron(texts).select(
+        "kind", "cron", "deployments", "cron_status", F.col("cron_last_day").alias("last_day"),
+        *[F.array_join(F.col(f"cron_{p}").cast("array<string>"), ",").alias(p) for p in ("seconds", "workdays", "nth_weekdays")],
+    )
+
+
+@check("sc2_calendar_ticks", f"""
+    WITH {CALENDAR}
+    SELECT id AS deployment_id, t AS logical_date, 'ok' AS cron_status FROM {{fx_calendar}} JOIN calendar USING (kind)
+    WHERE t BETWEEN TIMESTAMP '{BEGIN}' AND TIMESTAMP '{FINISH}'
+    UNION ALL SELECT id, NULL, {UNSOUND} FROM {{fx_calendar}} WHERE kind >= 13""")
+def _(h):
+    ticks = schedule.cron_ticks(h.fx_calendar, moment(BEGIN), moment(FINISH)).withColumn("cron_status", F.lit("ok"))
+    return ticks.unionByName(schedule.unscheduled(h.fx_calendar).drop("cron"), allowMissingColumns=True)
+
+
+@check("sc3_calendar_catch_up", f"""
+    WITH {CALENDAR}, c AS (SELECT * FROM {{fx_calendar}} WHERE enabled AND catch_up AND last_scheduled_at IS NULL AND kind < 13)
+    SELECT id AS deployment_id, start_date AS logical_date FROM c
+    UNION ALL SELECT id, t FROM c JOIN calendar USING (kind) WHERE t > start_date AND t < TIMESTAMP '{FINISH}'""")
+def _(h):
+    return schedule.catch_up_ticks(h.fx_calendar, moment(FINISH))
+
+
+FRIDAY, SATURDAY = "2024-01-19 00:00:00", "2024-01-20 00:00:00"
+
+
+@check("sc4_calendar_day", f"""
+    WITH {CALENDAR}, live AS (SELECT *, catch_up AND last_scheduled_at IS NULL AS catching FROM {{fx_calendar}} WHERE enabled),
+    fire AS (SELECT id, dag_id, t FROM live JOIN calendar USING (kind) WHERE NOT catching AND t >= TIMESTAMP '{FRIDAY}'
+               AND t < TIMESTAMP '{SATURDAY}' AND (last_scheduled_at IS NULL OR t > last_scheduled_at)
+             UNION ALL SELECT id, dag_id, start_date FROM live WHERE catching AND kind < 13
+             UNION ALL SELECT id, dag_id, t FROM live JOIN calendar USING (kind) WHERE catching AND t > start_date AND t < TIMESTAMP '{SATURDAY}'),
+    won AS (SELECT *, row_number() OVER (PARTITION BY dag_id, t ORDER BY id) = 1 AS created FROM fire),
+    act AS (SELECT deployment_id AS id, count(*) AS n FROM {{fx_runs}} WHERE state = 'running' GROUP BY ALL),
+    placed AS (SELECT w.*, row_number() OVER (PARTITION BY w.id ORDER BY t) AS pos, max_active_runs - coalesce(n, 0) AS budget
+               FROM won w JOIN live USING (id) LEFT JOIN act USING (id) WHERE created),
+    named AS (SELECT id, dag_id, t, CASE WHEN budget IS NULL OR pos <= budget THEN 'fired' ELSE 'deferred' END AS verdict FROM placed
+              UNION ALL SELECT id, dag_id, t, 'already_created' FROM won WHERE NOT created)
+    SELECT id AS deployment_id, dag_id, t AS logical_date,
+           'scheduled-' || dag_id || '-' || strftime(t, '%Y%m%dT%H%M%S') AS run_id, verdict FROM named
+    UNION ALL SELECT id, dag_id, NULL, NULL, {UNSOUND} || '_cron' FROM live WHERE kind >= 13""")
+def _(h):
+    return day.schedule_day(h.fx_calendar, moment(FRIDAY), moment(SATURDAY), aggregates.active_counts(h.fx_runs))
+
+
+@check("jn12_previous_ticks", f"""
+    WITH {CALENDAR}, asked AS (SELECT id, kind, TIMESTAMP '{BEGIN}' + to_hours(CAST(dep_no % 2000 AS INTEGER)) AS asked_at FROM {{fx_calendar}}),
+    sought AS (SELECT a.kind, a.asked_at, (SELECT max(t) FROM calendar c WHERE c.kind = a.kind AND t < a.asked_at) AS tick
+               FROM (SELECT DISTINCT kind, asked_at FROM asked) a)
+    SELECT id AS deployment_id, asked_at, tick FROM asked JOIN sought USING (kind, asked_at)""")
+def _(h):
+    at = F.timestamp_add("HOUR", (F.col("dep_no") % 2000).cast("int"), moment(BEGIN))
+    asked = h.fx_calendar.select(F.col("id").alias("deployment_id"), "cron", at.alias("asked_at"))
+    return schedule.neighbour_ticks(asked, F.col("asked_at"), False, "tick").drop("cron")
+
+
+@check("wn9_next_ticks", f"""
+    WITH {CALENDAR}, asked AS (SELECT id, kind, TIMESTAMP '{BEGIN}' + to_hours(CAST(dep_no % 2000 AS INTEGER)) AS asked_at FROM {{fx_calendar}}),
+    sought AS (SELECT a.kind, a.asked_at, (SELECT min(t) FROM calendar c WHERE c.kind = a.kind AND t > a.asked_at) AS tick
+               FROM (SELECT DISTINCT kind, asked_at FROM asked) a)
+    SELECT id AS deployment_id, asked_at AS logical_date, asked_at AS data_interval_start, tick AS data_interval_end FROM asked JOIN sought USING (kind, asked_at)""")
+def _(h):
+    at = F.timestamp_add("HOUR", (F.col("dep_no") % 2000).cast("int"), moment(BEGIN))
+    asked = h.fx_calendar.select(F.col("id").alias("deployment_id"), "cron", at.alias("logical_date"))
+    return windows.data_intervals(asked).drop("cron")
+
+
 DAY, NEXT_DAY = "2024-01-04 00:00:00", "2024-01-05 00:00:00"
 
 
@@ -133,7 +232,7 @@ def _(h):
     WHERE enabled AND cron IS NOT NULL AND due_at >= start_date AND (end_date IS NULL OR due_at <= end_date)
       AND (last_scheduled_at IS NULL OR due_at > last_scheduled_at)""")
 def _(h):
-    return joins.due_ticks(h.fx_deployments, _ticks(h), moment()).select("deployment_id", "due_at")
+    return joins.due_now(h.fx_deployments, moment()).select("deployment_id", "due_at")
 
 
 @check("wn7_admit_under_limit", f"""
@@ -162,9 +261,10 @@ def _(h):
 
 
 @check("wn9_data_intervals", f"""
-    WITH {TICKS}, manual AS (SELECT id AS deployment_id, start_date AS logical_date FROM {{fx_deployments}} WHERE cron IS NULL)
+    WITH {TICKS}, {_series("beyond", "2024-01-06 12:08:00", "2024-02-02 00:00:00")}, manual AS (SELECT id AS deployment_id, start_date AS logical_date FROM {{fx_deployments}} WHERE cron IS NULL)
     SELECT deployment_id, logical_date, logical_date AS data_interval_start,
-           lead(logical_date) OVER (PARTITION BY deployment_id ORDER BY logical_date) AS data_interval_end FROM ticks
+           coalesce(lead(logical_date) OVER (PARTITION BY deployment_id ORDER BY logical_date),
+             (SELECT min(t) FROM beyond WHERE beyond.kind = ticks.kind)) AS data_interval_end FROM ticks
     UNION ALL SELECT deployment_id, logical_date, logical_date, logical_date FROM manual""")
 def _(h):
     manual = h.fx_deployments.filter("cron IS NULL").select(

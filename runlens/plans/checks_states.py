@@ -189,11 +189,12 @@ def _(h):
     WITH d AS (SELECT id, dag_id, start_date,
         CASE WHEN dep_no % 10 = 9 THEN TIMESTAMP '2024-01-01 00:10:00' WHEN dep_no % 10 = 8 THEN TIMESTAMP '2023-12-31'
              ELSE NULL END AS end_date,
-        CASE dep_no % 12 WHEN 5 THEN '61 * * * *' WHEN 7 THEN '@daily' ELSE cron END AS cron,
+        CASE dep_no % 12 WHEN 5 THEN '61 * * * *' WHEN 7 THEN '@daily' WHEN 3 THEN '0 0 L * *' WHEN 2 THEN '30 6 * * 5#3'
+             WHEN 1 THEN '@reboot' WHEN 9 THEN '0 0 * * * 30' ELSE cron END AS cron,
         CASE WHEN dep_no % 9 = 4 THEN '' ELSE dag_id END AS dag FROM {fx_deployments})
-    SELECT id, 'dag_id is required' AS issue FROM d WHERE dag = ''
-    UNION ALL SELECT id, 'end_date must be after start_date' FROM d WHERE end_date <= start_date
-    UNION ALL SELECT id, 'invalid cron expression' FROM d WHERE cron = '61 * * * *'""")
+    SELECT id, 'missing_dag_id' AS issue FROM d WHERE dag = ''
+    UNION ALL SELECT id, 'end_not_after_start' FROM d WHERE end_date <= start_date
+    UNION ALL SELECT id, CASE cron WHEN '@reboot' THEN 'unsupported_cron' ELSE 'invalid_cron' END FROM d WHERE cron IN ('61 * * * *', '@reboot')""")
 def _(h):
     from runlens.functions import cron
 
@@ -201,7 +202,8 @@ def _(h):
         "id", "start_date", "CASE WHEN dep_no % 9 = 4 THEN '' ELSE dag_id END AS dag_id",
         "CASE WHEN dep_no % 10 = 9 THEN TIMESTAMP_NTZ '2024-01-01 00:10:00' "
         "WHEN dep_no % 10 = 8 THEN TIMESTAMP_NTZ '2023-12-31' END AS end_date",
-        "CASE dep_no % 12 WHEN 5 THEN '61 * * * *' WHEN 7 THEN '@daily' ELSE cron END AS cron",
+        "CASE dep_no % 12 WHEN 5 THEN '61 * * * *' WHEN 7 THEN '@daily' WHEN 3 THEN '0 0 L * *' WHEN 2 THEN '30 6 * * 5#3' "
+        "WHEN 1 THEN '@reboot' WHEN 9 THEN '0 0 * * * 30' ELSE cron END AS cron",
     )
     return filters.validate_deployments(deps, cron.parse("cron")["status"])
 

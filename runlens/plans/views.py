@@ -134,6 +134,14 @@ VIEWS = {
                CASE WHEN user_id % 10 = 0 OR event_id % 4 = 0 THEN NULL
                     ELSE event_id % 4 END AS attempt
         FROM {events}""",
+    # Task attempts with their time in the queue: every 97th is still open.
+    "fx_spans": """
+        SELECT event_id AS seq, event_type AS queue, ts AS queued_at, value AS duration,
+               CASE WHEN event_id % 97 = 0 THEN NULL
+                    ELSE ts + INTERVAL '1' SECOND * CAST(floor(value * 60) AS BIGINT) END AS ended_at,
+               CASE WHEN event_id % 97 = 0 THEN 'running' WHEN event_type = 'error' THEN 'failed'
+                    WHEN event_type = 'signup' THEN 'skipped' ELSE 'success' END AS state
+        FROM {events}""",
     "fx_claims": """
         SELECT CAST(floor(event_id / 3) AS BIGINT) AS trigger_id,
                concat('inst-', CAST(user_id % 4 AS STRING)) AS instance_id,
@@ -170,6 +178,18 @@ VIEWS = {
                CASE WHEN c_custkey % 6 = 5 THEN CAST('2024-01-04 12:00:00' AS @ntz)
                     ELSE NULL END AS end_date
         FROM {customer}""",
+    # Deployments with aliases, six fields and rules of the calendar; kinds 13 to 15 give no ticks.
+    "fx_calendar": """
+        SELECT id, dep_no, dag_id, CAST(dep_no % 16 AS INT) AS kind,
+               CASE dep_no % 16 WHEN 0 THEN '@daily' WHEN 1 THEN '0 0 L * *' WHEN 2 THEN '30 6 * * 5#3'
+                 WHEN 3 THEN '0 12 * * L5' WHEN 4 THEN '0 9 15W * *' WHEN 5 THEN '0 9 LW * *'
+                 WHEN 6 THEN '0 0 1W * *' WHEN 7 THEN '15 8 * * mon#1,wed#2' WHEN 8 THEN '*/20 6 * * 1 10,40'
+                 WHEN 9 THEN '@weekly' WHEN 10 THEN '0 0 L * 5#2' WHEN 11 THEN '59 23 31 * *'
+                 WHEN 12 THEN '0 0 29 2 *' WHEN 13 THEN '@reboot' WHEN 14 THEN '0 0 * * 1,5#3'
+                 ELSE '61 * * * *' END AS cron,
+               enabled, catch_up, max_active_runs, CAST('2024-01-01 00:00:00' AS @ntz) AS start_date,
+               CAST(NULL AS @ntz) AS end_date, last_scheduled_at
+        FROM {fx_deployments}""",
     "fx_catalog": """
         SELECT dag_id, concat('v', CAST(dag_no % 3 AS STRING)) AS version FROM {fx_dags}""",
     "fx_requirements": """
@@ -221,6 +241,72 @@ VIEWS = {
                  WHEN 6 THEN '{{"rows":3}}' WHEN 7 THEN '{{"_result":7}}'
                  WHEN 8 THEN '{{"_result":0}}' ELSE '{{}}' END AS raw_outputs
         FROM {fx_runs} r""",
+    # Record files as text, with some that cannot be read: every 50th of each kind.
+    "fx_run_texts": """
+        SELECT run_no, concat('dag_runs/', CAST(run_no AS STRING), '.json') AS path,
+               CASE run_no % 50 WHEN 7 THEN NULL WHEN 8 THEN '{{"run_id": "cut' WHEN 9 THEN '[1, 2]'
+                 WHEN 10 THEN concat('{{"run_id":"', run_id, '","dag_id":"', dag_id, '","created_at":"soon"}}')
+                 ELSE concat('{{"run_id":"', run_id, '","dag_id":"', dag_id, '","state":"', state, '","logical_date":"',
+                             CAST(logical_date AS STRING), '","variables":{{"n":', CAST(run_no % 5 AS STRING), '}},"ended_at":null}}') END AS text
+        FROM {fx_runs}""",
+    "fx_state_texts": """
+        SELECT concat('task_states/', run_id, '/', task_id, '.json') AS path,
+               CASE WHEN run_no % 50 = 8 THEN '{{"state":' ELSE concat('{{"run_id":"', run_id, '","dag_id":"', dag_id, '","task_id":"',
+                 task_id, '","state":"', state, '","updated_at":"', CAST(updated_at AS STRING), '"}}') END AS text
+        FROM {fx_task_states}""",
+    "fx_context_texts": """
+        SELECT concat('contexts/', CAST(task_no AS STRING), '/', CAST(attempt_number AS STRING), '.json') AS path,
+               CASE WHEN task_no % 50 = 8 THEN 'no json' ELSE concat('{{"run_id":"r', CAST(task_no AS STRING), '","dag_id":"d","task_id":"t',
+                 CAST(attempt_number AS STRING), '","retries":', CAST(retries AS STRING), ',"attempts":[{{"attempt_number":',
+                 CAST(attempt_number AS STRING), ',"state":"', state, '","duration_sec":1.5}}]}}') END AS text
+        FROM {fx_attempts}""",
+    "fx_deployment_texts": """
+        SELECT concat('deployments/', id, '.json') AS path,
+               CASE dep_no % 50 WHEN 8 THEN '' WHEN 9 THEN concat('{{"id":"', id, '","max_active_runs":"many"}}')
+                 ELSE concat('{{"id":"', id, '","dag_id":"', dag_id, '","cron":', CASE WHEN cron IS NULL THEN 'null' ELSE concat('"', cron, '"') END,
+                   CASE WHEN pinned THEN ',"variable_overrides":{{"v1": 2}}' ELSE '' END,
+                   CASE WHEN last_scheduled_at IS NULL THEN '' ELSE ',"_scheduler":{{"last_scheduled_at":"2024-01-03T00:00:00"}}' END, '}}') END AS text
+        FROM {fx_deployments}""",
+    "fx_trigger_texts": """
+        SELECT concat('triggers/', CAST(trigger_id AS STRING), '.json') AS path,
+               CASE WHEN trigger_id % 50 = 8 THEN '17' ELSE concat('{{"trigger_id":"', CAST(trigger_id AS STRING), '","deployment_id":"',
+                 deployment_id, '","variables":', variables, ',"created_at":"', CAST(created_at AS STRING), '"}}') END AS text
+        FROM {fx_triggers}""",
+    "fx_log_texts": """
+        SELECT concat('logs/', source, '.jsonl') AS path, seq,
+               CASE WHEN seq % 50 = 8 THEN concat('Traceback ', CAST(seq AS STRING)) ELSE concat('{{"ts":', CAST(1704067200 + seq AS STRING), '.25,"level":"', level,
+                 '","msg":"', msg, '","source":"', source, '","attempt":', CASE WHEN attempt IS NULL THEN 'null' ELSE CAST(attempt AS STRING) END,
+                 ',"extra":', extra, '}}') END AS text
+        FROM {fx_logs}""",
+    # A DAG document each, some broken in their own ways.
+    "fx_dag_texts": """
+        SELECT dag_no, concat('bundle/', dag_id, '.yml') AS path,
+               CASE dag_no % 10 WHEN 3 THEN 'id: [' WHEN 4 THEN 'actions: [{{id: t1}}]'
+                 WHEN 5 THEN concat('id: ', dag_id, '\nactions: [{{id: t1}}, {{uses: py}}]')
+                 WHEN 6 THEN concat('id: ', dag_id, '\nactions: [{{id: t1, retries: 2}}]\n---\nid: [')
+                 WHEN 7 THEN 'type: variables\nx: 1' WHEN 8 THEN NULL
+                 ELSE concat('id: ', dag_id, '\nactions:\n- {{id: t1, uses: py}}\n- id: g\n  upstream: [t1]\n  actions:\n',
+                             '  - {{id: t2, upstream: [t1]}}\n  - {{id: h, actions: [{{id: t3, inputs: {{n: 1}}}}]}}\n') END AS text,
+               concat('[{{"id":"t1"}},{{"id":"g","actions":[{{"id":"t2","type":"branch"}},{{"id":"h","actions":[{{"id":"t3"}}]}},',
+                      '{{"id":"e","actions":[]}}]}}]') AS actions, dag_id
+        FROM {fx_dags}""",
+    "fx_variable_texts": """
+        SELECT concat('dags/d', CAST(dag_no AS STRING), CASE WHEN dag_no % 2 = 0 THEN '/variables.yml' ELSE '/global_variables.yml' END) AS path,
+               dag_no, CASE dag_no % 10 WHEN 3 THEN 'a: {{' WHEN 4 THEN '- a list' WHEN 5 THEN '' WHEN 6 THEN NULL
+                 ELSE concat('v0: ', CAST(dag_no AS STRING), '\nv1: [a, 2]\nv2: "3"\n') END AS text
+        FROM {fx_dags}""",
+    # A list of items for one task of each run, and the outputs of some of its instances.
+    "fx_foreach": """
+        SELECT run_no, dag_id, run_id, 't1' AS task_id,
+               CASE run_no % 6 WHEN 0 THEN NULL WHEN 1 THEN '[]' WHEN 2 THEN '["a"]' WHEN 3 THEN '["a", null, {{"k": 2}}]'
+                 WHEN 4 THEN '{{"a": 1}}' ELSE concat('[', CAST(run_no AS STRING), ', "b c"]') END AS items,
+               CASE run_no % 6 WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 3 WHEN 5 THEN 2 END AS n_items
+        FROM {fx_runs}""",
+    "fx_foreach_outputs": """
+        SELECT f.run_no, f.dag_id, f.run_id, f.task_id, i.item_index, concat('{{"i":', CAST(i.item_index AS STRING), '}}') AS output,
+               CASE (f.run_no + i.item_index) % 7 WHEN 1 THEN 'failed' WHEN 2 THEN 'skipped' ELSE 'success' END AS state
+        FROM {fx_foreach} f @each(i, item_index, 0, 3)
+        WHERE i.item_index < coalesce(f.n_items, 0) + 1 AND (f.run_no + i.item_index) % 5 <> 0""",
     "fx_manifest": """
         SELECT page_id % 10 AS bundle_no,
                CASE WHEN page_id % 6 = 0 THEN concat(url, '/.hidden') ELSE url END AS rel,

@@ -20,7 +20,7 @@ def local_session(app: str = "runlens", cores: str = "*") -> SparkSession:
     )
 
 
-def _scratch(spark: SparkSession) -> str:
+def scratch(spark: SparkSession) -> str:
     """The shared folder for intermediate tables, one per application.
 
     A session on a cluster must name it; only a local one, as in tests, gets a
@@ -45,6 +45,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     sizes: a checkpointed plan inherits the constraints of the plan before it,
     and over a loop of joins they double at every step.
     """
-    path = f"{_scratch(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

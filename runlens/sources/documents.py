@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runlens import schemas
 from runlens.values import DAG_VARIABLES_FILE, GLOBAL_VARIABLES_FILE
@@ -69,41 +70,81 @@ def _task_row(path: str, dag: dict, action: dict, trail: str, around: tuple, at:
     return row
 
 
-def _dags(text: str) -> Iterator[dict]:
-    for document in _yaml().safe_load_all(text):
-        for item in document if isinstance(document, list) else [document]:
-            if isinstance(item, dict) and item.get("type", "dag") == "dag":
-                yield item
+def _documents(text: str) -> Iterator[object]:
+    """The documents of a text up to the first that cannot be read; that one is given as the error."""
+    try:
+        yield from _yaml().safe_load_all(text)
+    except (yaml.YAMLError, ValueError) as error:
+        yield error
+
+
+def _parsed(path: str, text: str | None) -> Iterator[tuple[dict | None, str | None]]:
+    """Task rows of a file, and a reason for whatever of it cannot be read: one for each document that fails."""
+    if text is None:
+        yield None, "not_text"
+        return
+    for document in _documents(text):
+        if isinstance(document, Exception):
+            yield None, "not_yaml"
+            return
+        for dag in document if isinstance(document, list) else [document]:
+            if not isinstance(dag, dict) or dag.get("type", "dag") != "dag":
+                continue  # something else that lies in the bundle
+            if not dag.get("id"):
+                yield None, "no_dag_id"
+                continue
+            try:
+                yield from [
+                    (_task_row(path, dag, action, trail, around, at), None)
+                    for at, (action, trail, around) in enumerate(_leaves(dag.get("actions"), (), ([], None)))
+                ]
+            except (AttributeError, KeyError, TypeError, ValueError):
+                yield None, "bad_action"
 
 
-def read_dag_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Leaf tasks of every DAG document below `path`, groups flattened.
+def parse_dag_documents(files: DataFrame) -> DataFrame:
+    """Tasks of DAG documents held as rows: `files` has (path, text).
 
-    Files with a reserved name or a leading underscore hold no DAG. A group's
-    own upstream and rule take no part in the flattened graph; they are kept
-    in side columns.
+    Gives the columns of a task and `reason`. A document that cannot be read gives one
+    row with its path and a reason (`not_text`, `not_yaml`, `no_dag_id`, `bad_action`) and
+    nulls, and keeps no other document from being read; behind one that is no YAML the
+    rest of its file is lost. A DAG with a bad action gives no tasks.
     """
-    names = schemas.TASKS.fieldNames()
+    empty = dict.fromkeys([*schemas.TASKS.fieldNames(), "reason"])
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for file, text in zip(batch["path"], batch["text"]):
-                rows = [
-                    _task_row(file, dag, action, trail, around, at)
-                    for dag in _dags(text)
-                    for at, (action, trail, around) in enumerate(
-                        _leaves(dag.get("actions"), (), ([], None))
-                    )
-                ]
+                rows = [empty | (row or {"bundle_path": file}) | {"reason": reason} for row, reason in _parsed(file, text)]
                 if rows:
-                    yield pd.DataFrame(rows, columns=names)
+                    yield pd.DataFrame(rows, columns=list(empty), dtype=object)
+
+    return files.select("path", "text").mapInPandas(parse, T.StructType([*schemas.TASKS.fields, T.StructField("reason", T.StringType())]))
 
-    wanted = ~F.col("name").isin(DAG_VARIABLES_FILE, GLOBAL_VARIABLES_FILE) & ~F.col(
-        "name"
-    ).startswith("_")
-    return _files(spark, path).filter(wanted).select("path", "text").mapInPandas(
-        parse, schemas.TASKS
-    )
+
+def tasks_and_errors(parsed: DataFrame, path: str = "bundle_path") -> tuple[DataFrame, DataFrame]:
+    """The rows that could be read, and (path, reason) of what could not."""
+    return parsed.filter("reason IS NULL").drop("reason"), parsed.filter("reason IS NOT NULL").select(F.col(path).alias("path"), "reason")
+
+
+def _dag_files(spark: SparkSession, path: str) -> DataFrame:
+    reserved = F.col("name").isin(DAG_VARIABLES_FILE, GLOBAL_VARIABLES_FILE)
+    return _files(spark, path).filter(~reserved & ~F.col("name").startswith("_"))
+
+
+def read_dag_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Leaf tasks of every DAG document below `path`, groups flattened.
+
+    Files with a reserved name or a leading underscore hold no DAG. A group's
+    own upstream and rule take no part in the flattened graph; they are kept
+    in side columns. What cannot be read is left out; `dag_document_errors` names it.
+    """
+    return tasks_and_errors(parse_dag_documents(_dag_files(spark, path)))[0]
+
+
+def dag_document_errors(spark: SparkSession, path: str) -> DataFrame:
+    """(path, reason) of every document below `path` that cannot be read."""
+    return tasks_and_errors(parse_dag_documents(_dag_files(spark, path)))[1]
 
 
 def dag_files(tasks: DataFrame) -> DataFrame:
@@ -114,30 +155,50 @@ def dag_files(tasks: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def read_variable_files(spark: SparkSession, path: str) -> DataFrame:
-    """Layered variable files as (scope, depth, is_dag_scope, var_key, var_value).
+def parse_variable_documents(files: DataFrame) -> DataFrame:
+    """Variables of files held as rows (path, text), as (scope, depth, is_dag_scope, var_key, var_value, path, reason).
 
-    `var_value` is JSON text. A file that holds no mapping is an error.
+    `var_value` is JSON text. A file that is no YAML, or no mapping, gives one row
+    with its path and the reason (`not_text`, `not_yaml`, `not_a_mapping`); an empty one gives none.
     """
+    names = [*schemas.VARIABLES.fieldNames(), "path", "reason"]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for file, name, text in zip(batch["path"], batch["name"], batch["text"]):
-                content = _yaml().safe_load(text) or {}
+            for file, text in zip(batch["path"], batch["text"]):
+                content, reason = {}, None if text is not None else "not_text"
+                try:
+                    content = _yaml().safe_load(text or "") or {}
+                except (yaml.YAMLError, ValueError):
+                    reason = "not_yaml"
                 if not isinstance(content, dict):
-                    raise ValueError(f"Variables file {file} must be a YAML mapping")
-                scope = file.rsplit("/", 1)[0]
-                yield pd.DataFrame(
-                    [
-                        (scope, scope.count("/") + 1, name == DAG_VARIABLES_FILE, str(key),
-                         json.dumps(value, default=str))
-                        for key, value in content.items()
-                    ],
-                    columns=schemas.VARIABLES.fieldNames(),
-                )
-
-    wanted = F.col("name").isin(DAG_VARIABLES_FILE, GLOBAL_VARIABLES_FILE)
-    return _files(spark, path).filter(wanted).mapInPandas(parse, schemas.VARIABLES)
+                    content, reason = {}, "not_a_mapping"
+                scope, _, name = file.rpartition("/")
+                rows = [
+                    (scope, scope.count("/") + 1, name == DAG_VARIABLES_FILE, str(key), json.dumps(value, default=str), file, None)
+                    for key, value in content.items()
+                ]
+                if reason:
+                    rows.append((None, None, None, None, None, file, reason))
+                if rows:
+                    yield pd.DataFrame(rows, columns=names, dtype=object)
+
+    extra = [T.StructField(name, T.StringType()) for name in ("path", "reason")]
+    return files.select("path", "text").mapInPandas(parse, T.StructType([*schemas.VARIABLES.fields, *extra]))
+
+
+def _variable_files(spark: SparkSession, path: str) -> DataFrame:
+    return _files(spark, path).filter(F.col("name").isin(DAG_VARIABLES_FILE, GLOBAL_VARIABLES_FILE))
+
+
+def read_variable_files(spark: SparkSession, path: str) -> DataFrame:
+    """Layered variable files as (scope, depth, is_dag_scope, var_key, var_value); `variable_file_errors` names the files left out."""
+    return tasks_and_errors(parse_variable_documents(_variable_files(spark, path)), "path")[0].drop("path")
+
+
+def variable_file_errors(spark: SparkSession, path: str) -> DataFrame:
+    """(path, reason) of every variable file below `path` that cannot be read."""
+    return tasks_and_errors(parse_variable_documents(_variable_files(spark, path)), "path")[1]
 
 
 def list_manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -17,6 +17,38 @@ def _read(spark: SparkSession, path: str, schema: T.StructType, **options) -> Da
     return reader.options(**options).json(path).select(*schema.fieldNames())
 
 
+def shape_records(texts: DataFrame, kind: str) -> DataFrame:
+    """Records held as JSON text, (path, text), as typed rows with `path` and `reason`.
+
+    The columns are those of the reader of that kind. Text that is no JSON object gives
+    nulls and the reason `not_json`; a null text `no_text`; a value that does not fit its
+    column is null there, the rest of the record stays, with the reason `bad_value`.
+    """
+    schema = schemas.BY_KIND[kind]
+    held = T.StructType([*schema.fields, T.StructField("__bad", T.StringType())])
+    parsed = texts.select("path", "text", F.from_json("text", held, {"columnNameOfCorruptRecord": "__bad"}).alias("r"))
+    sound = F.col("r.__bad").isNull()
+    is_object = F.json_object_keys("text").isNotNull()
+    reason = F.when(F.col("text").isNull(), "no_text").when(~is_object, "not_json").when(~sound, "bad_value")
+    shaped = parsed.select(*[F.col(f"r.{name}").alias(name) for name in schema.fieldNames()], "path", reason.alias("reason"))
+    if kind == "deployments":
+        return _with_defaults(shaped)
+    return _with_log_time(shaped) if kind == "logs" else shaped
+
+
+def records_and_errors(shaped: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The records that could be read, and (path, reason) of what could not, or not wholly."""
+    lost = F.coalesce(F.col("reason").isin("no_text", "not_json"), F.lit(False))
+    return shaped.filter(~lost).drop("path", "reason"), shaped.filter("reason IS NOT NULL").select("path", "reason")
+
+
+def record_errors(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """(path, reason) of the record files (lines of log files) of a kind below `path` that cannot be read."""
+    reader = spark.read.option("recursiveFileLookup", True)
+    texts = reader.text(path, wholetext=kind != "logs").filter(F.trim("value") != "")
+    return records_and_errors(shape_records(texts.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")), kind))[1]
+
+
 def read_dag_runs(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, schemas.DAG_RUNS)
 
@@ -66,7 +98,8 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
 
 def _with_log_time(logs: DataFrame) -> DataFrame:
     micros = F.timestamp_micros((F.col("ts") * 1e6).cast("long"))
-    return logs.select(*schemas.LOGS.fieldNames(), micros.cast("timestamp_ntz").alias("logged_at"))
+    extra = [name for name in ("path", "reason") if name in logs.columns]
+    return logs.select(*schemas.LOGS.fieldNames(), micros.cast("timestamp_ntz").alias("logged_at"), *extra)
 
 
 def dag_requirements(deployments: DataFrame) -> DataFrame:

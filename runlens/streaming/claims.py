@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from runlens.streaming.sources import event_time
 from runlens.streaming.tables import stream_winners
 
 
@@ -32,14 +31,16 @@ def stream_claims(
     )
 
 
-def stream_run_dedup(candidates: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """First scheduled run per (dag_id, logical date to the second); runs without a logical date all stay."""
-    timed = event_time(candidates, "created_at").withWatermark("created_at", delay)
-    # a run without a date has a key of its own
-    own = F.when(F.col("logical_date").isNull(), F.coalesce("run_id", F.xxhash64(*candidates.columns).cast("string")))
-    return (
-        timed.withColumn("logical_second", F.date_trunc("second", "logical_date"))
-        .withColumn("own_key", own)
-        .dropDuplicatesWithinWatermark(["dag_id", "logical_second", "own_key"])
-        .drop("logical_second", "own_key")
-    )
+def stream_run_dedup(candidates: DataFrame) -> DataFrame:
+    """First scheduled run per (dag_id, logical date to the second); runs without a logical date all stay.
+
+    The first to arrive wins, and for ever: the keys of all runs created stay in the
+    state store, outside any watermark, so a rival that comes days later is still
+    refused, and a run that comes late for a date of its own is still created. A
+    batch touches its own keys only. Rivals in one batch: one of them wins. Use the
+    RocksDB state store; runs without a date are passed by and take no state.
+    """
+    dated = F.col("logical_date").isNotNull()
+    second = F.date_trunc("second", "logical_date")
+    first = candidates.filter(dated).withColumn("__second", second).dropDuplicates(["dag_id", "__second"]).drop("__second")
+    return first.unionByName(candidates.filter(~dated))

@@ -163,6 +163,27 @@ def stream_logs(
     return writer.trigger(processingTime=interval).start()
 
 
+def stream_log_table(
+    records: DataFrame, path: str, checkpoint: str, buckets: int = 64, file_bytes: int = 128 << 20, once: bool = False
+) -> StreamingQuery:
+    """Append the lines of every batch to the table of `sinks.write_log_table`, each line exactly once.
+
+    `records` has the columns of log lines with `ts` as a time. A batch writes
+    at most one folder per day and bucket it has lines of, and a batch that is
+    repeated replaces its own folders.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            sinks.write_log_table(batch, path, buckets, file_bytes, batch_id)
+        finally:
+            batch.unpersist()
+
+    writer = records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def stream_retries(contexts: DataFrame) -> DataFrame:
     """Tasks to run again, and when: the end of the last attempt plus the delay.
 

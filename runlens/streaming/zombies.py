@@ -16,6 +16,9 @@ SILENCES = "task_key string, last_beat timestamp, silent_since timestamp"
 class _Silence(StatefulProcessor):
     """State is the time of the newest beat of a task and of its end; a timer fires one threshold after the beat.
 
+    The end is forgotten when the watermark has passed it: what is older is dropped
+    before it gets here, so tasks that have ended hold no state.
+
     A batch may hold many beats of a task while a timer only sees the last,
     so the beats of a batch are scanned in order as well. A beat that arrives
     late moves nothing back: one older than the newest beat is passed over, and
@@ -34,6 +37,11 @@ class _Silence(StatefulProcessor):
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)
 
+    @staticmethod
+    def _after(at: pd.Timestamp) -> int:
+        """The first whole millisecond after a time."""
+        return int(at.timestamp() * 1000) + 1
+
     def _row(self, key, beat) -> pd.DataFrame:
         return pd.DataFrame(
             {"task_key": [key[0]], "last_beat": [beat], "silent_since": [beat + self.threshold]}
@@ -55,18 +63,23 @@ class _Silence(StatefulProcessor):
             else:
                 last = at
         self._clear_timers()
+        if ended is not None:
+            self.handle.registerTimer(self._after(ended))
         if last is None:
             self.last.clear()
             return
         self.last.update((last.to_pydatetime(),))
-        due = int((last + self.threshold).timestamp() * 1000) + 1
-        self.handle.registerTimer(due)
+        self.handle.registerTimer(self._after(last + self.threshold))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        if self.ended.exists() and self._after(pd.Timestamp(self.ended.get()[0])) <= now:
+            self.ended.clear()
         if self.last.exists():
             beat = pd.Timestamp(self.last.get()[0])
-            self.last.clear()
-            yield self._row(key, beat)
+            if self._after(beat + self.threshold) <= now:
+                self.last.clear()
+                yield self._row(key, beat)
 
     def close(self) -> None:
         pass

@@ -1,6 +1,8 @@
 """Cron expansion against a brute-force scan of every minute."""
 
+import calendar
 import datetime as dt
+import random
 
 import pytest
 from conftest import rows
@@ -15,9 +17,38 @@ NAMES = {name: i for i, name in enumerate(C.MONTH_NAMES, 1)} | {
 }
 
 
+def nearest_workday(at, asked):
+    last = calendar.monthrange(at.year, at.month)[1]
+    number = last if asked == "l" else int(asked)
+    if number > last:
+        return None
+    day = at.replace(day=number)
+    away = {5: -1, 6: 1}.get(day.weekday(), 0)
+    if asked == "l" or not 1 <= number + away <= last:
+        away = {5: -1 if number > 1 else 2, 6: -2 if number == last or asked == "l" else 1}.get(day.weekday(), 0)
+    return number + away
+
+
+def day_rule(item, at):
+    last = calendar.monthrange(at.year, at.month)[1]
+    return at.day == last if item == "l" else at.day == nearest_workday(at, item[:-1])
+
+
+def weekday_rule(item, at):
+    name = item.split("#")[0] if "#" in item else item.strip("l") if item != "l" else item
+    same = at.isoweekday() % 7 == NAMES.get(name, None if name in NAMES else int(name) % 7)
+    last = calendar.monthrange(at.year, at.month)[1]
+    return same and ((at.day - 1) // 7 + 1 == int(item[-1]) if "#" in item else at.day > last - 7)
+
+
+def parted(text, ruled):
+    items = text.lower().split(",")
+    return ",".join(i for i in items if not ruled(i)), [i for i in items if ruled(i)]
+
+
 def values(text, low, high):
     out = set()
-    for item in text.lower().split(","):
+    for item in text.lower().split(",") if text else ():
         base, _, step = item.partition("/")
         if base in "*?":
             start, end = low, high
@@ -30,13 +61,16 @@ def values(text, low, high):
 
 
 def fires(text, at):
-    minute, hour, mday, month, wday = text.split()
-    by_day = at.day in values(mday, 1, 31)
-    by_week = (at.isoweekday() % 7) in {v % 7 for v in values(wday, 0, 7)}
+    minute, hour, mday, month, wday, *seconds = text.split()
+    days, day_rules = parted(mday, lambda i: i.endswith(("l", "w")))
+    weekdays, week_rules = parted(wday, lambda i: "#" in i or i.startswith("l") or i.endswith("l"))
+    by_day = at.day in values(days, 1, 31) or any(day_rule(i, at) for i in day_rules)
+    by_week = (at.isoweekday() % 7) in {v % 7 for v in values(weekdays, 0, 7)} or any(weekday_rule(i, at) for i in week_rules)
     both = mday not in "*?" and wday not in "*?"
     day = (by_day or by_week) if both else (by_day and by_week)
     return (
-        at.minute in values(minute, 0, 59) and at.hour in values(hour, 0, 23)
+        at.second in values(seconds[0] if seconds else "0", 0, 59)
+        and at.minute in values(minute, 0, 59) and at.hour in values(hour, 0, 23)
         and at.month in values(month, 1, 12) and day
     )
 
@@ -45,7 +79,10 @@ CRONS = [
     "0 0 * * *", "*/15 * * * *", "5-20/5 1,13 * * *", "0 6 * * 1-5", "30 2 1 * *",
     "15 3 1,15 * 1", "0 0 * feb-mar mon,fri", "10/20 4 * * 7", "0 12 31 * *", "0 0 */10 * *",
     "0 0 29 2 *", "7 7 * JAN sun", "0 0 ? * *", "59 23 * 12 0-6/3",
+    "0 0 L * *", "5 4 * * L5", "5 4 * * 5L", "0 8 15W * *", "0 8 LW * *", "0 8 1W,28W * *", "0 0 31W * *",
+    "0 9 * * mon#1,fri#3", "0 0 L,10 * 3#2", "0 0 * * 7#4", "0 12 L feb *",
 ]
+SECONDS = ["* * * * * 30", "*/30 4 * * * 0,20-40/10", "0 0 1 * * 59", "59 23 L * * 59"]
 
 
 @pytest.fixture(scope="module")
@@ -73,9 +110,11 @@ STATUSES = [
     ("0 0 * * *", "ok"), ("60 * * * *", "invalid"), ("* 24 * * *", "invalid"), ("* * 0 * *", "invalid"),
     ("* * * 13 *", "invalid"), ("* * * * 8", "invalid"), ("*/0 * * * *", "invalid"), ("a * * * *", "invalid"),
     ("5-1 * * * *", "invalid"), ("1-2-3 * * * *", "invalid"), ("* * * *", "invalid"), ("", "invalid"),
-    ("0 0 * * wed", "ok"), ("@daily", "ok"), (" @Hourly ", "ok"), ("@reboot", "unsupported"), ("0 0 0 * * *", "unsupported"),
-    ("0 0 L * *", "unsupported"), ("0 0 * * 5L", "unsupported"), ("0 0 * * mon#2", "unsupported"),
-    ("0 0 15W * *", "unsupported"), ("0 0 * jul *", "ok"), ("  0   0 * * * ", "ok"),
+    ("0 0 * * wed", "ok"), ("@daily", "ok"), (" @Hourly ", "ok"), ("@reboot", "unsupported"), ("0 0 0 * * *", "invalid"), ("0 0 1 * * *", "ok"),
+    ("0 0 L * *", "ok"), ("0 0 * * 5L", "ok"), ("0 0 * * mon#2", "ok"), ("0 0 LW,3 * L5,sun#1", "ok"),
+    ("0 0 15W * *", "ok"), ("0 0 32W * *", "unsupported"), ("0 0 L-3 * *", "unsupported"), ("0 0 * * 1,5#3", "unsupported"),
+    ("0 0 * * 5#6", "unsupported"), ("0 0 * * L", "unsupported"), ("* * * * * 60", "invalid"), ("* * * * * * 2026", "unsupported"),
+    ("H 0 * * *", "unsupported"), ("L * * * *", "invalid"), ("0 0 L,40 * *", "invalid"), ("0 0 * jul *", "ok"), ("  0   0 * * * ", "ok"),
 ]
 
 
@@ -143,5 +182,71 @@ def test_intervals(spark):
         "deployment_id string, cron string, logical_date timestamp_ntz, interval_end timestamp_ntz",
     )
     assert rows(windows.data_intervals(ticks), "deployment_id", "data_interval_start", "data_interval_end") == [
-        ("a", t[0], t[1]), ("a", t[1], t[3]), ("a", t[2], None), ("m", t[0], t[0]),
+        ("a", t[0], t[1]), ("a", t[1], t[3]), ("a", t[2], t[3]), ("m", t[0], t[0]),
     ]
+
+
+def test_seconds_match_every_second(spark):
+    deps = spark.createDataFrame([(f"d{i}", text) for i, text in enumerate(SECONDS)], "id string, cron string")
+    start, end = dt.datetime(2024, 1, 31, 23, 59, 10), dt.datetime(2024, 2, 1, 4, 40, 30)
+    got = schedule.cron_ticks(deps, F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")).collect()
+    for i, text in enumerate(SECONDS):
+        seconds = int((end - start).total_seconds())
+        want = [t for s in range(seconds + 1) if fires(text, t := start + dt.timedelta(seconds=s))]
+        assert sorted(r.logical_date for r in got if r.deployment_id == f"d{i}") == want, text
+
+
+def test_neighbours_by_search(spark):
+    """The tick found is the nearest one that a scan of every day finds, over years, both ways."""
+    rng = random.Random(5)
+    crons = [*CRONS, *SECONDS, "0 0 29 2 1#1", "0 0 30 2 *", "* * * * *", "0 0 31 4,6 *", "0 0 31W 2 *"]
+    day = dt.timedelta(days=1)
+    begin, finish = dt.datetime(2023, 1, 1), dt.datetime(2029, 12, 31)
+    ticks = {}
+    for text in crons:  # days first, then the times of a day
+        probe = [begin + day * n for n in range((finish - begin).days + 1)]
+        minute, hour, mday, month, wday, *seconds = text.split()
+        days = [d for d in probe if fires(f"0 0 {mday} {month} {wday}", d)]
+        times = [
+            dt.timedelta(hours=h, minutes=m, seconds=s)
+            for h in values(hour, 0, 23) for m in values(minute, 0, 59) for s in values(seconds[0] if seconds else "0", 0, 59)
+        ]
+        ticks[text] = days, sorted(times)
+    rows_, want = [], {}
+    for i, text in enumerate(crons):
+        days, times = ticks[text]
+        for k in range(25):
+            at = dt.datetime(2024, 2, 1) + dt.timedelta(seconds=rng.randrange(3 * 365 * 86400), microseconds=rng.choice((0, 0, 500_000)))
+            if days and k % 2:
+                at = rng.choice([d for d in days if d.year in (2024, 2025, 2026)] or days) + rng.choice(times) + dt.timedelta(seconds=rng.choice((-1, 0, 1)))
+            midnight = at.replace(hour=0, minute=0, second=0, microsecond=0)
+            near = [d for d in days if abs(d - midnight) <= 2000 * day]
+            later = next((d + t for d in near if d >= midnight for t in times if d + t > at), None)
+            sooner = next((d + t for d in reversed(near) if d <= midnight for t in reversed(times) if d + t < at), None)
+            rows_.append((i * 100 + k, text, at))
+            want[i * 100 + k] = later, sooner
+    rows_ += [(-1, None, begin), (-2, "61 * * * *", begin), (-3, "@reboot", begin), (-4, "@daily", None)]
+    df = spark.createDataFrame(rows_, "n int, cron string, at timestamp_ntz")
+    both = schedule.neighbour_ticks(schedule.neighbour_ticks(df, F.col("at"), True, "later"), F.col("at"), False, "sooner")
+    got = {r.n: (r.later, r.sooner) for r in both.collect()}
+    assert [got.pop(-i) for i in range(1, 5)] == [(None, None)] * 4
+    wrong = {n: (rows_[j][1:], got[n], want[n]) for j, (n, *_) in enumerate(rows_) if n >= 0 and got[n] != want[n]
+             # a leap day may lie outside the years scanned
+             and not ("29 2" in rows_[j][1] and None in want[n])}
+    assert not wrong
+
+
+def test_due_now_needs_no_ticks(spark):
+    day = dt.datetime(2026, 1, 1)
+    deps = _deps(
+        spark,
+        ("a", "g", "0 0 * * *", True, False, None, day, None, None),
+        ("b", "g", "0 0 * * *", True, False, dt.datetime(2026, 1, 2), day, None, None),
+        ("c", "g", "0 0 * * *", False, False, None, day, None, None),
+        ("d", "g", "0 0 L * *", True, False, None, None, None, None),
+        ("e", "g", "@reboot", True, False, None, None, None, None),
+    )
+    now = F.lit(dt.datetime(2026, 1, 3)).cast("timestamp_ntz")
+    due = joins.due_now(deps, now)
+    assert rows(due, "deployment_id", "due_at") == [("a", dt.datetime(2026, 1, 2)), ("d", dt.datetime(2025, 12, 31))]
+    assert rows(schedule.unscheduled(deps), "deployment_id", "cron_status") == [("e", "unsupported")]

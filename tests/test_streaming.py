@@ -82,7 +82,7 @@ def test_a_table_that_cannot_be_read_is_an_error(spark, tmp_path):
 def test_first_runs(spark, history, tmp_path):
     """One row per dated second, and every manual run."""
     candidates = history.fx_candidates
-    got = drain(claims.stream_run_dedup(staged(spark, candidates, tmp_path / "in", 1), "9000 days"), "runs")
+    got = drain(claims.stream_run_dedup(staged(spark, candidates, tmp_path / "in", 1)), "runs")
     dated = candidates.filter("logical_date IS NOT NULL").select("dag_id", "logical_date").distinct()
     assert rows(got.filter("logical_date IS NOT NULL"), "dag_id", "logical_date") == rows(dated)
     manual = candidates.filter("logical_date IS NULL").select("dag_id", "run_id").distinct()
