@@ -96,6 +96,16 @@ _OUTPUT = r"^outputs\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_.]+)$"
 _RUNTIME = r"^runtime\.([A-Za-z_]+)$"
 
 
+def references(template: Column) -> Column:
+    """The references of a template, in order."""
+    return F.regexp_extract_all(template, F.lit(_REFERENCE), 1)
+
+
+def is_known_reference(reference: Column) -> Column:
+    """Whether a reference is of a kind that can be resolved at run time."""
+    return reference.rlike(_VARS) | reference.rlike(_SECRET) | reference.rlike(_OUTPUT) | reference.rlike(_RUNTIME)
+
+
 def _json_text(text: Column) -> Column:
     """Any text as JSON string literal; null stays null."""
     literal = F.regexp_extract(F.to_json(F.struct(text.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)

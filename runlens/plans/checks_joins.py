@@ -210,6 +210,24 @@ def _(h):
     return plan.plan_catalog(catalog(h.fx_plan_tasks), registry(h))
 
 
+# Inputs of 40 DAGs; v5 and every second secret are not provided, every eleventh input names something unknown.
+_INPUTS = """SELECT concat('dag-', CAST(task_no % 40 AS STRING)) AS dag_id, concat('t', CAST(task_no % 7 + 1 AS STRING)) AS task_id,
+    concat(template, CASE WHEN task_no % 11 = 0 THEN ' {{{{ ds }}}}' ELSE '' END) AS template FROM {fx_inputs}"""
+
+
+@check("jn17_input_issues", """
+    WITH i AS (SELECT 'dag-' || (task_no % 40) AS dag_id, 't' || (task_no % 7 + 1) AS task_id, task_no, p_size
+               FROM {fx_inputs} JOIN {part} ON p_partkey = task_no)
+    SELECT DISTINCT dag_id, CAST(NULL AS VARCHAR) AS task_id, 'warning' AS severity, 'missing_variable' AS code, 'v5' AS concerns FROM i WHERE p_size % 6 = 5
+    UNION ALL SELECT DISTINCT dag_id, NULL, 'warning', 'missing_secret', 'KEY_' || p_size FROM i WHERE task_no % 3 = 0 AND p_size % 2 = 1
+    UNION ALL SELECT DISTINCT dag_id, task_id, 'warning', 'unknown_reference', 'ds' FROM i WHERE task_no % 11 = 0""")
+def _(h):
+    inputs = h.sql(_INPUTS)
+    provided = inputs.select("dag_id").distinct().withColumn("var_key", F.explode(F.array(*[F.lit(f"v{i}") for i in range(5)])))
+    secrets = h.part.filter("p_size % 2 = 0").select(F.concat(F.lit("KEY_"), F.col("p_size").cast("string")).alias("key"))
+    return plan.input_issues(inputs, provided.withColumn("var_value", F.lit('"x"')), secrets)
+
+
 # --- graph -----------------------------------------------------------------------
 
 
