@@ -6,8 +6,8 @@ state), `runs` (dag_id, run_id).
 
 Counting is one aggregate per (run, task) with a map-side part, so a DAG that
 holds a third of all runs spreads over all reducers. Edges and tasks are the
-catalog; Spark broadcasts them when they are measured to be small and
-otherwise joins by shuffle, the history salted against copies of the catalog.
+catalog, which grows too: they are joined by shuffle, the history salted against
+copies of the catalog, and pass through no driver.
 """
 
 from pyspark.sql import DataFrame

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions import blocks
 from runlens.functions.skew import spread_join
-from runlens.operators import windows
+from runlens.operators import rules, windows
 
 
 @pytest.fixture(scope="module")
@@ -69,3 +69,17 @@ def test_one_winner_among_very_many_creators(spark):
     got = windows.dedup_scheduled_runs(df, ["seq"])
     assert got.filter("created").count() == 1
     assert rows(got.select("actual_run_id").distinct()) == rows(df.filter("seq = 0").select("run_id"))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_copies_of_the_catalog_are_not_broadcast(spark, tmp_path):
+    """A small file may hold a large catalog: neither it nor its copies go through the driver."""
+    catalog = spark.range(2000).selectExpr("concat('d', id) AS dag_id", "'t1' AS upstream", "'t2' AS downstream")
+    catalog.write.parquet(f"{tmp_path}/edges")
+    edges = spark.read.parquet(f"{tmp_path}/edges")
+    states = spark.range(10).selectExpr("concat('d', id) AS dag_id", "'r' AS run_id", "'t1' AS task_id", "'success' AS state")
+    plan = _plan(rules.upstream_counts(edges, states))
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
