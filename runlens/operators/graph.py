@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions import blocks
+from runlens.functions.skew import unbroadcast
 from runlens.operators.sets import affected_teardowns
 from runlens.session import cut_lineage, scratch
 
@@ -28,7 +29,7 @@ def adjacency(tasks: DataFrame) -> DataFrame:
         "dag_id", F.explode("upstream").alias("upstream"), F.col("task_id").alias("downstream")
     )
     known = tasks.select("dag_id", F.col("task_id").alias("upstream"))
-    return declared.join(known, ["dag_id", "upstream"], "left_semi").select(
+    return declared.join(unbroadcast(known), ["dag_id", "upstream"], "left_semi").select(
         "dag_id", "upstream", "downstream"
     )
 
@@ -56,13 +57,13 @@ def descendants(edges: DataFrame, seeds: DataFrame, graph: tuple = DAG) -> DataF
     levels, rest = peel(links, graph=tuple(graph))
     place = cut_lineage(levels.unionByName(rest.withColumn("level", F.lit(_CYCLIC))))
     step = cut_lineage(
-        links.withColumnRenamed("downstream", "node").join(place, at).select(
+        links.withColumnRenamed("downstream", "node").join(unbroadcast(place), at).select(
             *graph, F.col("upstream").alias("node"), F.col("node").alias("next"), F.col("level").alias("next_level")
         )
     )
     start = seeds.select(*graph, "root").distinct().select(*graph, "root", F.col("root").alias("node"), F.lit(0).alias("depth"))
     mail = f"{scratch(spark)}/mail-{uuid.uuid4().hex}"
-    filed = start.join(place, at, "left").select(*pair, "depth", F.coalesce("level", F.lit(_ALONE)).alias("level"))
+    filed = start.join(unbroadcast(place), at, "left").select(*pair, "depth", F.coalesce("level", F.lit(_ALONE)).alias("level"))
     filed.write.partitionBy("level").parquet(mail)
 
     def arrived(level: int) -> DataFrame | None:
@@ -73,7 +74,7 @@ def descendants(edges: DataFrame, seeds: DataFrame, graph: tuple = DAG) -> DataF
         return spark.read.schema(start.schema).parquet(f"{mail}/level={level}").groupBy(*pair).agg(F.min("depth").alias("depth"))
 
     def passed_on(rows: DataFrame) -> DataFrame:
-        return rows.join(step, at).select(
+        return rows.join(unbroadcast(step), at).select(
             *graph, "root", F.col("next").alias("node"), (F.col("depth") + 1).alias("depth"), F.col("next_level").alias("level")
         )
 
@@ -88,7 +89,7 @@ def descendants(edges: DataFrame, seeds: DataFrame, graph: tuple = DAG) -> DataF
             found = passed_on(frontier).groupBy(*pair).agg(F.min("depth").alias("depth"))
             nearest = known.withColumnRenamed("depth", "__known")
             frontier = cut_lineage(
-                found.join(nearest, pair, "left").filter(F.col("__known").isNull() | (F.col("depth") < F.col("__known"))).drop("__known")
+                found.join(unbroadcast(nearest), pair, "left").filter(F.col("__known").isNull() | (F.col("depth") < F.col("__known"))).drop("__known")
             )
             known = cut_lineage(known.unionByName(frontier).groupBy(*pair).agg(F.min("depth").alias("depth")))
     out = spark.read.schema(filed.schema).parquet(mail).filter(F.col("level") != _CYCLIC).groupBy(*pair).agg(F.min("depth").alias("depth"))
@@ -117,7 +118,7 @@ def peel(
         F.count(F.lit(1)).alias("open")
     )
     rest = cut_lineage(
-        nodes.join(open_links, node_key, "left").select(
+        nodes.join(unbroadcast(open_links), node_key, "left").select(
             *node_key, F.coalesce("open", F.lit(0)).alias("open")
         )
     )
@@ -128,11 +129,11 @@ def peel(
         if free.isEmpty():
             break
         levels.append(free.withColumn("level", F.lit(len(levels))))
-        closed = free.join(steps, node_key).groupBy(
+        closed = free.join(unbroadcast(steps), node_key).groupBy(
             *graph, F.col("downstream").alias("node")
         ).agg(F.count(F.lit(1)).alias("closed"))
         rest = cut_lineage(
-            rest.filter("open > 0").join(closed, node_key, "left").select(
+            rest.filter("open > 0").join(unbroadcast(closed), node_key, "left").select(
                 *node_key, (F.col("open") - F.coalesce("closed", F.lit(0))).alias("open")
             )
         )
@@ -201,11 +202,11 @@ def execution_order(tasks: DataFrame, edges: DataFrame) -> DataFrame:
 def teardown_deps(edges: DataFrame, teardowns: DataFrame) -> DataFrame:
     """(dag_id, teardown, dep): the setup and all it leads to, teardowns left out."""
     marks = teardowns.select("dag_id", F.col("teardown").alias("downstream")).distinct()
-    normal = edges.join(marks, ["dag_id", "downstream"], "left_anti")
+    normal = edges.join(unbroadcast(marks), ["dag_id", "downstream"], "left_anti")
     seeds = teardowns.select("dag_id", F.col("setup").alias("root"))
     reach = descendants(normal, seeds)
     return teardowns.join(
-        reach.select("dag_id", F.col("root").alias("setup"), F.col("node").alias("dep")),
+        unbroadcast(reach.select("dag_id", F.col("root").alias("setup"), F.col("node").alias("dep"))),
         ["dag_id", "setup"],
     ).select("dag_id", "teardown", "dep")
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions.rules import blocked_state, rule_satisfied
+from runlens.functions.skew import unbroadcast
 from runlens.operators import graph as G
 from runlens.operators import rules
 from runlens.session import cut_lineage
@@ -28,7 +29,7 @@ def _verdicts(
     """Resolve one level: (dag_id, run_id, task_id, state)."""
     counts = rules.upstream_counts(edges, resolved).drop("n_total")
     numbers = [name for name in counts.columns if name.startswith("n_")]
-    joined = candidates.join(counts, _KEY, "left").join(skips, _KEY, "left").select(
+    joined = candidates.join(unbroadcast(counts), _KEY, "left").join(unbroadcast(skips), _KEY, "left").select(
         *candidates.columns, "is_skipped",
         *[F.coalesce(name, F.lit(0)).alias(name) for name in numbers],
     )
@@ -57,7 +58,7 @@ def reconcile_states(
     nodes = tasks.select("dag_id", F.col("task_id").alias("node"))
     placed = cut_lineage(
         G.peel(edges, nodes)[0].withColumnRenamed("node", "task_id")
-        .join(tasks, ["dag_id", "task_id"])
+        .join(unbroadcast(tasks), ["dag_id", "task_id"])
         .select(
             "dag_id", "task_id", "trigger_rule", "level",
             F.size("upstream").cast("long").alias("n_total"),
@@ -69,8 +70,8 @@ def reconcile_states(
     recorded = recorded.select(*_KEY, F.col("state").alias("recorded_state"))
     outcome = F.when(F.col("recorded_state").isin(*_EXECUTED), F.col("recorded_state"))
     cells = cut_lineage(
-        runs.select("dag_id", "run_id").join(placed, "dag_id")
-        .join(recorded, _KEY, "left")
+        runs.select("dag_id", "run_id").join(unbroadcast(placed), "dag_id")
+        .join(unbroadcast(recorded), _KEY, "left")
         .withColumn("outcome", F.coalesce(outcome, F.lit("none")))
     )
     orders = cut_lineage(
@@ -85,7 +86,7 @@ def reconcile_states(
         succeeded = resolved.filter("state = 'success'").select(
             "dag_id", "run_id", F.col("task_id").alias("router")
         )
-        return orders.join(succeeded, ["dag_id", "run_id", "router"], "left_semi").select(
+        return orders.join(unbroadcast(succeeded), ["dag_id", "run_id", "router"], "left_semi").select(
             *_KEY
         ).distinct().withColumn("is_skipped", F.lit(True))
 
@@ -115,14 +116,14 @@ def reconcile_states(
         F.count(F.lit(1)).alias("n_total")
     )
     closing = cells.filter("is_teardown").drop("n_total", "trigger_rule").join(
-        wanted, ["dag_id", "task_id"]
+        unbroadcast(wanted), ["dag_id", "task_id"]
     ).withColumn("trigger_rule", F.lit("all_done"))
     no_skips = skips_from(done).filter(F.lit(False))
     ended = _verdicts(closing, deps, done, no_skips)
 
     implied = done.unionByName(ended).withColumnRenamed("state", "implied_state")
     seen = F.coalesce("recorded_state", F.lit("none"))
-    return cells.select(*_KEY, "recorded_state").join(implied, _KEY).select(
+    return cells.select(*_KEY, "recorded_state").join(unbroadcast(implied), _KEY).select(
         *_KEY, seen.alias("recorded_state"), "implied_state",
         (seen == F.col("implied_state")).alias("agrees"),
     )

@@ -234,3 +234,10 @@ def test_nested_groups_flatten_to_leaves(spark):
     text = '[{"id":"a"},{"id":"g","actions":[{"id":"b"},{"id":"h","actions":[{"id":"c"}]},{"id":"empty","actions":[]}]}]'
     df = spark.createDataFrame([("d", text)], "dag_id string, actions string")
     assert rows(G.flatten_group_rows(df), "task_id", "group_path") == [("a", ""), ("b", "g"), ("c", "g/h"), ("empty", "g")]
+
+
+def test_joins_of_the_graph_are_not_broadcast(spark, tmp_path):
+    tasks = spark.range(2000).selectExpr("concat('d', id) AS dag_id", "'t2' AS task_id", "array('t1') AS upstream")
+    tasks.write.parquet(f"{tmp_path}/tasks")
+    tasks = spark.read.parquet(f"{tmp_path}/tasks")
+    assert "Broadcast" not in G.adjacency(tasks)._jdf.queryExecution().executedPlan().toString()
