@@ -83,3 +83,16 @@ def test_copies_of_the_catalog_are_not_broadcast(spark, tmp_path):
     states = spark.range(10).selectExpr("concat('d', id) AS dag_id", "'r' AS run_id", "'t1' AS task_id", "'success' AS state")
     plan = _plan(rules.upstream_counts(edges, states))
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_a_first_holds_each_column_once(hot):
+    """Columns to take that the order has already are not shuffled a second time."""
+    found = blocks.with_first(hot, ["k"], ["rank", "seq", "v"], {"first_v": "v", "first_rank": "rank"})
+    plan = _plan(found)
+    assert "__take" not in plan and plan.count("named_struct(rank,") == plan.count("named_struct(") > 0
+    assert "REPARTITION_BY_COL" in plan  # the rows of a block meet before its first is taken
+
+
+def test_only_blocks_with_a_carry_are_joined(hot):
+    for known in (blocks.numbered(hot, ["k"], ["seq"], "n"), blocks.neighbour(hot, ["k"], ["seq", "rank"], {"before": "v"})):
+        assert "isnotnull(__carry" in _plan(known)
