@@ -58,7 +58,8 @@ def map_tasks(df: DataFrame, fn: Callable | dict[str, Callable]) -> DataFrame:
     """Call `fn` with every row as a dict and append what came of it.
 
     With a dict of functions each row's `plugin_name` picks one; a name that
-    is not in it gives a failed attempt that may not be retried.
+    is not in it gives a failed attempt that may not be retried. The rows are
+    dealt anew: small files may hold very many, and a call may take long.
     """
 
     def pick(row: dict) -> Callable:
@@ -79,4 +80,5 @@ def map_tasks(df: DataFrame, fn: Callable | dict[str, Callable]) -> DataFrame:
                 [batch.reset_index(drop=True), pd.DataFrame(outcomes, columns=added)], axis=1
             )
 
-    return df.mapInPandas(run, T.StructType([*df.schema.fields, *OUTCOME.fields]))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts).mapInPandas(run, T.StructType([*df.schema.fields, *OUTCOME.fields]))

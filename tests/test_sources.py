@@ -204,3 +204,13 @@ def test_user_functions(spark):
     named = {r["n"]: r for r in tasks.map_tasks(df, {"py": lambda row: None}).collect()}
     assert named[7]["attempt_state"] == "failed" and named[7]["retry_allowed"] is False
     assert named[0]["attempt_state"] == "success"
+
+
+def test_python_work_is_dealt_over_tasks(spark):
+    """Rows that all lie in one partition, as a small file's do, are worked on by several tasks."""
+    one = spark.range(60).coalesce(1)
+    called = tasks.map_tasks(one, lambda row: row["id"])
+    assert called.select(F.spark_partition_id()).distinct().count() > 1
+    texts = one.selectExpr("concat('f', id) AS path", "concat('id: d', id, '\nactions: [{id: t1}]') AS text")
+    parsed = documents.parse_dag_documents(texts)
+    assert parsed.select(F.spark_partition_id()).distinct().count() > 1 and parsed.filter("reason IS NULL").count() == 60
