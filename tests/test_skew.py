@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from runlens.functions import blocks
 from runlens.functions.skew import spread_join
 from runlens.operators import rules, windows
+from runlens.plans.views import History
 
 
 @pytest.fixture(scope="module")
@@ -96,3 +97,17 @@ def test_a_first_holds_each_column_once(hot):
 def test_only_blocks_with_a_carry_are_joined(hot):
     for known in (blocks.numbered(hot, ["k"], ["seq"], "n"), blocks.neighbour(hot, ["k"], ["seq", "rank"], {"before": "v"})):
         assert "isnotnull(__carry" in _plan(known)
+
+
+def test_runs_are_not_broadcast_to_their_tasks_events(spark, tmp_path):
+    """A file of runs that Spark takes for small holds many times its size in rows."""
+    spark.range(50).selectExpr(
+        "id AS o_orderkey", "id % 5 AS o_custkey", "'F' AS o_orderstatus", "TIMESTAMP_NTZ '2024-01-01' AS o_orderdate"
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(100).selectExpr(
+        "id % 50 AS l_orderkey", "id AS l_partkey", "id AS l_suppkey", "1 + id % 2 AS l_linenumber", "1.0D AS l_quantity",
+        "2.0D AS l_extendedprice", "'A' AS l_returnflag", "'F' AS l_linestatus", "TIMESTAMP_NTZ '2024-01-02' AS l_shipdate",
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    history = History(spark, str(tmp_path))
+    for view in (history.fx_task_events, history.fx_task_states, history.fx_candidates):
+        assert "Broadcast" not in _plan(view) and view.count() == 100
