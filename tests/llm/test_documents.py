@@ -10,12 +10,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pytest
 import tiktoken
 import xxhash
 from odd_tables import odd_rows, table  # noqa: F401 - a fixture
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from runlens.llm import bpe, exact_dedup, language_id, language_model, packing, simhash, suffix_dedup, token_files
 from runlens.llm.chunks import Dictionaries
 from runlens.llm.queries import historical, id_crc, piece_digests
@@ -234,6 +236,25 @@ def test_suffix_dedup_of_a_crowd(spark, monkeypatch):
         assert sorted((r.doc_id, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == sorted(want)
 
 
+def test_suffix_dedup_of_shorter_strings(spark, monkeypatch):
+    """A length of its own, by both paths; passages of over 50 words but under 400 bytes go out of the pipeline's texts."""
+    rng = np.random.default_rng(12)
+    text = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, 4))) for _ in range(n))
+    passage = text(55)
+    assert len(passage) < suffix_dedup.LENGTH
+    rows = [(i, f"{text(20)} {passage[: 274 - 15 * (i % 5)]} {text(9)}") for i in range(12)] + [(12, text(300))]
+    for length, crowd in ((200, 512), (100, 3)):
+        want = [(i, *found) for (i, _), found in zip(rows, brute_cut([t.encode() for _, t in rows], length))]
+        monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+        got = suffix_dedup.remove_repeats(table(spark, rows), length=length).collect()
+        assert sorted((r.doc_id, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == sorted(want)
+    monkeypatch.undo()
+    cut = dict(tuples(corpus_pipeline.cut_repeats(spark, table(spark, rows), ""), "doc_id", "text"))
+    assert not any(passage[:194] in t for t in cut.values()) and cut[12] == rows[12][1]
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(table(spark, rows), length=suffix_dedup.ANCHOR - 1)
+
+
 def test_deep_shallow_sort():
     rng = np.random.default_rng(2)
     stem = bytes(rng.integers(97, 100, 90).astype(np.uint8))
