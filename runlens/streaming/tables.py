@@ -12,6 +12,10 @@ from runlens.operators.windows import current_states
 from runlens.sources import sinks
 
 
+#: A batch whose largest bucket has more than so many times the mean of all buckets holds a key with many rows.
+UNEVEN = 2
+
+
 def stream_current_states(
     events: DataFrame, table: str, checkpoint: str, keys: list[str],
     order: list[str], buckets: int = 32, once: bool = False,
@@ -43,15 +47,18 @@ def stream_winners(
         try:
             bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets))
             fresh = batch.withColumn("bucket", bucket.cast("int"))
-            hit = [row[0] for row in fresh.select("bucket").distinct().collect()]  # <= buckets
+            hit = dict(tuple(row) for row in fresh.groupBy("bucket").count().collect())  # <= buckets
             if not hit:
                 return
+            if max(hit.values()) * buckets > UNEVEN * sum(hit.values()):
+                fresh = choose(fresh, [*keys, "bucket"])  # thinned where they lie, so that no task gets all rows of a key
             old = _versions(spark, table, before=version)
             if old is not None:
-                kept = old.filter(F.col("bucket").isin(hit)).drop("version")
+                kept = old.filter(F.col("bucket").isin(list(hit))).drop("version")
                 fresh = kept.unionByName(fresh)
-            newest = choose(fresh, [*keys, "bucket"])
-            newest.withColumn("version", F.lit(version)).repartition("bucket").write.mode(
+            # one shuffle by bucket serves the choice, whose keys include it, and the writing
+            newest = choose(fresh.repartition("bucket"), [*keys, "bucket"])
+            newest.withColumn("version", F.lit(version)).write.mode(
                 "overwrite"
             ).option("partitionOverwriteMode", "dynamic").partitionBy("version", "bucket").parquet(table)
         finally:

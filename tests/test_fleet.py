@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from runlens.functions import blocks
 from runlens.operators import foreach, graph, metrics, retention, rules
 from runlens.sources import documents, records, sinks
+from runlens.session import scratch
 from runlens.streaming import claims, rates, replay, tables, zombies
 
 DAY = dt.datetime(2026, 1, 1)
@@ -68,6 +69,21 @@ def test_streamed_rates_are_those_of_the_closed_windows(spark, lines):
     assert {(r.window_start, r.level, r.source): r.lines for r in got.collect()} == want
 
 
+def test_a_replay_writes_its_rows_once(spark):
+    seen, df = [], spark.range(100).withColumn("lot", F.when(F.col("id") < 90, F.col("id") % 3))
+    folders = set(Path(scratch(spark).removeprefix("file:")).glob("*"))
+
+    def start(stream, checkpoint):
+        return stream.writeStream.foreachBatch(lambda b, _: seen.append(sorted(r.id for r in b.collect()))).option(
+            "checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    replay.replay(df, F.col("lot") * 2, 5, start)  # lots 1 and 3 are empty
+    assert [x for x in seen if x] == [list(range(i, 90, 3)) for i in range(3)]
+    made = set(Path(scratch(spark).removeprefix("file:")).glob("*")) - folders
+    files = [str(p) for folder in made for p in folder.rglob("*.parquet")]
+    assert spark.read.parquet(*files).count() == 90
+
+
 def test_late_lines_are_counted_apart(spark, tmp_path):
     """A line is late for a window that the watermark has passed, and in time for a later one; a repeated read is the same."""
     data = [

@@ -70,6 +70,26 @@ def test_a_new_checkpoint_goes_on_with_the_table(spark, tmp_path):
     assert run("c", "queued", 0) == ["success"]
 
 
+def test_a_batch_is_shuffled_once(spark, tmp_path):
+    """By bucket, for the choice and the writing; rows of a key that has most of a batch are thinned before."""
+    plans = []
+
+    def choose(found, keys):
+        out = windows.current_states(found, ["at"], keys)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    data = [(f"k{i}", "even", i) for i in range(400)], [("k1", "hot", 1000 + i) for i in range(400)] + [("k2", "late", 0)]
+    for n, lot in enumerate(data):
+        stream = staged(spark, spark.createDataFrame(lot, "key string, state string, at int"), tmp_path / f"in-{n}", 1)
+        tables.stream_winners(stream, str(tmp_path / "table"), str(tmp_path / f"cp-{n}"), ["key"], choose, 8, once=True).awaitTermination(240)
+    assert len(plans) == 3  # the second batch is thinned first
+    # the shuffles by bucket beside these are of one row per bucket and version
+    assert [(p.count("REPARTITION_BY_COL"), p.count("Exchange hashpartitioning(key")) for p in plans] == [(1, 0), (0, 1), (1, 1)]
+    got = dict(rows(tables.read_current_states(spark, str(tmp_path / "table")), "key", "state"))
+    assert len(got) == 400 and got["k1"] == "hot" and got["k2"] == "even"
+
+
 def test_a_table_that_cannot_be_read_is_an_error(spark, tmp_path):
     broken = tmp_path / "table" / "version=0" / "bucket=0"
     broken.mkdir(parents=True)
