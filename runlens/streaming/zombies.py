@@ -1,16 +1,17 @@
 """Tasks that fall silent, found while the heartbeats stream in."""
 
+import datetime as dt
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from runlens.functions import blocks
 from runlens.functions.states import seconds_between
 
-SILENCES = "task_key string, last_beat timestamp, silent_since timestamp"
+SILENCES = "task_key string, last_beat long, silent_since long"
+_EPOCH = dt.datetime(1970, 1, 1)
 
 
 class _Silence(StatefulProcessor):
@@ -26,60 +27,65 @@ class _Silence(StatefulProcessor):
     """
 
     def __init__(self, threshold: float) -> None:
-        self.threshold = pd.Timedelta(seconds=threshold)
+        self.threshold = round(threshold * 1_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "beat timestamp")
         self.ended = handle.getValueState("ended", "at timestamp")
 
-    def _clear_timers(self) -> None:
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-
     @staticmethod
-    def _after(at: pd.Timestamp) -> int:
-        """The first whole millisecond after a time."""
-        return int(at.timestamp() * 1000) + 1
+    def _held(state) -> int | None:
+        found = state.get()
+        return None if found is None else (found[0] - _EPOCH) // dt.timedelta(microseconds=1)
 
-    def _row(self, key, beat) -> pd.DataFrame:
-        return pd.DataFrame(
-            {"task_key": [key[0]], "last_beat": [beat], "silent_since": [beat + self.threshold]}
-        )
+    @staticmethod
+    def _hold(state, at: int | None) -> None:
+        if at is None:
+            state.clear()
+        else:
+            state.update((_EPOCH + dt.timedelta(microseconds=at),))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frames = list(rows)
-        beats = pd.concat(frames).sort_values(["beat_at", "seq"], kind="stable")
-        last = pd.Timestamp(self.last.get()[0]) if self.last.exists() else None
-        ended = pd.Timestamp(self.ended.get()[0]) if self.ended.exists() else None
-        for at, kind in zip(beats["beat_at"], beats["kind"]):
+    @staticmethod
+    def _after(at: int) -> int:
+        """The first whole millisecond after a time."""
+        return at // 1000 + 1
+
+    def _timers(self, last: int | None, ended: int | None) -> set[int]:
+        """The timers that go with a state: what is held tells them, they need not be listed."""
+        due = set() if ended is None else {self._after(ended)}
+        return due if last is None else due | {self._after(last + self.threshold)}
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        beats = [(row["at"], row["seq"] is None, row["seq"] or 0, row["kind"]) for row in rows]
+        beats.sort(key=lambda beat: beat[:3])
+        old = last, ended = self._held(self.last), self._held(self.ended)
+        for at, _, _, kind in beats:
             if (ended is not None and at <= ended) or (last is not None and at < last):
                 continue
             if last is not None and at - last > self.threshold:
-                yield self._row(key, last)
+                yield Row(task_key=key[0], last_beat=last, silent_since=last + self.threshold)
             if kind == "terminal":
                 last, ended = None, at
-                self.ended.update((at.to_pydatetime(),))
             else:
                 last = at
-        self._clear_timers()
-        if ended is not None:
-            self.handle.registerTimer(self._after(ended))
-        if last is None:
-            self.last.clear()
-            return
-        self.last.update((last.to_pydatetime(),))
-        self.handle.registerTimer(self._after(last + self.threshold))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        before, now = self._timers(*old), self._timers(last, ended)
+        for due in before - now:
+            self.handle.deleteTimer(due)
+        for due in now - before:
+            self.handle.registerTimer(due)
+        for state, was, at in ((self.last, old[0], last), (self.ended, old[1], ended)):
+            if at != was:
+                self._hold(state, at)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = expiredTimerInfo.getExpiryTimeInMs()
-        if self.ended.exists() and self._after(pd.Timestamp(self.ended.get()[0])) <= now:
+        ended, last = self._held(self.ended), self._held(self.last)
+        if ended is not None and self._after(ended) <= now:
             self.ended.clear()
-        if self.last.exists():
-            beat = pd.Timestamp(self.last.get()[0])
-            if self._after(beat + self.threshold) <= now:
-                self.last.clear()
-                yield self._row(key, beat)
+        if last is not None and self._after(last + self.threshold) <= now:
+            self.last.clear()
+            yield Row(task_key=key[0], last_beat=last, silent_since=last + self.threshold)
 
     def close(self) -> None:
         pass
@@ -92,14 +98,15 @@ def stream_zombies(heartbeats: DataFrame, threshold: float, delay: str = "1 minu
     watch of a task. Beats behind the watermark are dropped. Run with the
     RocksDB state store.
     """
-    watched = heartbeats.withColumn("beat_at", F.col("beat_at").cast("timestamp"))
-    return (
+    watched = heartbeats.withColumn("beat_at", F.col("beat_at").cast("timestamp")).withColumn("at", F.unix_micros("beat_at"))
+    found = (
         watched.withWatermark("beat_at", delay).groupBy("task_key")
-        .transformWithStateInPandas(
+        .transformWithState(
             statefulProcessor=_Silence(threshold), outputStructType=SILENCES,
             outputMode="Append", timeMode="EventTime",
         )
     )
+    return found.select("task_key", *[F.timestamp_micros(c).alias(c) for c in ("last_beat", "silent_since")])
 
 
 def silences(heartbeats: DataFrame, threshold: float, now: Column) -> DataFrame:
