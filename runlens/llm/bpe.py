@@ -10,10 +10,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.llm.chunks import FLUSH_WORDS, Dictionaries, chunked, parts, write_dictionary
+from runlens.llm.pieces import MARK, Parts, marked, strings
 from runlens.llm.shared import batch, slices
 
 #: Buckets of the rank map, and bytes of a match beyond which its merges are made in a heap.
@@ -23,7 +25,7 @@ KEPT_WORDS, SLICE_BYTES = 200_000, 4 << 20
 
 #: The characters with the Unicode property White_Space.
 WHITE_SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_ODD = re.compile(f" [{WHITE_SPACE}]|[{WHITE_SPACE}] |\0")
+_ODD = f" [{WHITE_SPACE}]|[{WHITE_SPACE}] "
 _WORD = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
 
 _MATCHES = pa.schema([("chunk", pa.int64()), ("match", pa.string())])
@@ -41,12 +43,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def cut_words(text: str) -> list[str]:
-    """The text in words: white space and what follows it. No match of the pattern reaches over a word's end,
-    for a match that holds other characters than white space ends before white space."""
-    if _ODD.search(text):
-        return _WORD.findall(text)
-    return text.replace(" ", "\0 ").split("\0")
+def marked_words(texts: pa.Array) -> pa.Array:
+    """UTF-8 texts with MARK between words: white space and what follows it. No match of the pattern reaches over a
+    word's end, for a match that holds other characters than white space ends before white space."""
+    column = texts.cast(pa.large_binary())
+    odd = pc.match_substring_regex(column.cast(pa.large_string()), _ODD)
+    found = [MARK.join(map(str.encode, _WORD.findall(t.decode()))) for t in strings(column.filter(odd))]
+    return pc.replace_with_mask(pc.replace_substring(column, b" ", MARK + b" "), odd, pa.array(found, pa.large_binary()))
 
 
 def merge_long(match: bytes, ranks: dict[bytes, int]) -> list[bytes]:
@@ -176,9 +179,7 @@ def chunk_matches(docs: DataFrame, pattern: str) -> DataFrame:
 
         for b in batches:
             for chunk, rows in parts(b):
-                words = held.setdefault(chunk, set())
-                for t in rows.column("text"):
-                    words.update(cut_words(t.as_py().decode()))
+                held.setdefault(chunk, set()).update(marked(marked_words(rows.column("text")), MARK)[0])
             if sum(map(len, held.values())) > FLUSH_WORDS:
                 yield from flush()
         yield from flush()
@@ -196,7 +197,7 @@ def match_ids(matches: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
             texts = b.column("match")
             yield batch(_BYTES, texts, [
                 [single[i] for i in m] if len(m) <= LONG_MATCH else [p.hex() for p in merge_long(m, shared.value)]
-                for m in map(str.encode, texts.to_pylist())
+                for m in map(str.encode, strings(texts))
             ], b.column("chunks"))
 
     rows = matches.mapInArrow(cut, "match string, bytes array<string>, chunks array<long>")
@@ -229,11 +230,11 @@ def encode(
     def loaded(table: pa.Table) -> WordIds:
         ids_of: dict[str, bytes] = {}
         for b in table.select(["match", "ids"]).to_batches():
-            packed = b.column("ids").to_pylist()
+            packed = strings(b.column("ids"))
             flat = np.frombuffer(b"\0" + b"".join(packed), np.uint8)[1:].reshape(-1, 3).astype("<u4")
             flat = (flat[:, 0] << 16 | flat[:, 1] << 8 | flat[:, 2]).astype("<u4").tobytes()
             stops = (np.cumsum([len(x) for x in packed]) // 3 * 4).tolist()
-            ids_of.update(zip(b.column("match").to_pylist(), (flat[i:j] for i, j in zip([0, *stops], stops))))
+            ids_of.update(zip(strings(b.column("match")), (flat[i:j] for i, j in zip([0, *stops], stops))))
         return WordIds(ids_of, pattern)
 
     def coded(batches):
@@ -241,18 +242,20 @@ def encode(
         pieces = [b""] * (max(shared.value.values(), default=-1) + 1)
         for piece, number in shared.value.items():
             pieces[number] = piece
+        vocabulary = Parts(pieces)
         for b in batches:
             for chunk, some in parts(b):
                 words = dictionaries[chunk]
-                texts = some.column("text").to_pylist()
-                for i, j in slices(texts, SLICE_BYTES):
-                    of = words.of
-                    ids = [b"".join(map(of, cut_words(t.decode()))) for t in texts[i:j]]
-                    back = [b"".join(map(pieces.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in ids]
+                texts = some.column("text")
+                for i, j in slices(strings(texts), SLICE_BYTES):
+                    wanted, numbers, stops = marked(marked_words(texts.slice(i, j - i)), MARK)
+                    ids = Parts(list(map(words.of, wanted)), 4).laid(numbers, stops)
+                    counts = [len(x) // 4 for x in ids]
+                    back = vocabulary.laid(np.frombuffer(b"".join(ids), "<u4"), np.cumsum(counts))
                     doc_ids = some.column("doc_id").slice(i, j - i)
                     if digests:
                         sums = [[hashlib.sha256(x).hexdigest() for x in xs] for xs in (ids, back)]
-                        yield batch(_DIGESTS, doc_ids, [len(x) // 4 for x in ids], *sums)
+                        yield batch(_DIGESTS, doc_ids, counts, *sums)
                     else:
                         yield batch(_ENCODED, doc_ids, ids, back)
 

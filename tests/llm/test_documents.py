@@ -10,7 +10,9 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
+import regex
 import tiktoken
 import xxhash
 from odd_tables import odd_rows, table  # noqa: F401 - a fixture
@@ -20,6 +22,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from runlens.llm import bpe, exact_dedup, language_id, language_model, packing, simhash, suffix_dedup, token_files
 from runlens.llm.chunks import Dictionaries
+from runlens.llm.pieces import MARK, Parts, marked
 from runlens.llm.queries import historical, id_crc, piece_digests
 from runlens.llm.shared import keep_rows, shared_folder
 from runlens.llm.word_cache import WordCache
@@ -508,3 +511,39 @@ def test_language_id_rejects_what_it_has_not_learned(spark):
     print("limit", model.limit, getattr(model, "unknown", None), "held out", len(held_out), rejected(held_out), shares)
     assert rejected(held_out) <= 0.002 and len(held_out) > 2000
     assert all(shares[k] >= 0.9 for k in ("greek", "cyrillic", "cjk", "junk")), shares
+
+
+def test_pieces_of_texts_are_laid_again(monkeypatch):
+    monkeypatch.setattr("runlens.llm.pieces._LAID", 3)
+    texts = ["", "a b\0c \U0001d4b3 a", "b", "", "a a a a a b"]
+    found, numbers, stops = marked(pa.array([t.encode().replace(b" ", MARK + b" ") for t in texts], pa.large_binary()), MARK)
+    assert sorted(found) == sorted(["", "a", " b\0c", " \U0001d4b3", " a", "b", " b"])
+    assert Parts([x.encode() for x in found]).laid(numbers, stops) == [t.encode() for t in texts]
+    wide = Parts([np.array([len(x), 70_000], "<u4").tobytes() for x in found], 4).laid(numbers, stops)
+    assert [len(x) for x in wide] == [8 * (t.count(" ") + 1) for t in texts]
+
+
+def test_words_beside_line_breaks_are_laid_in_lines():
+    """They and words with punctuation whose core is known make no work for the library's search for words."""
+    path, searched = P.path("byte_bpe_50k.json"), []
+    cache = WordCache(path, spaces=True, lower=False)
+    raw, words = cache._raw, cache._words
+    cache._raw = lambda texts: searched.extend(texts) or raw(texts)
+    lined = []
+    cache._words = lambda some: lined.extend(some) or words(some)
+    texts = ["Wort vor zeile.\nNach zeile, vor", "Anders nach,\nanders vor\nÄnderung.", "a\n\nb", "a\n\tb", "\na", "Nach vor! Nach, vor;"]
+    for text in texts:
+        want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(cache.encode([text])[0], cache.kind).tolist() == want
+    assert not any("zeile" in x or "nder" in x for x in searched)
+    assert sorted(lined) == sorted(set(lined)) and lined.count("vor") == 1
+
+
+def test_marked_words_are_cut_before_white_space():
+    rng = random.Random(29)
+    texts = ["", " ", "\0", "a  b", *("".join(rng.choice("ab .,\n\t \u3000\u00a0\u0085\x1c\0é\U0001d4b3'") for _ in range(rng.randint(0, 30))) for _ in range(3000))]
+    column = bpe.marked_words(pa.array([t.encode() for t in texts], pa.binary()))
+    findall = regex.compile(P.PATTERN).findall
+    for text, cut in zip(texts, column.to_pylist()):
+        words = [w.decode() for w in cut.split(MARK)]
+        assert "".join(words) == text and [m for w in words for m in findall(w)] == findall(text)
