@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from runlens.llm import bpe, exact_dedup, language_id, language_model, packing, simhash, suffix_dedup, token_files
-from runlens.llm.chunks import Dictionaries
+from runlens.llm.chunks import Dictionaries, write_dictionary
 from runlens.llm.pieces import MARK, Parts, marked
 from runlens.llm.queries import historical, id_crc, piece_digests
 from runlens.llm.shared import keep_rows, shared_folder
@@ -492,6 +492,74 @@ def test_language_model_against_exact_bigram_counts(spark):
     assert (found >= level).all() and (found > level).mean() < 0.013
 
 
+def test_language_model_reads_the_texts_as_often_for_a_large_filter(spark, monkeypatch):
+    """Texts are not scored once more for every part of the filter, and the answers are those of the whole filter."""
+    monkeypatch.setattr("runlens.llm.chunks.CHUNK_ROWS", 8)
+    monkeypatch.setattr(language_model, "GATHER", 3000)
+    rng = np.random.default_rng(31)
+    words = np.array([f"w{i}" for i in range(2000)])
+    lengths = [*rng.integers(0, 300, 60), 2500, 3500, 9000, 25_000, 0, 1]
+    rows = [(i, " ".join(words[(2000 * rng.random(n) ** 2).astype(int)])) for i, n in enumerate(lengths)]
+    docs, code = table(spark, rows), dict(zip(words.tolist(), language_model._codes([w.encode() for w in words.tolist()])))
+    for training in (id_crc(5) != 1, F.col("doc_id") == 7, F.col("doc_id") < 0):
+        learned = {r.doc_id for r in docs.filter(training).collect()}
+        blobs = language_model.bigram_blobs(
+            docs.select("doc_id", F.col("text").cast("binary").alias("text"), training.alias("more_0")), language_model.LEAST_SHARDS
+        )
+        probe = language_model.Filter(language_model.LEAST_SHARDS, {r.shard: r.bits for r in language_model.build_filter(blobs).collect()})
+        counts = collections.Counter(w for i, t in rows if i in learned for w in [*t.split(), "</s>"])
+        counts["<s>"] = len(learned)
+        n = sum(counts.values()) - len(learned)
+        below = n + 0.5 * (sum(c > 0 for w, c in counts.items() if w != "<s>") + 1)
+        want = {}
+        for i, t in rows:
+            own = t.split()
+            keys = language_model._pairs(np.array([code[w] for w in own], np.uint64), np.array([len(own)]))
+            history = np.array([counts[w] for w in ["<s>", *own]])
+            seen = np.minimum(language_model.least_counts(probe.levels(keys)), history)
+            weight = language_model.WEIGHT * history / (history + language_model.HALF)
+            unigram = (np.array([counts[w] for w in [*own, "</s>"]]) + 0.5) / below
+            want[i] = np.log10(weight * seen / np.maximum(history, 1) + (1 - weight) * unigram).sum()
+        for some in (docs, docs.orderBy(F.xxhash64("doc_id")), docs.repartition(3)):
+            got = language_model.score(some, training, budget=2000)
+            plan = got._jdf.queryExecution().toString()
+            assert plan.split("== Physical Plan ==")[1].count("MapInArrow") == 1
+            found = {r.doc_id: r.score for r in got.collect()}
+            assert len(found) == len(rows) and np.allclose([found[i] for i in want], list(want.values()), rtol=1e-12)
+
+
+def test_answers_of_the_filter(spark, monkeypatch):
+    """Bigrams that agree in the bits of a short name, spans in several blobs, and shards that have learned nothing."""
+    monkeypatch.setattr(language_model, "SHARD_BIGRAMS", 50)
+    rng, shards = np.random.default_rng(37), language_model.LEAST_SHARDS
+    keys = rng.integers(0, 1 << 64, 2000, np.uint64) >> np.uint64(8) | np.uint64(3 << 56)  # all of one shard
+    plain, keys = keys[:40], np.unique(np.concatenate([keys, keys[:300] ^ np.uint64(5)]))  # that agree but in the lowest bits
+    far = rng.integers(0, 1 << 64, 400, np.uint64) >> np.uint64(8) | np.uint64(9 << 56)
+    learned, others, blobs = [], [], []
+    for span in range(6):
+        for _ in range(2):
+            some = np.sort(rng.choice(keys[:1500] if span else plain, 200 if span else 20, replace=False))
+            learned.append((span, some, rng.integers(1, 9, len(some))))
+            some = np.sort(rng.choice(keys, 200, replace=False))
+            others += [(3, span, some), (9, span, np.sort(far))]
+    blobs += [(span, 3, True, language_model._blob(some, counts)) for span, some, counts in learned]
+    blobs += [(span, shard, False, language_model._blob(some, np.zeros(len(some), int))) for shard, span, some in others]
+    frame = spark.createDataFrame(blobs, "span long, shard int, learned boolean, blob binary").repartition(3)
+    bits = {r.shard: r.bits for r in language_model.build_filter(frame).collect()}
+    assert set(bits) == {3, 9} and bits[9] == b""
+    probe = language_model.Filter(shards, bits)
+    assert len(np.unique(probe.levels(keys))) > 3 and not probe.levels(far).any()
+    told = language_model.filter_levels(frame, shards)
+    assert {(r.learned, r.whole) for r in told.collect()} == {(a, b) for a in (True, False) for b in (True, False)}
+    answers = language_model.Answers(write_dictionary(told, "answers"), shards, 1000)
+    for kind, some in [(True, x[:2]) for x in learned] + [(False, x[1:]) for x in others]:
+        span, own = some
+        own = rng.permutation(own)
+        assert (answers.levels(span, kind, own) == probe.levels(own)).all()
+    with pytest.raises(KeyError):
+        answers.levels(99, True, keys)
+
+
 def test_language_id_rejects_what_it_has_not_learned(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     model = language_id.train(docs, id_crc(4) != 2)
