@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -9,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm.chunks import FLUSH_WORDS, Dictionaries, chunked, parts, write_dictionary
-from runlens.llm.shared import batch, cut_lineage, mix, slices
+from runlens.llm.shared import batch, cut_lineage, mix, release_memory, shuffles_dropped, slices
 
 #: Bits of the filter per entry and probes per level; the base of the count levels is 2.
 BITS_EACH, PROBES = 10, 5
@@ -18,7 +20,7 @@ WEIGHT, HALF = 0.3, 2.0
 #: Bigrams of one shard of the filter on average, the fewest shards, and the bytes of the filter's answers a worker keeps at once.
 SHARD_BIGRAMS, LEAST_SHARDS, BROADCAST_BYTES = 1 << 20, 256, 64 << 20
 #: Bigrams a task gathers before it sorts them, those it hands on at once, and bytes of text whose words it holds at once.
-GATHER, HAND_ON, SLICE_BYTES = 4_000_000, 1 << 19, 2 << 20
+GATHER, HAND_ON, SLICE_BYTES = 4_000_000, 1 << 19, 1 << 20
 
 _START, _END = np.uint64(0x51AB1E5EED), np.uint64(0x0E0D0F7E47)
 _COUNTS = pa.schema([("chunk", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
@@ -121,6 +123,7 @@ def bigram_blobs(rows: DataFrame, shards: int) -> DataFrame:
     def gathered(batches):
         held: dict[tuple, list] = {}
         size = 0
+        release_memory()
 
         def flush():
             while held:
@@ -389,18 +392,21 @@ def score(
     whatever the size of the filter.
     """
     rows = chunked(docs, id_col, text_col, F.coalesce(training, F.lit(False)))
-    counts = cut_lineage(chunk_counts(rows))
-    totals = cut_lineage(counts.filter("word is not null").groupBy("word").agg(F.sum("n").alias("c")))
+    spark = docs.sparkSession
+    with shuffles_dropped(spark):
+        counts = cut_lineage(chunk_counts(rows))
+        totals = cut_lineage(counts.filter("word is not null").groupBy("word").agg(F.sum("n").alias("c")))
     ends = counts.filter("word is null").agg(F.sum("n")).first()[0] or 0
     words, distinct = totals.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1))).first()
     n_all, n_distinct = int(words or 0) + ends, distinct + (ends > 0)
-    folder = write_dictionary(
-        counts.filter("word is not null").select("chunk", "word").join(totals, "word"), "lm-words"
-    )
     shards = LEAST_SHARDS
     while shards * SHARD_BIGRAMS < n_all:
         shards *= 2
-    answers = write_dictionary(filter_levels(bigram_blobs(rows, shards), shards), "lm-bigrams") if n_all else None
+    with shuffles_dropped(spark):
+        folder = write_dictionary(
+            counts.filter("word is not null").select("chunk", "word").join(totals, "word"), "lm-words"
+        )
+        answers = write_dictionary(filter_levels(bigram_blobs(rows, shards), shards), "lm-bigrams") if n_all else None
     below = n_all + 0.5 * (n_distinct + 1)
 
     def loaded(part: pa.Table):
@@ -412,17 +418,22 @@ def score(
     def scored(batches):
         dictionaries = Dictionaries(folder, loaded)
         said = Answers(answers, shards, budget) if answers else None
+        now, found = None, None
+        release_memory()
         for b in batches:
             for chunk, whole in parts(b):
-                index, c, codes = dictionaries[chunk]
+                if chunk != now:
+                    now, found = chunk, None  # before the next is read, not after
+                    if said:
+                        said.held.clear()
+                    found = dictionaries[chunk]
                 texts = whole.column("text").to_pylist()
                 for i, j in slices(texts, SLICE_BYTES):
-                    yield judged(texts[i:j], whole.slice(i, j - i), index, c, codes, said)
+                    yield judged(texts[i:j], whole.slice(i, j - i), *found, said)
 
     def judged(texts, part, index, c, codes, said):
         lists = [words_of(t) for t in texts]
-        of = index.__getitem__
-        at = np.array([of(w) for words in lists for w in words], np.int64)
+        at = np.fromiter(map(index.__getitem__, chain.from_iterable(lists)), np.int64)
         ends_at = np.cumsum([len(words) for words in lists])
         count = np.insert(c[at], ends_at, ends)
         stops = ends_at + np.arange(1, len(ends_at) + 1)
